@@ -33,3 +33,33 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (
+  SELECT *, row_number() OVER w AS i, lag(role) OVER w AS prev, lead(role) OVER w AS nxt,
+         length(replace(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e'), ': ', '\c')) AS n_text,
+         length(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), ': ', '\c')) AS n_role
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + n_role + 2 + n_text + 9) AS BIGINT) AS formatted_chars,
+       bool_and(CASE WHEN i = 1 THEN role IN ('system', 'user')
+                     WHEN prev IN ('system') THEN role = 'user' WHEN prev IN ('user', 'tool') THEN role = 'assistant'
+                     WHEN prev = 'assistant' THEN role IN ('user', 'tool') ELSE false END
+                AND (nxt IS NOT NULL OR role = 'assistant')) AS valid
+FROM o GROUP BY conv_id
+""")
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats, read_back
+
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return read_back(format_chats(turns))
