@@ -50,7 +50,7 @@ def id_or_first(column: str = "doc_id") -> Column:
 
 
 def range_groups(docs: DataFrame, group_bytes: int) -> tuple[Column, list[int], int, int]:
-    """Ranges of doc_id of about ``group_bytes`` of text each, over ``docs(doc_id, text)``.
+    """Ranges of doc_id of at most about ``group_bytes`` of text each, over ``docs(doc_id, text)``; three a shuffle partition at least.
 
     Returns (group column, upper bounds, rows, text bytes). Bounds are approximate quantiles, so
     their number grows with the input but holds one long per range, never one per document. The
@@ -58,7 +58,7 @@ def range_groups(docs: DataFrame, group_bytes: int) -> tuple[Column, list[int],
     """
     size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_bytes()))).first()
     rows, total = size[0], size[1] or 0
-    n = max(1, min(rows, -(-total // group_bytes)))
+    n = max(1, min(rows, max(-(-total // group_bytes), 3 * shuffle_partitions(docs.sparkSession))))
     bounds: list[int] = []
     if n > 1:
         cuts = [i / n for i in range(1, n)]
