@@ -105,3 +105,19 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query()
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import is_held_out, score_quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs.withColumn("held_out", is_held_out(docs["doc_id"])), model, keep=("doc_id", "held_out"))
+
+
+@query()
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_versions
+
+    return fingerprint_versions(table(spark, sf_dir, "documents"))
