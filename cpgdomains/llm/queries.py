@@ -121,3 +121,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprint_versions
 
     return fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_dedup
+
+    return simhash_dedup(table(spark, sf_dir, "documents"))
