@@ -151,10 +151,8 @@ def _pack(path: str, end: int, limits: Limits, ids_out: bool):
                 yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
         for batch in batches:
-            docs, texts, prompts = (batch[c].to_pylist() for c in ("doc_id", "text", "prompt"))
-            for i in range(0, len(docs), 256):
-                for doc, prompt, ids in zip(docs[i : i + 256], prompts[i : i + 256], encoder(path).encode(texts[i : i + 256], end), strict=True):
-                    packer.add(Piece(doc, 0, ids, len(ids), prompt))
+            for doc, prompt, ids in zip(batch["doc_id"].to_pylist(), batch["prompt"].to_pylist(), encoder(path).encode(batch["text"], end), strict=True):
+                packer.add(Piece(doc, 0, ids, len(ids), prompt))
                 if len(packer.closed) > 500:
                     yield from drain()
         packer.finish()

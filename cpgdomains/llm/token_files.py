@@ -6,7 +6,7 @@ differences packed at the width that a percentile of them needs, and those that
 
 Layout, little-endian: magic ``PFB1``; u32 documents, u64 ids, u32 block length, u32 blocks; i64 doc_id and u32
 length of each document; u64 start of each block and of the end, counted from the first block; the blocks: u32 minimum,
-u8 width, u16 exceptions, packed differences (low bits, bit j of all ids in plane j), u16 places, u32 high bits.
+u8 width, u16 exceptions, packed differences (low bits first, one after another), u16 places, u32 high bits.
 """
 
 from __future__ import annotations
@@ -37,15 +37,19 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCE
     for rows in filter(len, (ids[: n_full * block].reshape(n_full, block), ids[n_full * block :].reshape(1, -1) if len(ids) % block else ids[:0])):
         low = rows.min(axis=1)
         steps = rows - low[:, None]
-        lengths = np.frexp(steps.astype(np.float64))[1].astype(np.int64)  # bits that each difference needs
+        widest = int(steps.max()).bit_length()
+        lengths = np.zeros(steps.shape, dtype=np.uint8)  # bits that each difference needs
+        for w in range(widest):
+            lengths += steps >= np.uint32(1 << w)
         rank = min(rows.shape[1] - 1, int(np.ceil(rows.shape[1] * percentile / 100)) - 1)
         widths = np.partition(lengths, rank, axis=1)[:, rank]
         packed: list = [b""] * len(rows)
-        for w in np.unique(widths).tolist():
+        octets = steps.astype("<u4").view(np.uint8).reshape(*steps.shape, 4)[:, :, : (widest + 7) // 8]
+        for w in np.unique(widths[widths > 0]).tolist():
             at = np.flatnonzero(widths == w)
-            if w:
-                planes = ((steps[at][:, None, :] >> np.arange(w, dtype=np.uint32)[None, :, None]) & np.uint32(1)).astype(np.uint8)
-                for k, p in zip(at.tolist(), np.packbits(planes, axis=2, bitorder="little"), strict=True):
+            for some in np.array_split(at, -(-len(at) // 512)):
+                bits = np.unpackbits(octets[some], axis=2, bitorder="little", count=w)
+                for k, p in zip(some.tolist(), np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little"), strict=True):
                     packed[k] = p.tobytes()
         odd = lengths > widths[:, None]
         r, c = np.nonzero(odd)
@@ -65,17 +69,14 @@ def decode_blocks(data: memoryview, starts: np.ndarray, n_ids: int, block: int =
         at = int(starts[k])
         low, width, odd = struct.unpack_from("<IBH", data, at)
         n = min(block, n_ids - k * block)
-        row = -(-n // 8)
-        steps = np.zeros(n, dtype=np.uint32)
+        size = -(-n * width // 8)
+        octets = np.zeros((n, 4), dtype=np.uint8)
         if width:
-            bits = np.unpackbits(np.frombuffer(data, np.uint8, width * row, at + 7).reshape(width, row), axis=1, count=n, bitorder="little")
-            wide = np.zeros((-(-width // 8) * 8, n), dtype=np.uint8)
-            wide[:width] = bits
-            octets = np.packbits(wide, axis=0, bitorder="little")  # byte i of every difference
-            for i in range(len(octets)):
-                steps |= octets[i].astype(np.uint32) << np.uint32(8 * i)
+            bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at + 7), count=n * width, bitorder="little")
+            octets[:, : (width + 7) // 8] = np.packbits(bits.reshape(n, width), axis=1, bitorder="little")
+        steps = octets.view("<u4").ravel()
         if odd:
-            at += 7 + width * row
+            at += 7 + size
             places = np.frombuffer(data, "<u2", odd, at)
             steps[places] |= np.frombuffer(data, "<u4", odd, at + 2 * odd) << np.uint32(width)
         out.append(steps + np.uint32(low))
@@ -112,7 +113,7 @@ def _write(path: str, target: str, end: int):
     def f(key, rows):
         group = key[0].as_py()
         rows = rows.take(pc.sort_indices(rows, [("id", "ascending"), ("text", "ascending")]))
-        streams = encoder(path).encode(rows["text"].to_pylist(), end)
+        streams = list(encoder(path).encode(rows["text"], end))
         store, folder = fs.FileSystem.from_uri(target)
         name = f"{folder}/{group:09d}.pfb"
         content = write_file(rows["id"].to_numpy(), streams)

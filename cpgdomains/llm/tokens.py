@@ -1,63 +1,103 @@
 """Whole-text encoding by the tokenizers library, one call per distinct chunk.
 
-A text is cut before single spaces between two characters that aren't white space. At such a place the
-pre-tokenisers of both kinds of file always begin a new pre-token, so encoding chunk by chunk gives the ids of the
-whole text, and chunks seen before cost one lookup. The cache lives as long as the worker and holds two
-generations of bounded size.
+A text is cut before single spaces between two characters that aren't white space, and between a letter and a common
+punctuation mark. At such a place the pre-tokenisers of both kinds of file always begin a new pre-token and never look
+back, so encoding chunk by chunk gives the ids of the whole text. Arrow cuts a batch and numbers its distinct chunks; those
+not met before are encoded together. The table of chunks lives as long as the worker and is bounded.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-_ODD = re.compile(r"\s | \s|^ | $")
+from .common import slices
+
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: A space beside white space or an end, or the cut mark: such texts are cut by the slower rule.
+_ODD = rf"[{_WHITE}] | [{_WHITE}]|^ | $|\x00"
+_MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:|%$&*#\n])"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-GENERATION = 200_000
+#: Chunks that a worker remembers at most, and bytes of text cut at once.
+REMEMBERED, AT_ONCE = 600_000, 4 << 20
 _loaded: dict[str, "ChunkEncoder"] = {}
 
 
-def chunks(text: str) -> list[str]:
-    """Pieces of a text that encode apart; joined they are the text."""
-    if _ODD.search(text):
-        return _CUT.split(text)
-    return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _CUT.split(text)
+def cut(texts: pa.Array) -> pa.ListArray:
+    """Each text's chunks; joined they are the text."""
+    odd = pc.match_substring_regex(texts, _ODD)
+    plain = pc.if_else(odd, "", texts)
+    marked = pc.replace_substring_regex(pc.replace_substring(plain, " ", "\0 "), _MARK, "\\1\0\\2")
+    out = pc.split_pattern(marked, "\0")
+    if pc.any(odd).as_py():
+        rows = out.to_pylist()
+        for i in pc.indices_nonzero(odd).to_pylist():
+            rows[i] = _CUT.split(texts[i].as_py())
+        out = pa.array(rows, out.type)
+    return out
 
 
 class ChunkEncoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.ends = np.zeros(1 << 15, dtype=np.int64)  # of each known chunk's ids; entry 0 stands for none
+        self.n = 0
+
+    def _grow(self, name: str, size: int) -> None:
+        old = getattr(self, name)
+        if size > len(old):
+            new = np.zeros(max(size, 2 * len(old)), dtype=old.dtype)
+            new[: len(old)] = old
+            setattr(self, name, new)
 
     def learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             e = self.tokenizer.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
-            words = np.array([-1 if w is None else w for w in e.word_ids], dtype=np.int64)
             ids = np.array(e.ids, dtype=np.uint32)
-            ends = np.searchsorted(words, np.arange(len(part) + 1))
-            for k, chunk in enumerate(part):
-                self.young[chunk] = ids[ends[k] : ends[k + 1]].tobytes()
+            counts = np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part))
+            first, at = self.n, int(self.ends[self.n])
+            self._grow("ids", at + len(ids))
+            self._grow("ends", first + len(part) + 1)
+            self.ids[at : at + len(ids)] = ids
+            self.ends[first + 1 : first + len(part) + 1] = at + np.cumsum(counts)
+            self.known.update(zip(part, range(first + 1, first + len(part) + 1)))
+            self.n += len(part)
 
-    def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | pa.ChunkedArray, end: int | None = None) -> Iterator[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers, ``end`` appended."""
-        tail = b"" if end is None else np.uint32(end).tobytes()
-        out = []
-        for text in texts:
-            cut = chunks(text)
-            young, old = self.young, self.old
-            if new := [c for c in dict.fromkeys(cut) if c not in young]:
-                self.young |= {c: old[c] for c in new if c in old}
-                if unknown := [c for c in new if c not in old]:
-                    self.learn(unknown)
-            out.append(np.frombuffer(b"".join([self.young[c] for c in cut]) + tail, dtype=np.uint32))
-            if len(self.young) > GENERATION:
-                self.young, self.old = {}, self.young
-        return out
+        if isinstance(texts, pa.ChunkedArray):
+            for part in texts.chunks:
+                yield from self.encode(part, end)
+            return
+        tail = np.array([] if end is None else [end], dtype=np.uint32)
+        for i, j in slices(pc.binary_length(texts).to_numpy(), AT_ONCE):
+            chunks = cut(texts.slice(i, j - i))
+            bounds = chunks.offsets.to_numpy()
+            numbered = pc.dictionary_encode(chunks.flatten())
+            distinct = numbered.dictionary.to_pylist()
+            if self.n > REMEMBERED:
+                self.forget()
+            if new := [c for c in distinct if c not in self.known]:
+                self.learn(new)
+            entries = np.array([self.known[c] for c in distinct], dtype=np.int64)[numbered.indices.to_numpy()]
+            starts, lengths = self.ends[entries - 1], self.ends[entries] - self.ends[entries - 1]
+            stops = np.concatenate([[0], np.cumsum(lengths)])
+            ids = self.ids[np.repeat(starts - stops[:-1], lengths) + np.arange(stops[-1])]
+            at = stops[bounds - bounds[0]].tolist()
+            for s, e in zip(at, at[1:]):
+                yield np.concatenate([ids[s:e], tail])
 
 
 def encoder(path: str) -> ChunkEncoder:
