@@ -146,7 +146,7 @@ def covered(at: np.ndarray, n_words: int, size: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _remove(size: int, texts_out: bool):
+def _remove(size: int, texts_out: bool, carry: list[str]):
     def f(key, rows, found):
         rows = rows.take(pa.compute.sort_indices(rows["id"]))
         ids = rows["id"].to_numpy()
@@ -187,16 +187,17 @@ def _remove(size: int, texts_out: bool):
                 out["n_words"].append(n)
                 out["n_removed"].append(removed)
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append(kept if texts_out else None)
+                out["kept"].append((kept if removed else text) if texts_out else None)
                 out["spans"].append(edges)
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "spans": pa.list_(pa.int64())}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()} | {c: rows[c] for c in carry})
 
     return f
 
 
-def substring_dedup(docs: DataFrame, size: int = 13, group_bytes: int = 12 << 20, bucket_bytes: int = 24 << 20, texts: bool = False) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_removed, kept_sha256, spans (and kept_text if ``texts``).
+def substring_dedup(docs: DataFrame, size: int = 13, group_bytes: int = 12 << 20, bucket_bytes: int = 24 << 20, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_removed, kept_sha256, spans, the columns ``carry`` as they were, and kept_text if ``texts``:
+    the kept words joined by one space, or the text as it was if none goes.
 
     A word goes if a window of ``size`` words that covers it also starts in a document with a smaller doc_id.
     ``spans``: flat list start, end, start, end... of the maximal removed intervals, in words. Null or empty
@@ -205,9 +206,13 @@ def substring_dedup(docs: DataFrame, size: int = 13, group_bytes: int = 12 << 20
     """
     group, _, _, total = range_groups(docs, group_bytes)
     buckets = max(shuffle_partitions(docs.sparkSession), -(-(total // 6 * 8) // bucket_bytes))
-    dealt = docs.select(id_or_first().alias("id"), text_bytes().alias("text"), group.alias("g"))
+    extra = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    dealt = docs.select(id_or_first().alias("id"), text_bytes().alias("text"), group.alias("g"), *extra)
     sent = dealt.groupBy("g").applyInArrow(_send(size, buckets), "bucket int, g int, hashes binary")
     found = sent.groupBy("bucket").applyInArrow(_count, "g int, repeated binary")
-    out = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_remove(size, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, spans array<long>")
+    names = [f"carried_{i}" for i in range(len(carry))]
+    kinds = dict(docs.select([F.col(c).alias(n) for c, n in zip(carry, names, strict=True)]).dtypes) if carry else {}
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, spans array<long>" + "".join(f", {n} {t}" for n, t in kinds.items())
+    out = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_remove(size, texts, names), schema)
     more = [F.decode("kept", "UTF-8").alias("kept_text")] if texts else []
-    return out.select(F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "spans", *more)
+    return out.select(F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "spans", *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)), *more)
