@@ -3,7 +3,8 @@
 A text is cut into paragraphs: lines, further cut at sentence ends, and long ones at words chosen by their hash, so that
 an edit moves no other cut. The i-th occurrence of a paragraph is a digest of its own. A sketch's cells hold a count, and the
 sums (exclusive or) of digests and of their checks. Two versions' sketches subtract cell by cell; peeling cells that hold
-one digest recovers what differs, and a sketch that doesn't peel is built again larger. The smallest sketch is the fingerprint.
+one digest recovers what differs, and a pair that doesn't peel is sketched again larger. The smallest sketch is the fingerprint.
+Many sketches lie end to end in one set of arrays, so that a range's documents are built, subtracted and peeled together.
 """
 
 from __future__ import annotations
@@ -11,20 +12,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import struct
-from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, id_or_first, range_groups
 
-HASHES, BASE_CELLS, LONG = 3, 12, 160
+#: Cells of a fingerprint by thirds (each digest has one cell in each third), and characters that a paragraph may have.
+BASE_THIRD, LONG = 4, 160
+#: Documents compared together.
+BLOCK = 256
 _BREAK = re.compile(r"\n+|(?<=[.!?])\s+")
 _WORDS = re.compile(r"\S+\s*")
-_M = (1 << 64) - 1
+_U = np.uint64
+_CELL = np.dtype([("count", "<i4"), ("key", "<u8"), ("chk", "<u4")])
 
 
 def paragraphs(text: str) -> list[str]:
@@ -45,106 +51,126 @@ def paragraphs(text: str) -> list[str]:
     return out
 
 
-def digests(text: str) -> list[int]:
+def digests(text: str) -> np.ndarray:
+    """One 64-bit digest per paragraph; repeats are numbered."""
     seen: dict[str, int] = {}
     out = []
     for p in paragraphs(text):
         seen[p] = n = seen.get(p, -1) + 1
         out.append(xxhash.xxh3_64_intdigest(p, n))
-    return out
-
+    return np.array(out, dtype=np.uint64)
 
-def check(digest: int) -> int:
-    return (digest * 0x9E3779B97F4A7C15 & _M) >> 32
 
+def check(d: np.ndarray) -> np.ndarray:
+    return (d * _U(0x9E3779B97F4A7C15)) >> _U(32)
 
-def places(digest: int, third: int) -> tuple[int, int, int]:
-    """One cell in each third of the sketch; depends on the size, so that a larger sketch is another try."""
-    x = (digest ^ third * 0xD1342543DE82EF95) * 0xBF58476D1CE4E5B9 & _M
-    x ^= x >> 31
-    return (x & 0x1FFFFF) % third, third + (x >> 21 & 0x1FFFFF) % third, 2 * third + (x >> 42) % third
 
+@dataclass
+class Sketches:
+    """Sketches end to end: row r has cells start[r] to start[r] + 3 * third[r]."""
 
-class Sketch:
-    def __init__(self, cells: int) -> None:
-        self.third = -(-cells // HASHES)
-        n = self.third * HASHES
-        self.count, self.key, self.chk = [0] * n, [0] * n, [0] * n
-
-    def add(self, digest: int, sign: int = 1) -> None:
-        c = check(digest)
-        for i in places(digest, self.third):
-            self.count[i] += sign
-            self.key[i] ^= digest
-            self.chk[i] ^= c
+    third: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    key: np.ndarray
+    chk: np.ndarray
 
     @classmethod
-    def of(cls, items: list[int], cells: int) -> Sketch:
-        out = cls(cells)
-        for x in items:
-            out.add(x)
+    def of(cls, items: np.ndarray, row: np.ndarray, third: np.ndarray) -> Sketches:
+        """``row``: each digest's sketch; ``third``: a third of each sketch's cells."""
+        start = np.concatenate([[0], np.cumsum(3 * third)])
+        n = int(start[-1])
+        out = cls(third, start[:-1], np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64))
+        out.toggle(items, row, 1)
         return out
 
-    def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(0)
-        out.third = self.third
-        out.count = [a - b for a, b in zip(self.count, other.count, strict=True)]
-        out.key = [a ^ b for a, b in zip(self.key, other.key, strict=True)]
-        out.chk = [a ^ b for a, b in zip(self.chk, other.chk, strict=True)]
-        return out
+    def places(self, items: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """(3, n) cells. They depend on the sketch's size, so that a larger one is another try."""
+        t = self.third[row].astype(np.uint64)
+        x = (items ^ (t * _U(0xD1342543DE82EF95))) * _U(0xBF58476D1CE4E5B9)
+        x ^= x >> _U(31)
+        base = self.start[row].astype(np.uint64)
+        low = _U(0x1FFFFF)
+        return np.stack([base + (x & low) % t, base + t + (x >> _U(21) & low) % t, base + _U(2) * t + (x >> _U(42)) % t]).astype(np.int64)
+
+    def toggle(self, items: np.ndarray, row: np.ndarray, sign: int | np.ndarray) -> None:
+        c = check(items)
+        for at in self.places(items, row):
+            np.add.at(self.count, at, sign)
+            np.bitwise_xor.at(self.key, at, items)
+            np.bitwise_xor.at(self.chk, at, c)
+
+    def minus(self, other: Sketches) -> Sketches:
+        return Sketches(self.third, self.start, self.count - other.count, self.key ^ other.key, self.chk ^ other.chk)
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(digests, their rows, +1 or -1 for the side that has them, whether each row came out empty). Uses the sketches up."""
+        of_cell = np.repeat(np.arange(len(self.third)), 3 * self.third)
+        found, rows, signs = [], [], []
+        while True:
+            at = np.flatnonzero((np.abs(self.count) == 1) & (check(self.key) == self.chk))
+            if not len(at):
+                break
+            items, row = self.key[at], of_cell[at]
+            places = self.places(items, row)
+            good = (np.abs(self.count[places]) == 1) & (self.key[places] == items) & (check(items) == self.chk[places])
+            first = np.where(good[0], places[0], np.where(good[1], places[1], places[2]))
+            mine = (first == at) & (places == at).any(axis=0)  # a digest alone in several cells comes once
+            if not mine.any():
+                break
+            items, row, sign = items[mine], row[mine], self.count[at[mine]]
+            found.append(items)
+            rows.append(row)
+            signs.append(sign)
+            self.toggle(items, row, -sign)
+        left = (self.count != 0) | (self.key != 0) | (self.chk != 0)
+        empty = np.ones(len(self.third), dtype=bool)
+        empty[of_cell[left]] = False
+        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        return join(found, np.uint64), join(rows, np.int64), join(signs, np.int64), empty
+
+    def texts(self) -> list[str]:
+        """Each sketch's cells as text."""
+        cells = np.zeros(len(self.count), dtype=_CELL)
+        cells["count"], cells["key"], cells["chk"] = self.count, self.key, self.chk
+        packed, size = cells.tobytes(), _CELL.itemsize
+        return [base64.b64encode(packed[s * size : (s + 3 * t) * size]).decode() for s, t in zip(self.start.tolist(), self.third.tolist(), strict=True)]
+
+
+def _flat(lists: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    some = [lists[i] for i in which.tolist()]
+    return (np.concatenate(some) if some else np.zeros(0, np.uint64)), np.repeat(np.arange(len(some)), [len(x) for x in some])
+
+
+def differences(left: list[np.ndarray], right: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair of digest lists: (only left, only right), recovered from sketches that grow until they peel."""
+    out: list = [None] * len(left)
+    sizes = np.array([len(a) + len(b) for a, b in zip(left, right, strict=True)], dtype=np.int64)
+    counts = np.array([len(a) - len(b) for a, b in zip(left, right, strict=True)], dtype=np.int64)
+    work, third = np.arange(len(left)), np.full(len(left), BASE_THIRD, dtype=np.int64)
+    while len(work):
+        a, b = (Sketches.of(*_flat(x, work), third) for x in (left, right))
+        items, rows, signs, ok = a.minus(b).peel()
+        ok &= np.bincount(rows, weights=signs, minlength=len(work)) == counts[work]
+        order = np.argsort(rows, kind="stable")
+        items, rows, signs = items[order], rows[order], signs[order]
+        ends = np.searchsorted(rows, np.arange(len(work) + 1))
+        for k in np.flatnonzero(ok).tolist():
+            own, sign = items[ends[k] : ends[k + 1]], signs[ends[k] : ends[k + 1]]
+            out[work[k]] = (own[sign > 0], own[sign < 0])
+        work, third = work[~ok], np.maximum(2 * third, sizes[work] // 2)[~ok]
+    return out
+
 
-    def peel(self) -> tuple[list[int], list[int]] | None:
-        """(digests of the first alone, of the second alone), or None if cells stay full. Uses the sketch up."""
-        ours, theirs = [], []
-        work = [i for i, c in enumerate(self.count) if c in (1, -1)]
-        while work:
-            i = work.pop()
-            sign, digest = self.count[i], self.key[i]
-            if sign not in (1, -1) or check(digest) != self.chk[i] or i not in places(digest, self.third):
-                continue
-            (ours if sign == 1 else theirs).append(digest)
-            self.add(digest, -sign)
-            for j in places(digest, self.third):
-                if self.count[j] in (1, -1):
-                    work.append(j)
-        return None if any(self.count) or any(self.key) or any(self.chk) else (ours, theirs)
-
-    def packed(self) -> str:
-        content = b"".join(struct.pack("<iQI", *x) for x in zip(self.count, self.key, self.chk, strict=True))
-        return base64.b64encode(content).decode()
-
-
-class Version:
-    """A text's digests with the sketches built so far."""
-
-    def __init__(self, text: str) -> None:
-        self.items = digests(text)
-        self.sketches: dict[int, Sketch] = {}
-
-    def sketch(self, cells: int) -> Sketch:
-        if cells not in self.sketches:
-            self.sketches[cells] = Sketch.of(self.items, cells)
-        return self.sketches[cells]
-
-    @property
-    def fingerprint(self) -> str:
-        return f"{len(self.items)}:{self.sketch(BASE_CELLS).packed()}"
-
-
-def difference(a: Version, b: Version, cells: int = BASE_CELLS) -> tuple[list[int], list[int]]:
-    """The digests that only one of two versions has, from their sketches; larger ones are tried until they peel."""
-    while True:
-        found = a.sketch(cells).minus(b.sketch(cells)).peel()
-        if found is not None and len(found[0]) - len(found[1]) == len(a.items) - len(b.items):
-            return found
-        cells = max(2 * cells, (len(a.items) + len(b.items)) * 3 // 2 if cells == BASE_CELLS else 0)
-
-
-def likeness(a: Version, b: Version) -> float:
+def likenesses(left: list[np.ndarray], right: list[np.ndarray]) -> list[float]:
     """Shared paragraphs of both, from 0 to 1; two texts without any are alike."""
-    n = len(a.items) + len(b.items)
-    ours, theirs = difference(a, b)
-    return 1 - (len(ours) + len(theirs)) / n if n else 1.0
+    found = differences(left, right)
+    return [1 - (len(x) + len(y)) / n if (n := len(a) + len(b)) else 1.0 for a, b, (x, y) in zip(left, right, found, strict=True)]
+
+
+def fingerprints(lists: list[np.ndarray]) -> list[str]:
+    sketches = Sketches.of(*_flat(lists, np.arange(len(lists))), np.full(len(lists), BASE_THIRD, dtype=np.int64))
+    return [f"{len(x)}:{t}" for x, t in zip(lists, sketches.texts(), strict=True)]
 
 
 def edited(text: str, following: str) -> str:
@@ -154,25 +180,25 @@ def edited(text: str, following: str) -> str:
 
 
 _OUT = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "n_paragraphs": pa.int64()}
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_paragraphs long"
 
 
-def _compare(batch):
-    rows = sorted(zip(batch["halo"].to_pylist(), batch["id"].to_pylist(), range(len(batch)), strict=True))
-    texts = batch["text"]
-    get = lambda i: texts[i].as_py()
-    own = sorted(((d, get(i), i) for h, d, i in rows if not h), key=lambda x: x[:2])
-    after = min(((d, get(i)) for h, d, i in rows if h), default=None)
+def _compare(rows):
+    """One range: its documents in order, each against its edited text and the next document."""
+    rows = rows.take(pc.sort_indices(rows, [("halo", "ascending"), ("id", "ascending"), ("text", "ascending")]))
+    own = len(rows) - pc.sum(rows["halo"].cast("int32")).as_py()
     out: dict[str, list] = {k: [] for k in _OUT}
-    if own:
-        text, here = own[0][1], Version(own[0][1])
-        for k, (doc, _, _) in enumerate(own):
-            following = own[k + 1][1] if k + 1 < len(own) else after[1]
-            new, there = edited(text, following), Version(following)
-            changed = Version(new)
-            values = (doc, len(text), hashlib.sha256(new.encode()).hexdigest(), here.fingerprint, changed.fingerprint, likeness(here, changed), likeness(here, there), len(here.items))
-            for key, v in zip(_OUT, values, strict=True):
-                out[key].append(v)
-            text, here = following, there
+    for i in range(0, own, BLOCK):
+        j = min(own, i + BLOCK)
+        texts = rows["text"].slice(i, j - i + 1).to_pylist()  # with the next one, which after the last is the halo's first
+        new = [edited(a, b) for a, b in zip(texts, texts[1:])]
+        lists, changed = [digests(t) for t in texts], [digests(t) for t in new]
+        values = (
+            rows["id"].slice(i, j - i).to_pylist(), [len(t) for t in texts[:-1]], [hashlib.sha256(t.encode()).hexdigest() for t in new],
+            fingerprints(lists[:-1]), fingerprints(changed), likenesses(lists[:-1], changed), likenesses(lists[:-1], lists[1:]), [len(x) for x in lists[:-1]],
+        )
+        for k, v in zip(_OUT, values, strict=True):
+            out[k] += v
     return pa.table({k: pa.array(out[k], t) for k, t in _OUT.items()})
 
 
@@ -183,14 +209,15 @@ def fingerprint_versions(docs: DataFrame, group_bytes: int = 8 << 20) -> DataFra
     of the first. Null text: empty, no paragraphs. Equal doc_ids go by text, a null one comes first. A single
     document is its own next. Empty table: no rows.
     """
+    spark = docs.sparkSession
     group, *_ = range_groups(docs, group_bytes)
     dealt = docs.select(id_or_first().alias("id"), F.coalesce("text", F.lit("")).alias("text"), group.alias("g"), F.lit(False).alias("halo"))
     firsts = sorted((r["g"], r["first"]) for r in dealt.groupBy("g").agg(F.min("id").alias("first")).collect())  # one row per range
     if not firsts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_paragraphs long")
-    groups = [g for g, _ in firsts]
-    wanted = [(first, groups[i - 1]) for i, (_, first) in enumerate(firsts)]
-    halo = docs.sparkSession.createDataFrame(wanted, "id long, g int")
-    ahead = dealt.drop("g", "halo").join(halo, "id").select("id", "text", "g", F.lit(True).alias("halo"))
-    out = dealt.unionByName(ahead).groupBy("g").applyInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_paragraphs long")
+        return spark.createDataFrame([], _SCHEMA)
+    wanted = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
+    halo = spark.createDataFrame(wanted, "id long, g int")
+    small = F.broadcast(halo) if len(wanted) < 1 << 18 else halo  # twelve bytes a range
+    ahead = dealt.drop("g", "halo").join(small, "id").select("id", "text", "g", F.lit(True).alias("halo"))
+    out = dealt.unionByName(ahead).groupBy("g").applyInArrow(_compare, _SCHEMA)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")))
