@@ -27,7 +27,7 @@ from .common import NO_ID, id_or_first, range_groups, shared_dir
 from .tokens import encoder
 
 MAGIC, HEAD = b"PFB1", struct.Struct("<4sIQII")
-BLOCK, PERCENTILE = 256, 95
+BLOCK, PERCENTILE = 1024, 95
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[bytes, np.ndarray]:
@@ -47,7 +47,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCE
         octets = steps.astype("<u4").view(np.uint8).reshape(*steps.shape, 4)[:, :, : (widest + 7) // 8]
         for w in np.unique(widths[widths > 0]).tolist():
             at = np.flatnonzero(widths == w)
-            for some in np.array_split(at, -(-len(at) // 512)):
+            for some in np.array_split(at, -(-len(at) // 128)):
                 bits = np.unpackbits(octets[some], axis=2, bitorder="little", count=w)
                 for k, p in zip(some.tolist(), np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little"), strict=True):
                     packed[k] = p.tobytes()

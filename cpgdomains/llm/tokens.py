@@ -24,7 +24,7 @@ _ODD = rf"[{_WHITE}] | [{_WHITE}]|^ | $|\x00"
 _MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:|%$&*#\n])"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Chunks that a worker remembers at most, and bytes of text cut at once.
-REMEMBERED, AT_ONCE = 600_000, 4 << 20
+REMEMBERED, AT_ONCE = 1_000_000, 8 << 20
 _loaded: dict[str, "ChunkEncoder"] = {}
 
 
@@ -89,9 +89,13 @@ class ChunkEncoder:
             distinct = numbered.dictionary.to_pylist()
             if self.n > REMEMBERED:
                 self.forget()
-            if new := [c for c in distinct if c not in self.known]:
+            entries = list(map(self.known.get, distinct))
+            if None in entries:
+                new = [c for c, e in zip(distinct, entries, strict=True) if e is None]
+                fresh = iter(range(self.n + 1, self.n + 1 + len(new)))
                 self.learn(new)
-            entries = np.array([self.known[c] for c in distinct], dtype=np.int64)[numbered.indices.to_numpy()]
+                entries = [next(fresh) if e is None else e for e in entries]
+            entries = np.array(entries, dtype=np.int64)[numbered.indices.to_numpy()]
             starts, lengths = self.ends[entries - 1], self.ends[entries] - self.ends[entries - 1]
             stops = np.concatenate([[0], np.cumsum(lengths)])
             ids = self.ids[np.repeat(starts - stops[:-1], lengths) + np.arange(stops[-1])]
