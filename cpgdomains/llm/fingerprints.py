@@ -52,13 +52,17 @@ def paragraphs(text: str) -> list[str]:
 
 
 def digests(text: str) -> np.ndarray:
-    """One 64-bit digest per paragraph; repeats are numbered."""
+    """Distinct 64-bit digests, one per paragraph; repeats are numbered."""
     seen: dict[str, int] = {}
-    out = []
+    hashes, numbers = [], []
     for p in paragraphs(text):
         seen[p] = n = seen.get(p, -1) + 1
-        out.append(xxhash.xxh3_64_intdigest(p, n))
-    return np.array(out, dtype=np.uint64)
+        hashes.append(xxhash.xxh3_64_intdigest(p))
+        numbers.append(n)
+    x = np.array(hashes, dtype=np.uint64) + np.array(numbers, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return np.unique(x ^ (x >> _U(31)))  # distinct, as a digest held twice could never be peeled
 
 
 def check(d: np.ndarray) -> np.ndarray:

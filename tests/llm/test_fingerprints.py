@@ -36,6 +36,12 @@ def test_against_sets(spark):
         assert len({r.fingerprint for r in found if r.doc_id in (3, 5, 7)}) == 1
 
 
+def test_repeats_of_short_paragraphs_have_their_own_digests():
+    text = "\n".join(["a", "b", "ab", "."] * 400)
+    assert len(digests(text)) == 1600
+    assert likenesses([digests(text)], [digests(text + "\na")]) == [1 - 1 / 3201]
+
+
 def test_one_document_and_none(spark):
     row = fingerprint_versions(docs(spark, [(1, "abcd")])).first()
     assert row.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and row.near_next == 1
