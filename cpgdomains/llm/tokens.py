@@ -24,7 +24,7 @@ _ODD = rf"[{_WHITE}] | [{_WHITE}]|^ | $|\x00"
 _MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:|%$&*#\n])"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Chunks that a worker remembers at most, and bytes of text cut at once.
-REMEMBERED, AT_ONCE = 1_000_000, 8 << 20
+REMEMBERED, AT_ONCE = 1_000_000, 4 << 20
 _loaded: dict[str, "ChunkEncoder"] = {}
 
 
@@ -49,21 +49,21 @@ class ChunkEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(1 << 15, dtype=np.int64)  # of each known chunk's ids; entry 0 stands for none
+        self.ends = np.zeros(1 << 15, dtype=np.int64)  # ends[k] to ends[k + 1]: where chunk k's ids lie
         self.n = 0
 
     def _grow(self, name: str, size: int) -> None:
         old = getattr(self, name)
         if size > len(old):
-            new = np.zeros(max(size, 2 * len(old)), dtype=old.dtype)
+            new = np.zeros(max(size, len(old) * 3 // 2), dtype=old.dtype)
             new[: len(old)] = old
             setattr(self, name, new)
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: pa.Array) -> None:
         for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+            part = new.slice(i, 4096).to_pylist()
             e = self.tokenizer.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
             ids = np.array(e.ids, dtype=np.uint32)
             counts = np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part))
@@ -72,8 +72,22 @@ class ChunkEncoder:
             self._grow("ends", first + len(part) + 1)
             self.ids[at : at + len(ids)] = ids
             self.ends[first + 1 : first + len(part) + 1] = at + np.cumsum(counts)
-            self.known.update(zip(part, range(first + 1, first + len(part) + 1)))
             self.n += len(part)
+        self.known = pa.concat_arrays([self.known, new])
+
+    def numbers(self, distinct: pa.Array) -> np.ndarray:
+        """Each distinct chunk's number; unknown ones are learned."""
+        if self.n > REMEMBERED:
+            self.forget()
+        found = pc.index_in(distinct, value_set=self.known)
+        if found.null_count:
+            first = self.n
+            self.learn(distinct.filter(pc.is_null(found)))
+            missing = pc.is_null(found).to_numpy(zero_copy_only=False)
+            found = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+            found[missing] = first + np.arange(int(missing.sum()))
+            return found
+        return found.to_numpy().astype(np.int64)
 
     def encode(self, texts: pa.Array | pa.ChunkedArray, end: int | None = None) -> Iterator[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers, ``end`` appended."""
@@ -86,22 +100,15 @@ class ChunkEncoder:
             chunks = cut(texts.slice(i, j - i))
             bounds = chunks.offsets.to_numpy()
             numbered = pc.dictionary_encode(chunks.flatten())
-            distinct = numbered.dictionary.to_pylist()
-            if self.n > REMEMBERED:
-                self.forget()
-            entries = list(map(self.known.get, distinct))
-            if None in entries:
-                new = [c for c, e in zip(distinct, entries, strict=True) if e is None]
-                fresh = iter(range(self.n + 1, self.n + 1 + len(new)))
-                self.learn(new)
-                entries = [next(fresh) if e is None else e for e in entries]
-            entries = np.array(entries, dtype=np.int64)[numbered.indices.to_numpy()]
-            starts, lengths = self.ends[entries - 1], self.ends[entries] - self.ends[entries - 1]
+            which = self.numbers(numbered.dictionary)[numbered.indices.to_numpy()]
+            starts, lengths = self.ends[which], self.ends[which + 1] - self.ends[which]
             stops = np.concatenate([[0], np.cumsum(lengths)])
             ids = self.ids[np.repeat(starts - stops[:-1], lengths) + np.arange(stops[-1])]
             at = stops[bounds - bounds[0]].tolist()
+            del chunks, numbered, which, starts, lengths
             for s, e in zip(at, at[1:]):
                 yield np.concatenate([ids[s:e], tail])
+        pa.default_memory_pool().release_unused()
 
 
 def encoder(path: str) -> ChunkEncoder:
