@@ -91,7 +91,7 @@ def _edge(points: DataFrame, size: int, label: str, low: float, int_high: float,
     ends = events.select("kind", "point", *((F.col(k) - F.lag(k).over(edges)).alias(k) for k in values)).where("kind = 2")
     n = F.when(F.col("n") > 0, F.col("n"))
     mean = F.col("s1") / n
-    std = F.sqrt(F.greatest(F.col("s2") / n - mean * mean, zero))
+    std = F.when(F.col("n") > 0, F.sqrt(F.greatest(F.col("s2") / n - mean * mean, zero)))
     columns = [mean, std, F.col("hi") / n, F.col("mid") / n, F.col("lo") / n, F.col("n")]
     return ends.select("point.*", *(c.alias(f"{label}_{s}") for c, s in zip(columns, SUFFIXES, strict=True)))
 
