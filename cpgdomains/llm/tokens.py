@@ -23,6 +23,10 @@ _WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 _ODD = rf"[{_WHITE}] | [{_WHITE}]|^ | $|\x00"
 _MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:|%$&*#\n])"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Chunks that may follow any that doesn't end in white space, and those that may follow a letter, so that a text of them is cut between them.
+_AFTER_ANY = rf"(?s)^ [^{_WHITE}](.*[^{_WHITE}])?$"
+_AFTER_LETTER = rf"(?s)^[.,!?;:|%$&*#\n](.*[^{_WHITE}])?$"
+_LETTER = r"[A-Za-zÀ-ÖØ-öø-ÿ]$"
 #: Chunks that a worker remembers at most, and bytes of text cut at once.
 REMEMBERED, AT_ONCE = 1_000_000, 4 << 20
 _loaded: dict[str, "ChunkEncoder"] = {}
@@ -46,6 +50,13 @@ class ChunkEncoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        widths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            widths[i] = len(token)
+        probe = " A b\u00e9 ,.1"
+        ids = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        # a lossless byte-level vocabulary: a token's length is its number of bytes
+        self.widths = widths if int(widths[ids].sum()) == len(probe.encode()) else None
         self.forget()
 
     def forget(self) -> None:
@@ -61,33 +72,54 @@ class ChunkEncoder:
             new[: len(old)] = old
             setattr(self, name, new)
 
-    def learn(self, new: pa.Array) -> None:
-        for i in range(0, len(new), 4096):
-            part = new.slice(i, 4096).to_pylist()
-            e = self.tokenizer.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
-            ids = np.array(e.ids, dtype=np.uint32)
-            counts = np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part))
-            first, at = self.n, int(self.ends[self.n])
-            self._grow("ids", at + len(ids))
-            self._grow("ends", first + len(part) + 1)
-            self.ids[at : at + len(ids)] = ids
-            self.ends[first + 1 : first + len(part) + 1] = at + np.cumsum(counts)
-            self.n += len(part)
-        self.known = pa.concat_arrays([self.known, new])
+    def _ids(self, part: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, ids of each chunk). Chunks that join are encoded as one text and told apart by their bytes."""
+        if joined:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            stops = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(c.encode()) for c in part])) + 1
+            return ids, np.diff(stops, prepend=0)
+        e = self.tokenizer.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
+        return np.array(e.ids, dtype=np.uint32), np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part))
+
+    @staticmethod
+    def _together(new: pa.Array) -> np.ndarray:
+        """Chunks in an order in which they can be encoded as one text: each mark follows a letter, at an odd place."""
+        has = lambda pattern: pc.match_substring_regex(new, pattern).to_numpy(zero_copy_only=False)
+        free, mark, letter = has(_AFTER_ANY), has(_AFTER_LETTER) & ~has(r"^\n$"), has(_LETTER)
+        a, b = np.flatnonzero(free & letter), np.flatnonzero(mark)
+        n = min(len(a), len(b))
+        pairs = np.stack([a[:n], b[:n]], axis=1).ravel()
+        return np.concatenate([pairs, a[n:], np.flatnonzero(free & ~letter)])
+
+    def learn(self, new: pa.Array) -> np.ndarray:
+        """Encodes chunks and returns the numbers they get."""
+        numbers, first = np.zeros(len(new), dtype=np.int64), self.n
+        together = self._together(new) if self.widths is not None else np.zeros(0, np.int64)
+        for joined, which in ((True, together), (False, np.setdiff1d(np.arange(len(new)), together))):
+            numbers[which] = self.n + np.arange(len(which))
+            part = new.take(pa.array(which))
+            self.known = pa.concat_arrays([self.known, part])
+            for i in range(0, len(part), 4096):
+                ids, counts = self._ids(part.slice(i, 4096).to_pylist(), joined)
+                at = int(self.ends[self.n])
+                self._grow("ids", at + len(ids))
+                self._grow("ends", self.n + len(counts) + 1)
+                self.ids[at : at + len(ids)] = ids
+                self.ends[self.n + 1 : self.n + len(counts) + 1] = at + np.cumsum(counts)
+                self.n += len(counts)
+        assert self.n == first + len(new) == len(self.known)
+        return numbers
 
     def numbers(self, distinct: pa.Array) -> np.ndarray:
         """Each distinct chunk's number; unknown ones are learned."""
         if self.n > REMEMBERED:
             self.forget()
         found = pc.index_in(distinct, value_set=self.known)
+        out = pc.fill_null(found, 0).to_numpy().astype(np.int64)
         if found.null_count:
-            first = self.n
-            self.learn(distinct.filter(pc.is_null(found)))
-            missing = pc.is_null(found).to_numpy(zero_copy_only=False)
-            found = pc.fill_null(found, 0).to_numpy().astype(np.int64)
-            found[missing] = first + np.arange(int(missing.sum()))
-            return found
-        return found.to_numpy().astype(np.int64)
+            missing = pc.is_null(found)
+            out[missing.to_numpy(zero_copy_only=False)] = self.learn(distinct.filter(missing))
+        return out
 
     def encode(self, texts: pa.Array | pa.ChunkedArray, end: int | None = None) -> Iterator[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers, ``end`` appended."""

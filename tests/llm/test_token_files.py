@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from cpgdomains.llm.token_files import TokenFile, decode_blocks, encode_blocks, read_token_files, write_file, write_token_files
-from cpgdomains.llm.tokens import ChunkEncoder, cut
+from cpgdomains.llm.tokens import cut, encoder
 
 from .data import ODD, docs
 
@@ -63,4 +63,5 @@ def test_chunks_encode_as_the_whole(name, texts):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     assert ["".join(c) for c in cut(pa.array(texts)).to_pylist()] == texts
-    assert [x.tolist() for x in ChunkEncoder(path).encode(pa.array(texts))] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    encoder(path).forget()
+    assert [x.tolist() for x in encoder(path).encode(pa.array(texts))] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
