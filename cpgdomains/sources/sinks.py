@@ -98,3 +98,8 @@ def write_summary(raw: DataFrame, clean: DataFrame, folder: str, sample: str) ->
 def read_clean(spark: SparkSession, folder: str, sample: str, state: str) -> DataFrame:
     """A summary's metadata table read back; an error if it isn't there."""
     return spark.read.csv(f"{folder}/summary_files/metadata_cleaned_{sample}_{state}.tsv", sep="\t", header=True, inferSchema=True)
+
+
+def write_search_history(history: DataFrame, path: str) -> str:
+    """Scores of every trial of a rule search, best first."""
+    return write_file(history.orderBy(F.desc("f1_macro"), "trial"), path, header=True)

@@ -143,6 +143,8 @@ def test_files(spark, tmp_path):
     assert sinks.read_clean(spark, str(tmp_path), "s1", "PMD").first().n_pmd_segments == 1
     sinks.write_clean(clean, str(tmp_path), "s1", "chr2")
     assert open(f"{tmp_path}/clean_regions/segments_cleaned_chr2_s1_HIGH.bed").read() == "chr2\t5\t9\tHIGH\n"
+    history = spark.createDataFrame([(0, 0.5), (1, 0.75)], "trial long, f1_macro double")
+    assert open(sinks.write_search_history(history, f"{tmp_path}/h.tsv")).read() == "trial\tf1_macro\n1\t0.75\n0\t0.5\n"
     sinks.write_points(points(spark, [("c", 1, 0.5)]), f"{tmp_path}/points")
     assert spark.read.csv(f"{tmp_path}/points", sep="\t", header=True).first().beta == "0.5"
     sinks.write_points_table(points(spark, [("c", 1, 0.5), ("d", 1, 0.5)]), f"{tmp_path}/table")
