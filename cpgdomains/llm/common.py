@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null document id: before all others.
 NO_ID = -(2**63)
+#: Ranges of ids at most: their bounds go to every task. Beyond about 8 TB of text the ranges grow instead.
+MOST_RANGES = 1 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -58,11 +60,11 @@ def range_groups(docs: DataFrame, group_bytes: int) -> tuple[Column, list[int],
     """
     size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_bytes()))).first()
     rows, total = size[0], size[1] or 0
-    n = max(1, min(rows, max(-(-total // group_bytes), 3 * shuffle_partitions(docs.sparkSession))))
+    n = max(1, min(rows, MOST_RANGES, max(-(-total // group_bytes), 3 * shuffle_partitions(docs.sparkSession))))
     bounds: list[int] = []
     if n > 1:
         cuts = [i / n for i in range(1, n)]
-        found = docs.agg(F.percentile_approx(id_or_first(), cuts, max(10_000, 20 * n))).first()[0]
+        found = docs.agg(F.percentile_approx(id_or_first(), cuts, min(1_000_000, max(10_000, 20 * n)))).first()[0]
         bounds = sorted(set(found or []))
     edges = np.array(bounds, dtype=np.int64)
 

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import NO_ID, id_or_first, materialise, shuffle_partitions, text_bytes
 
 _U = np.uint64
-SEED, TOP_BITS = 42, 18
+#: Seed of the shingle hashes, and levels of the trie's top at most: its leaves' pairs, under a million then, are dealt from the driver.
+SEED, TOP_BITS = 42, 14
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
