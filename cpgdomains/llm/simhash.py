@@ -83,8 +83,15 @@ def split_top(counts: dict[int, int], bits: int, most: int) -> list[tuple[int, i
     return sorted(leaves, key=lambda x: x[0] << (64 - x[1]))
 
 
-def leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
-    """Pairs of leaves (i <= j) that differ in at most ``budget`` of the bits both have: traversal of node pairs."""
+def schedule(budget: int, start: int | None = None, levels: int = 17, step: int = 5) -> list[int]:
+    """Errors allowed within the first 0..64 bits: ``budget`` throughout, or ``start`` for some levels and then one more per ``step``."""
+    if start is None:
+        return [budget] * 65
+    return [min(budget, start + max(0, -(-(d - levels) // step))) if d < 64 else budget for d in range(65)]
+
+
+def leaf_pairs(leaves: list[tuple[int, int]], budgets: list[int]) -> list[tuple[int, int]]:
+    """Pairs of leaves (i <= j) within the budgets on the bits both have: traversal of node pairs."""
     lo = np.array([p << (64 - d) if d else 0 for p, d in leaves], dtype=np.uint64)
     depth = [d for _, d in leaves]
 
@@ -95,7 +102,7 @@ def leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, in
     out, work = [], [(0, len(leaves), 0, len(leaves), 0, 0)]
     while work:
         a, b, c, d, bit, err = work.pop()
-        if a == b or c == d or err > budget:
+        if a == b or c == d or err > budgets[bit]:
             continue
         left_ends, right_ends = b - a == 1 and depth[a] <= bit, d - c == 1 and depth[c] <= bit
         if left_ends or right_ends:  # one has no more bits: all leaves below the other are its partners
@@ -108,8 +115,10 @@ def leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, in
     return sorted(set(out))
 
 
-def trie_join(values: np.ndarray, home: tuple[int, int], budget: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of sorted distinct ``values`` within ``budget`` bits, one of each pair in home = (start, end), the other not before it.
+def trie_join(values: np.ndarray, home: tuple[int, int], budgets: list[int], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of sorted distinct ``values`` within ``budgets[64]`` bits, one of each pair in home = (start, end), the other not before it.
+
+    ``budgets[d]`` bounds the errors within the first d bits; one number throughout finds every pair.
 
     Node pairs (ranges of values that share a prefix) go down level by level; at most about ``most`` are expanded at once.
     """
@@ -124,7 +133,7 @@ def trie_join(values: np.ndarray, home: tuple[int, int], budget: int, most: int
     work = [(0, np.array([s, s]), np.array([e, e]), np.array([s, e]), np.array([e, len(values)]), np.array([0, 0]))]
     while work:
         bit, a, b, c, d, err = work.pop()
-        keep = (a < b) & (c < d) & (err <= budget)
+        keep = (a < b) & (c < d) & (err <= budgets[bit])
         a, b, c, d, err = (x[keep] for x in (a, b, c, d, err))
         same = (a == c) & (b == d)
         keep = ~(same & (b - a == 1))
@@ -132,7 +141,7 @@ def trie_join(values: np.ndarray, home: tuple[int, int], budget: int, most: int
         single = (b - a == 1) & (d - c == 1)  # two leaves: all their remaining bits at once
         if single.any():
             i, j = a[single], c[single]
-            near = np.bitwise_count(values[i] ^ values[j]) <= budget
+            near = np.bitwise_count(values[i] ^ values[j]) <= budgets[64]
             if near.any():
                 yield i[near], j[near]
             a, b, c, d, err, same = (x[~single] for x in (a, b, c, d, err, same))
@@ -194,7 +203,7 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(leaf, pa.int32()), pa.array(blob, pa.binary())], names=["home", "leaf", "values"])
 
 
-def _links(order: list[int], starts: list[int], budget: int):
+def _links(order: list[int], starts: list[int], budgets: list[int]):
     edges = [*starts, 1 << 64]
     back = [63 - order.index(63 - k) for k in range(64)]  # undoes the permutation
 
@@ -203,25 +212,45 @@ def _links(order: list[int], starts: list[int], budget: int):
         values = np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in rows["values"].to_pylist()]))
         s = int(np.searchsorted(values, _U(edges[home])))
         e = len(values) if edges[home + 1] == 1 << 64 else int(np.searchsorted(values, _U(edges[home + 1])))
-        forest, touched = Forest(len(values)), np.zeros(len(values), dtype=np.int64)
-        for i, j in trie_join(values, (s, e), budget):
-            np.add.at(touched, i, 1)
-            np.add.at(touched, j, 1)
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                forest.join(x, y)
-        at = np.flatnonzero(touched)
-        roots = np.array([forest.root(i) for i in at.tolist()], dtype=np.int64)
-        other = at != roots
+        u, v = spanning_pairs(values, trie_join(values, (s, e), budgets))
         plain = permute(values, back).view(np.int64)
-        return pa.table({"u": pa.array(plain[at[other]], pa.int64()), "v": pa.array(plain[roots[other]], pa.int64())})
+        return pa.table({"u": pa.array(plain[u], pa.int64()), "v": pa.array(plain[v], pa.int64())})
 
     return f
 
 
-def trie_links(classes: DataFrame, budget: int = 2, leaf: int | None = None) -> DataFrame:
-    """Links (u, v) between the distinct fingerprints of ``classes(fp)``: those within ``budget`` bits, as spanning trees.
+def spanning_pairs(values: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of least distances over the pairs: fewer links than values, and no path of it has a longer link than a pair it joins.
+
+    Pairs come in portions; the forest so far stands for those before.
+    """
+    kept = np.zeros((2, 0), dtype=np.int64)
+    held: list[np.ndarray] = []
+    size = 0
+
+    def fold() -> np.ndarray:
+        both = np.concatenate([kept, *held], axis=1)
+        distance = np.bitwise_count(values[both[0]] ^ values[both[1]])
+        both = both[:, np.argsort(distance, kind="stable")]
+        forest, used = Forest(len(values)), []
+        for k, (x, y) in enumerate(zip(*both.tolist(), strict=True)):
+            if forest.root(x) != forest.root(y):
+                forest.join(x, y)
+                used.append(k)
+        return both[:, used]
+
+    for i, j in pairs:
+        held.append(np.stack([i, j]))
+        size += len(i)
+        if size > 1 << 20:
+            kept, held, size = fold(), [], 0
+    return tuple(fold()) if held else tuple(kept)
+
 
-    A fingerprint has at most 2080 others within two bits, so no group of classes makes all its pairs.
+def trie_links(classes: DataFrame, budgets: list[int], leaf: int | None = None, turn: int = 0) -> DataFrame:
+    """Links (u, v) between the distinct fingerprints of ``classes(fp)``: pairs within the budgets, as least spanning forests.
+
+    Bits go by balance, and by a fixed shuffle for each ``turn`` above 0. A fingerprint has at most 2080 others within two bits.
     """
     spark = classes.sparkSession
     counted = classes.agg(F.count(F.lit(1)), *(F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))) for k in range(64))).first()
@@ -230,6 +259,8 @@ def trie_links(classes: DataFrame, budget: int = 2, leaf: int | None = None) ->
     if n < 2:
         return empty
     order = sorted(range(64), key=lambda k: (abs(2 * (counted[k + 1] or 0) - n), k))
+    if turn:
+        order = [order[k] for k in np.random.default_rng(turn).permutation(64).tolist()]
     leaf = leaf or max(512, n // (1 << TOP_BITS), n // (16 * shuffle_partitions(spark)) if n < 1 << 24 else 1 << 14)
     bits = min(TOP_BITS, max(1, (4 * n // leaf).bit_length()))
     prefix = sum((F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)) * F.lit(1 << (bits - 1 - k)) for k, b in enumerate(order[:bits])), F.lit(0).cast("long"))
@@ -237,10 +268,10 @@ def trie_links(classes: DataFrame, budget: int = 2, leaf: int | None = None) ->
     leaves = split_top(counts, bits, leaf)
     starts = [p << (64 - d) if d else 0 for p, d in leaves]
     homes: dict[int, list[int]] = {i: [] for i in range(len(leaves))}
-    for i, j in leaf_pairs(leaves, budget):
+    for i, j in leaf_pairs(leaves, budgets):
         homes[j].append(i)
     dealt = classes.select("fp").mapInArrow(_deal(order, starts, homes), "home int, leaf int, values binary")
-    return dealt.groupBy("home").applyInArrow(_links(order, starts, budget), "u long, v long")
+    return dealt.groupBy("home").applyInArrow(_links(order, starts, budgets), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,15 +298,69 @@ def components(links: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def simhash_dedup(docs: DataFrame, size: int = 3, budget: int = 2, leaf: int | None = None) -> DataFrame:
+def _shingles(size: int):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                sets = [shingle_set(t.as_py(), size).tobytes() for t in part["text"]]
+                yield pa.RecordBatch.from_arrays([part["fp"], pa.array(sets, pa.binary())], names=["fp", "shingles"])
+
+    return f
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's ``size``-word shingles, A-Z in lower case."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))], dtype="<u8"))
+
+
+def _alike(least: float):
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch["a"], batch["b"], strict=True):
+                a, b = (np.frombuffer(z.as_py(), "<u8") for z in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(both >= least * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return f
+
+
+def verified(links: DataFrame, docs: DataFrame, classes: DataFrame, size: int, least: float) -> DataFrame:
+    """Those links whose classes' first documents have a Jaccard similarity of ``least`` or more on ``size``-word shingles."""
+    wanted = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
+    first = classes.join(wanted, "fp", "left_semi").select("fp", F.col("first").alias("doc_id"))
+    texts = docs.select(id_or_first().alias("doc_id"), text_bytes().alias("text")).join(first, "doc_id")
+    sets = materialise(texts.select("fp", "text").mapInArrow(_shingles(size), "fp long, shingles binary").dropDuplicates(["fp"]), "shingles")
+    a, b = (sets.select(F.col("fp").alias(k), F.col("shingles").alias(n)) for k, n in (("u", "a"), ("v", "b")))
+    return links.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_alike(least), "u long, v long")
+
+
+def simhash_dedup(
+    docs: DataFrame, size: int = 3, budget: int = 2, leaf: int | None = None, similar: float | None = None, words: int = 5, reach: int = 10, turns: int = 4
+) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
-    Fingerprints link at ``budget`` or fewer differing bits. Null or empty text: fingerprint zero, linked like any
-    other. A null doc_id counts as the smallest and is returned as null, so its component's id may be null. Repeated rows share a class. Empty table: no rows.
+    Fingerprints link at ``budget`` or fewer differing bits. With ``similar``, those at up to ``reach`` bits link too if the
+    texts' exact Jaccard similarity on ``words``-word shingles is at least that; they are sought in ``turns`` orders of the bits,
+    with few errors allowed in the trie's top, so that a pair missed in one order is found in another.
+    Null or empty text: fingerprint zero, linked like any other. A null doc_id counts as the smallest and is returned as
+    null, so its component's id may be null. Repeated rows share a class. Empty table: no rows.
     """
     rows = materialise(fingerprints(docs, size), "fingerprints")
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    found = components(trie_links(classes, budget, leaf))
+    links = trie_links(classes, schedule(budget), leaf)
+    if similar is not None:
+        far = trie_links(classes, schedule(reach, 2), leaf)
+        for turn in range(1, turns):
+            far = far.unionByName(trie_links(classes, schedule(reach, 2), leaf, turn))
+        far = materialise(far.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+        links = links.unionByName(verified(far, docs, classes, words, similar))
+    found = components(links)
     labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     by_class = labelled.join(smallest, "component").select("fp", "component_id")

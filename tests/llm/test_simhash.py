@@ -52,7 +52,7 @@ def test_trie_join_finds_each_pair_once(budget):
     v = np.unique(np.concatenate([noise ^ np.uint64(0xABCDEF), rng.integers(0, 2**63, 200, dtype=np.uint64)]))
     close = np.bitwise_count(v[:, None] ^ v[None, :]) <= budget
     wanted = {(int(i), int(j)) for i, j in zip(*np.nonzero(close), strict=True) if i < j}
-    got = [(int(i), int(j)) for a, b in s.trie_join(v, (0, len(v)), budget, most=64) for i, j in zip(a, b, strict=True)]
+    got = [(int(i), int(j)) for a, b in s.trie_join(v, (0, len(v)), s.schedule(budget), most=64) for i, j in zip(a, b, strict=True)]
     assert len(got) == len(set(got)) and set(got) == wanted
 
 
@@ -64,9 +64,39 @@ def test_long_chain_is_one_component(spark):
 
 def test_leaf_pairs_cover_all_close_prefixes():
     leaves = s.split_top({p: 10 if p % 3 else 1 for p in range(64)}, 6, 15)
-    pairs = set(s.leaf_pairs(leaves, 2))
+    pairs = set(s.leaf_pairs(leaves, s.schedule(2)))
     for i, (p, d) in enumerate(leaves):
         for j, (q, e) in enumerate(leaves[i:], i):
             m = min(d, e)
             near = ((p >> (d - m)) ^ (q >> (e - m))).bit_count() <= 2
             assert not near or (i, j) in pairs
+
+
+def test_verified_links_find_near_copies_only(spark):
+    rng = np.random.default_rng(8)
+    rows, k = [], 0
+    for g in range(25):
+        base = [f"v{rng.integers(10_000)}" for _ in range(300)]
+        for changes in (0, 3, 5, 30):  # 5 changes leave a similarity over 0.8, 30 one under 0.5
+            words = list(base)
+            for at in rng.choice(300, changes, replace=False):
+                words[at] = f"n{rng.integers(10**9)}"
+            rows.append((k, " ".join(words)))
+            k += 1
+    found = {r.doc_id: r.component_id for r in s.simhash_dedup(docs(spark, rows), similar=0.8, leaf=8).collect()}
+    near = [found[i] == i - i % 4 for i in range(len(rows)) if i % 4 in (1, 2)]
+    assert np.mean(near) > 0.9
+    assert all(found[i] == i for i in range(len(rows)) if i % 4 in (0, 3))
+
+
+def test_forest_keeps_the_closest_links():
+    v = np.array([0b0, 0b1, 0b11, 0b1111], dtype=np.uint64)
+    pairs = [(np.array([0, 0, 1]), np.array([3, 2, 3])), (np.array([0, 1, 2]), np.array([1, 2, 3]))]
+    a, b = s.spanning_pairs(v, iter(pairs))
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(0, 1), (1, 2), (2, 3)}
+
+
+def test_schedule():
+    assert s.schedule(2) == [2] * 65
+    wide = s.schedule(10, 2)
+    assert wide[0] == wide[17] == 2 and wide[18] == 3 and wide[64] == 10 and all(x <= y for x, y in zip(wide, wide[1:], strict=False))
