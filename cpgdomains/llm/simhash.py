@@ -157,23 +157,33 @@ def trie_join(values: np.ndarray, home: tuple[int, int], budgets: list[int], mos
         work.append((bit + 1, *(np.concatenate(x) for x in zip(*parts, strict=True))))
 
 
-class Forest:
-    """Union-find over positions; the smallest position is the root."""
+def least_forest(links: np.ndarray, n: int) -> np.ndarray:
+    """Which of the (2, m) links, in ascending order of weight, make up a least spanning forest of n nodes: Boruvka's rounds.
 
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
+    Each tree takes its first link that leaves it; as the order has no ties, these close no circle.
+    """
+    m = links.shape[1]
+    label, chosen, alive = np.arange(n), np.zeros(m, dtype=bool), np.arange(m)
+    while True:
+        a, b = label[links[0, alive]], label[links[1, alive]]
+        apart = a != b
+        alive, a, b = alive[apart], a[apart], b[apart]
+        if not len(alive):
+            return np.flatnonzero(chosen)
+        first = np.full(n, m)
+        np.minimum.at(first, a, alive)
+        np.minimum.at(first, b, alive)
+        roots = np.flatnonzero(first < m)
+        took = first[roots]
+        chosen[took] = True
+        x, y = label[links[0, took]], label[links[1, took]]
+        up = np.arange(n)
+        up[roots] = np.where(x == roots, y, x)
+        top = roots[(up[up[roots]] == roots) & (roots < up[roots])]  # two trees that took the same link
+        up[top] = top
+        while not (up[up] == up).all():
+            up = up[up]
+        label = up[label]
 
 
 def _deal(order: list[int], starts: list[int], homes: dict[int, list[int]]):
@@ -230,14 +240,8 @@ def spanning_pairs(values: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndar
 
     def fold() -> np.ndarray:
         both = np.concatenate([kept, *held], axis=1)
-        distance = np.bitwise_count(values[both[0]] ^ values[both[1]])
-        both = both[:, np.argsort(distance, kind="stable")]
-        forest, used = Forest(len(values)), []
-        for k, (x, y) in enumerate(zip(*both.tolist(), strict=True)):
-            if forest.root(x) != forest.root(y):
-                forest.join(x, y)
-                used.append(k)
-        return both[:, used]
+        both = both[:, np.argsort(np.bitwise_count(values[both[0]] ^ values[both[1]]), kind="stable")]
+        return both[:, least_forest(both, len(values))]
 
     for i, j in pairs:
         held.append(np.stack([i, j]))

@@ -16,6 +16,34 @@ def plain(text, size=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+class Forest:
+    def __init__(self, n):
+        self.up = list(range(n))
+
+    def root(self, i):
+        while self.up[i] != i:
+            i = self.up[i]
+        return i
+
+    def join(self, i, j):
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_least_forest_is_kruskals(seed):
+    rng = np.random.default_rng(seed)
+    n, m = 40, int(rng.integers(0, 300))
+    links = rng.integers(0, n, (2, m))
+    forest, wanted = Forest(n), []
+    for k in range(m):
+        i, j = links[:, k].tolist()
+        if forest.root(i) != forest.root(j):
+            forest.join(i, j)
+            wanted.append(k)
+    assert s.least_forest(links, n).tolist() == wanted
+
+
 def test_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = [f"word{i}" for i in range(400)]
@@ -27,7 +55,7 @@ def test_against_brute_force(spark):
         rows.append((100 + k, " ".join(words)))
     found = s.simhash_dedup(docs(spark, rows), leaf=4).collect()
     fps = [plain(t) for _, t in rows]
-    forest = s.Forest(len(rows))
+    forest = Forest(len(rows))
     for i in range(len(rows)):
         for j in range(i):
             if (fps[i] ^ fps[j]).bit_count() <= 2:
