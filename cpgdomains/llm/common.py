@@ -18,15 +18,20 @@ NO_ID = -(2**63)
 MOST_RANGES = 1 << 20
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is unset (tests on one machine) is a temporary folder chosen and set.
+    Only where that setting is unset (tests on one machine) does a temporary folder of the application stand for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="corpus-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="corpus-")
+        base = _own[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
