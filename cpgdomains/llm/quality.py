@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import text_bytes
 
 LEVEL = 3
+#: Bytes of a trained dictionary at least.
+LEAST = 8 << 10
 
 
 @dataclass(frozen=True)
@@ -58,11 +60,14 @@ class Measure:
 
 
 def dictionary(texts: list[bytes], size: int) -> bytes:
-    """A trained dictionary; of too few texts their own bytes."""
-    try:
-        return zstandard.train_dictionary(size, texts).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(texts)[-size:]
+    """A trained dictionary of at most ``size`` bytes and a 24th of the texts, as training on less gives a stunted one; of few texts their own bytes."""
+    size = min(size, sum(map(len, texts)) // 24)
+    if size >= LEAST:
+        try:
+            return zstandard.train_dictionary(size, texts).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(texts)[: 4 * LEAST]
 
 
 def calibrate(features: np.ndarray, labels: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]:
@@ -120,6 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, calibration
     # both lists are bounded by the parameters, so the joins' small sides are too
     for r in rows.join(F.broadcast(spark.createDataFrame(first, schema)), "doc_id").select("label", "text").sort("doc_id", "text").collect():
         texts[r["label"]].append(bytes(r["text"]))
+    size = min(size, *(max(LEAST, sum(map(len, t)) // 24) for t in texts.values()))  # both alike, as a larger one helps any text
     good, bad = (dictionary(texts[k], size) if texts[k] else b"" for k in (1, 0))
     sample = rows.join(F.broadcast(spark.createDataFrame(second, schema)), "doc_id").select("label", "text").mapInArrow(_measured(good, bad), "label int, difference double, ratio double, length double").collect()
     if not sample:
