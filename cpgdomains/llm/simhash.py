@@ -186,8 +186,8 @@ def least_forest(links: np.ndarray, n: int) -> np.ndarray:
         label = up[label]
 
 
-def _deal(order: list[int], starts: list[int], homes: dict[int, list[int]]):
-    """Fingerprints to their leaf's blob, one per batch and leaf, for each home that needs the leaf."""
+def _deal(order: list[int], starts: list[int]):
+    """A batch's fingerprints by leaf: at most a row per fingerprint."""
     edges = np.array(starts, dtype=np.uint64)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,22 +195,23 @@ def _deal(order: list[int], starts: list[int], homes: dict[int, list[int]]):
             values = np.sort(permute(batch["fp"].to_numpy(), order))
             at = np.searchsorted(edges, values, side="right") - 1
             cuts = np.searchsorted(at, np.arange(len(edges) + 1))
-            rows: list[tuple[int, int, bytes]] = []
-            for leaf in np.flatnonzero(np.diff(cuts)).tolist():
-                blob = values[cuts[leaf] : cuts[leaf + 1]].astype("<u8").tobytes()
-                rows += [(home, leaf, blob) for home in homes[leaf]]
-                if len(rows) > 20_000:
-                    yield _blobs(rows)
-                    rows = []
-            if rows:
-                yield _blobs(rows)
+            leaves = np.flatnonzero(np.diff(cuts)).tolist()
+            blobs = [values[cuts[k] : cuts[k + 1]].astype("<u8").tobytes() for k in leaves]
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(blobs, pa.binary())], names=["leaf", "values"])
 
     return f
 
 
-def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    home, leaf, blob = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(leaf, pa.int32()), pa.array(blob, pa.binary())], names=["home", "leaf", "values"])
+def _spread(homes: dict[int, list[int]]):
+    """A whole leaf, once for each home that needs it."""
+
+    def f(key, rows):
+        leaf = key[0].as_py()
+        blob = b"".join(rows["values"].to_pylist())
+        to = homes[leaf]
+        return pa.table({"home": pa.array(to, pa.int32()), "leaf": pa.array([leaf] * len(to), pa.int32()), "values": pa.array([blob] * len(to), pa.binary())})
+
+    return f
 
 
 def _links(order: list[int], starts: list[int], budgets: list[int]):
@@ -274,7 +275,7 @@ def trie_links(classes: DataFrame, budgets: list[int], leaf: int | None = None,
     homes: dict[int, list[int]] = {i: [] for i in range(len(leaves))}
     for i, j in leaf_pairs(leaves, budgets):
         homes[j].append(i)
-    dealt = classes.select("fp").mapInArrow(_deal(order, starts, homes), "home int, leaf int, values binary")
+    dealt = classes.select("fp").mapInArrow(_deal(order, starts), "leaf int, values binary").groupBy("leaf").applyInArrow(_spread(homes), "home int, leaf int, values binary")
     return dealt.groupBy("home").applyInArrow(_links(order, starts, budgets), "u long, v long")
 
 
