@@ -37,10 +37,11 @@ def _conditions(low: float, int_high: float, high: float) -> list[Column]:
     return [b > F.lit(high), (b >= F.lit(low)) & (b <= F.lit(int_high)), b < F.lit(low)]
 
 
-def density(points: DataFrame, window: int) -> float:
-    """Largest number of points a window holds on average over any (sample, chromosome)."""
+def densities(points: DataFrame, sizes: list[int]) -> list[float]:
+    """For each window, the largest number of points it holds on average over any (sample, chromosome): one aggregate."""
     per = points.groupBy(*POINT_KEYS).agg(F.count(F.lit(1)).alias("n"), (F.max("CpG_beg") - F.min("CpG_beg") + 1).alias("span"))
-    return per.agg(F.max(F.col("n") * F.least(F.lit(window), F.col("span")) / F.col("span"))).first()[0] or 0.0
+    row = per.agg(*(F.max(F.col("n") * F.least(F.lit(s), F.col("span")) / F.col("span")).alias(f"d{i}") for i, s in enumerate(sizes))).first()
+    return [v or 0.0 for v in row]
 
 
 def emissions(
@@ -48,12 +49,12 @@ def emissions(
 ) -> DataFrame:
     """``points`` with six columns per window: mean, population std, shares high / intermediate / low, count.
 
-    ``plan``: "range", "edge", or "auto", which measures the density of each window with one aggregate.
+    ``plan``: "range", "edge", or "auto", which measures the density of the windows with one aggregate.
     """
     out = points
-    for size, label in windows:
-        chosen = plan if plan != "auto" else "edge" if density(points, size) > DENSE else "range"
-        out = (_edge if chosen == "edge" else _range)(out, size, label, low, int_high, high)
+    dense = [plan == "edge"] * len(windows) if plan != "auto" else [d > DENSE for d in densities(points, [s for s, _ in windows])]
+    for (size, label), edge in zip(windows, dense, strict=True):
+        out = (_edge if edge else _range)(out, size, label, low, int_high, high)
     return out
 
 

@@ -20,6 +20,8 @@ def agreement_of(counts: DataFrame, true: str, pred: str, keys: list[str] = ())
     ``counts``: label pairs with column n. Labels are those that either side has.
     """
     keys = list(keys)
+    if not keys:
+        return agreement_of(counts.withColumn("all", F.lit(0)), true, pred, ["all"]).drop("all")
     base = counts.select(*keys, F.col(true).cast("string").alias("t"), F.col(pred).cast("string").alias("p"), F.col("n").cast("double").alias("n"))
     truths = base.groupBy(*keys, F.col("t").alias("label")).agg(F.sum("n").alias("n_true"))
     preds = base.groupBy(*keys, F.col("p").alias("label")).agg(F.sum("n").alias("n_pred"))
@@ -37,7 +39,7 @@ def agreement_of(counts: DataFrame, true: str, pred: str, keys: list[str] = ())
         F.sum(pairs(t)).alias("pairs_true"), F.sum(pairs(p)).alias("pairs_pred"), F.sum(xlogx(t)).alias("log_true"), F.sum(xlogx(p)).alias("log_pred"),
     )
     cells = base.groupBy(*keys).agg(F.sum(pairs(F.col("n"))).alias("pairs_both"), F.sum(xlogx(F.col("n"))).alias("log_both"))
-    joined = labels.join(cells, keys) if keys else labels.crossJoin(cells)  # without keys both are one row
+    joined = labels.join(cells, keys)
     n = F.col("total")
     expected = F.col("pairs_true") * F.col("pairs_pred") / F.greatest(pairs(n), F.lit(1.0))
     best = (F.col("pairs_true") + F.col("pairs_pred")) / 2

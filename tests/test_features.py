@@ -47,7 +47,7 @@ def test_plans_agree_at_any_size(spark, size):
 def test_density_chooses_the_plan(spark):
     rows = [("c", i, 0.5) for i in range(1000)]
     table = points(spark, rows)
-    assert f.density(table, 500) == 500 and f.density(points(spark, rows[:1]), 500) == 1
+    assert f.densities(table, [500, 2000]) == [500, 1000] and f.densities(points(spark, rows[:1]), [500]) == [1] and f.densities(points(spark, []), [1]) == [0]
     assert all(r.w_n_cpg == min(r.CpG_beg + 251, 1000, 501, 1000 - r.CpG_beg + 250) for r in f.emissions(table, [(500, "w")]).collect())
 
 
