@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_or_first, shared_dir, shuffle_partitions, text_bytes
+from .common import id_or_first, release, shared_dir, shuffle_partitions, text_bytes
 
 #: Bits by which the histogram of an overfull prefix grows, and the most bits of a directory.
 STEP, MOST = 8, 24
@@ -93,6 +93,8 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([e[0] for e in held.values()], pa.int64()), pa.array([e[1] for e in held.values()], pa.int64()), pa.array([e[2] for e in held.values()], pa.int64()), pa.array(list(held), pa.binary())],
             names=["h", "keep_id", "n", "text"],
         )
+        del held
+    release()
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

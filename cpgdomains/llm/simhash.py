@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_or_first, materialise, shuffle_partitions, text_bytes
+from .common import NO_ID, id_or_first, materialise, release, shuffle_partitions, text_bytes
 
 _U = np.uint64
 #: Seed of the shingle hashes, and levels of the trie's top at most: its leaves' pairs, under a million then, are dealt from the driver.
@@ -49,6 +49,7 @@ def _fingerprints(size: int):
         for batch in batches:
             values = np.array([fingerprint(t.as_py(), size) for t in batch["text"]], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values, pa.int64())], names=["doc_id", "fp"])
+        release()
 
     return f
 

@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_or_first, range_groups, raw, shuffle_partitions, slices, text_bytes
+from .common import NO_ID, id_or_first, range_groups, raw, release, shuffle_partitions, slices, text_bytes
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -118,7 +118,10 @@ def _send(size: int, buckets: int):
         edges = (np.arange(1, buckets, dtype=object) * 2**64 // buckets).astype(np.uint64)
         parts = np.split(hashes, np.searchsorted(hashes, edges))
         full = [b for b, p in enumerate(parts) if len(p)]
-        return pa.table({"bucket": pa.array(full, pa.int32()), "g": pa.array([group] * len(full), pa.int32()), "hashes": pa.array([pack(parts[b]) for b in full], pa.binary())})
+        out = pa.table({"bucket": pa.array(full, pa.int32()), "g": pa.array([group] * len(full), pa.int32()), "hashes": pa.array([pack(parts[b]) for b in full], pa.binary())})
+        del hashes, parts
+        release()
+        return out
 
     return f
 
@@ -135,6 +138,8 @@ def _count(rows):
     again = np.zeros(len(hashes), dtype=bool)
     again[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
     out = [(g, pack(hashes[s:e][again[s:e]])) for g, s, e in zip(groups, [0, *ends[:-1]], ends, strict=True) if again[s:e].any()]
+    del hashes, order, again
+    release()
     return pa.table({"g": pa.array([g for g, _ in out], pa.int32()), "repeated": pa.array([b for _, b in out], pa.binary())})
 
 
@@ -190,7 +195,10 @@ def _remove(size: int, texts_out: bool, carry: list[str]):
                 out["kept"].append((kept if removed else text) if texts_out else None)
                 out["spans"].append(edges)
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "spans": pa.list_(pa.int64())}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()} | {c: rows[c] for c in carry})
+        table = pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()} | {c: rows[c] for c in carry})
+        del elsewhere, seen_h, seen_id, out
+        release()
+        return table
 
     return f
 

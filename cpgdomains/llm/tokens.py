@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from .common import slices
+from .common import release, slices
 
 _WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A space beside white space or an end, or the cut mark: such texts are cut by the slower rule.
@@ -140,7 +140,7 @@ class ChunkEncoder:
             del chunks, numbered, which, starts, lengths
             for s, e in zip(at, at[1:]):
                 yield np.concatenate([ids[s:e], tail])
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def encoder(path: str) -> ChunkEncoder:
