@@ -6,6 +6,10 @@ pairs of that top are traversed together on the driver, which keeps the pairs of
 fingerprints only as counts. A task gets one leaf with its partners and goes on down the trie, all node pairs of a level at
 once: equal bits keep the error, differing bits add one, and a pair over the budget is dropped. Tasks return spanning links
 of what they find, and components grow over these links by alternating large and small stars, on disk between rounds.
+
+Where links must pass a check of the texts, spanning links of the unchecked pairs only give the first components. The trie is
+then joined again, and every pair whose ends these leave apart is checked, in groups of at most two times ``CHUNK``
+fingerprints; within a group a pair is passed over only if links that have passed join its ends already.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from .common import NO_ID, id_or_first, materialise, release, shuffle_partitions
 _U = np.uint64
 #: Seed of the shingle hashes, and levels of the trie's top at most: its leaves' pairs, under a million then, are dealt from the driver.
 SEED, TOP_BITS = 42, 14
+#: Fingerprints on either side of a group whose pairs are checked together.
+CHUNK = 256
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -188,17 +194,19 @@ def least_forest(links: np.ndarray, n: int) -> np.ndarray:
 
 
 def _deal(order: list[int], starts: list[int]):
-    """A batch's fingerprints by leaf: at most a row per fingerprint."""
+    """A batch's fingerprints and their labels by leaf: at most a row per fingerprint."""
     edges = np.array(starts, dtype=np.uint64)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.sort(permute(batch["fp"].to_numpy(), order))
+            values = permute(batch["fp"].to_numpy(), order)
+            by = np.argsort(values)
+            values, labels = values[by], batch["label"].to_numpy()[by]
             at = np.searchsorted(edges, values, side="right") - 1
             cuts = np.searchsorted(at, np.arange(len(edges) + 1))
             leaves = np.flatnonzero(np.diff(cuts)).tolist()
-            blobs = [values[cuts[k] : cuts[k + 1]].astype("<u8").tobytes() for k in leaves]
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), pa.array(blobs, pa.binary())], names=["leaf", "values"])
+            blobs = [[x[cuts[k] : cuts[k + 1]].astype(kind).tobytes() for k in leaves] for x, kind in ((values, "<u8"), (labels, "<i8"))]
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], names=["leaf", "values", "labels"])
 
     return f
 
@@ -208,29 +216,59 @@ def _spread(homes: dict[int, list[int]]):
 
     def f(key, rows):
         leaf = key[0].as_py()
-        blob = b"".join(rows["values"].to_pylist())
         to = homes[leaf]
-        return pa.table({"home": pa.array(to, pa.int32()), "leaf": pa.array([leaf] * len(to), pa.int32()), "values": pa.array([blob] * len(to), pa.binary())})
+        blobs = {k: pa.array([b"".join(rows[k].to_pylist())] * len(to), pa.binary()) for k in ("values", "labels")}
+        return pa.table({"home": pa.array(to, pa.int32()), "leaf": pa.array([leaf] * len(to), pa.int32()), **blobs})
 
     return f
 
 
-def _links(order: list[int], starts: list[int], budgets: list[int]):
+def _joined(starts: list[int], budgets: list[int], home: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """(values, labels, pairs) of a leaf with its partners."""
     edges = [*starts, 1 << 64]
-    back = [63 - order.index(63 - k) for k in range(64)]  # undoes the permutation
+    values, labels = (np.concatenate([np.frombuffer(b, kind) for b in rows[k].to_pylist()]) for k, kind in (("values", "<u8"), ("labels", "<i8")))
+    by = np.argsort(values)
+    values, labels = values[by], labels[by]
+    s = int(np.searchsorted(values, _U(edges[home])))
+    e = len(values) if edges[home + 1] == 1 << 64 else int(np.searchsorted(values, _U(edges[home + 1])))
+    return values, labels, trie_join(values, (s, e), budgets)
+
+
+def _plain(values: np.ndarray, order: list[int]) -> np.ndarray:
+    """Undoes ``permute``."""
+    return permute(values, [63 - order.index(63 - k) for k in range(64)]).view(np.int64)
+
 
+def _links(order: list[int], starts: list[int], budgets: list[int]):
     def f(key, rows):
-        home = key[0].as_py()
-        values = np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in rows["values"].to_pylist()]))
-        s = int(np.searchsorted(values, _U(edges[home])))
-        e = len(values) if edges[home + 1] == 1 << 64 else int(np.searchsorted(values, _U(edges[home + 1])))
-        u, v = spanning_pairs(values, trie_join(values, (s, e), budgets))
-        plain = permute(values, back).view(np.int64)
+        values, _, pairs = _joined(starts, budgets, key[0].as_py(), rows)
+        u, v = spanning_pairs(values, pairs)
+        plain = _plain(values, order)
         return pa.table({"u": pa.array(plain[u], pa.int64()), "v": pa.array(plain[v], pa.int64())})
 
     return f
 
 
+def _groups(order: list[int], starts: list[int], budgets: list[int], chunk: int):
+    """Who meets whom: of each two runs of ``chunk`` labelled values the members that have a partner with another label there."""
+
+    def f(key, rows):
+        home = key[0].as_py()
+        values, labels, pairs = _joined(starts, budgets, home, rows)
+        n = len(values)
+        run = np.cumsum(labels != NO_ID) // chunk
+        found = np.zeros(0, dtype=np.int64)
+        for i, j in pairs:
+            apart = labels[i] != labels[j]
+            i, j = i[apart], j[apart]
+            group = run[i] * (n + 1) + run[j]
+            found = np.unique(np.concatenate([found, group * n + i, group * n + j]))
+        group, member = found // max(n, 1), found % max(n, 1)
+        return pa.table({"home": pa.array([home] * len(found), pa.int32()), "part": pa.array(group, pa.int64()), "fp": pa.array(_plain(values, order)[member], pa.int64())})
+
+    return f
+
+
 def spanning_pairs(values: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """A forest of least distances over the pairs: fewer links than values, and no path of it has a longer link than a pair it joins.
 
@@ -253,20 +291,23 @@ def spanning_pairs(values: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndar
     return tuple(fold()) if held else tuple(kept)
 
 
-def trie_links(classes: DataFrame, budgets: list[int], leaf: int | None = None, turn: int = 0) -> DataFrame:
-    """Links (u, v) between the distinct fingerprints of ``classes(fp)``: pairs within the budgets, as least spanning forests.
+def bit_order(classes: DataFrame) -> list[int]:
+    """The bits of the distinct fingerprints of ``classes(fp)`` by balance."""
+    counted = classes.agg(F.count(F.lit(1)), *(F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))) for k in range(64))).first()
+    return sorted(range(64), key=lambda k: (abs(2 * (counted[k + 1] or 0) - counted[0]), k))
 
-    Bits go by balance, and by a fixed shuffle for each ``turn`` above 0. A fingerprint has at most 2080 others within two bits.
-    """
+
+def in_turn(order: list[int], turn: int) -> list[int]:
+    """The order itself, or a fixed shuffle of it for each ``turn`` above 0."""
+    return [order[k] for k in np.random.default_rng(turn).permutation(64).tolist()] if turn else order
+
+
+def trie_tasks(classes: DataFrame, order: list[int], budgets: list[int], leaf: int | None, task, schema: str) -> DataFrame:
+    """``task(order, starts, budgets)`` on each leaf of the trie of ``classes(fp, label)`` with its partners; fp are distinct."""
     spark = classes.sparkSession
-    counted = classes.agg(F.count(F.lit(1)), *(F.sum(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))) for k in range(64))).first()
-    n = counted[0]
-    empty = spark.createDataFrame([], "u long, v long")
+    n = classes.count()
     if n < 2:
-        return empty
-    order = sorted(range(64), key=lambda k: (abs(2 * (counted[k + 1] or 0) - n), k))
-    if turn:
-        order = [order[k] for k in np.random.default_rng(turn).permutation(64).tolist()]
+        return spark.createDataFrame([], schema)
     leaf = leaf or max(512, n // (1 << TOP_BITS), n // (16 * shuffle_partitions(spark)) if n < 1 << 24 else 1 << 14)
     bits = min(TOP_BITS, max(1, (4 * n // leaf).bit_length()))
     prefix = sum((F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)) * F.lit(1 << (bits - 1 - k)) for k, b in enumerate(order[:bits])), F.lit(0).cast("long"))
@@ -276,8 +317,17 @@ def trie_links(classes: DataFrame, budgets: list[int], leaf: int | None = None,
     homes: dict[int, list[int]] = {i: [] for i in range(len(leaves))}
     for i, j in leaf_pairs(leaves, budgets):
         homes[j].append(i)
-    dealt = classes.select("fp").mapInArrow(_deal(order, starts), "leaf int, values binary").groupBy("leaf").applyInArrow(_spread(homes), "home int, leaf int, values binary")
-    return dealt.groupBy("home").applyInArrow(_links(order, starts, budgets), "u long, v long")
+    blobs = "leaf int, values binary, labels binary"
+    dealt = classes.select("fp", "label").mapInArrow(_deal(order, starts), blobs).groupBy("leaf").applyInArrow(_spread(homes), f"home int, {blobs}")
+    return dealt.groupBy("home").applyInArrow(task(order, starts, budgets), schema)
+
+
+def trie_links(classes: DataFrame, order: list[int], budgets: list[int], leaf: int | None = None) -> DataFrame:
+    """Links (u, v) between the distinct fingerprints of ``classes(fp)``: pairs within the budgets, as least spanning forests.
+
+    A fingerprint has at most 2080 others within two bits.
+    """
+    return trie_tasks(classes.select("fp", F.lit(0).cast("long").alias("label")), order, budgets, leaf, _links, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -336,16 +386,76 @@ def _alike(least: float):
     return f
 
 
-def verified(links: DataFrame, docs: DataFrame, classes: DataFrame, size: int, least: float) -> DataFrame:
-    """Those links whose classes' first documents have a Jaccard similarity of ``least`` or more on ``size``-word shingles."""
+def shingles_of(links: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(fp, shingles) of the links' ends: the ``size``-word shingles of the classes' first documents."""
     wanted = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
     first = classes.join(wanted, "fp", "left_semi").select("fp", F.col("first").alias("doc_id"))
     texts = docs.select(id_or_first().alias("doc_id"), text_bytes().alias("text")).join(first, "doc_id")
-    sets = materialise(texts.select("fp", "text").mapInArrow(_shingles(size), "fp long, shingles binary").dropDuplicates(["fp"]), "shingles")
+    return materialise(texts.select("fp", "text").mapInArrow(_shingles(size), "fp long, shingles binary").dropDuplicates(["fp"]), "shingles")
+
+
+def verified(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those links whose ends have a Jaccard similarity of ``least`` or more in ``sets(fp, shingles)``."""
     a, b = (sets.select(F.col("fp").alias(k), F.col("shingles").alias(n)) for k, n in (("u", "a"), ("v", "b")))
     return links.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_alike(least), "u long, v long")
 
 
+def alike_forest(fps: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], reach: int, least: float) -> list[tuple[int, int]]:
+    """Index pairs within ``reach`` bits with a similarity of ``least`` or more; one is left out only if labels and others join its ends."""
+    _, up = np.unique(labels, return_inverse=True)
+    up = up.copy()  # the tree of each member, at all times
+    near = []
+    for i in range(len(fps) - 1):
+        bits = np.bitwise_count(fps[i] ^ fps[i + 1 :])
+        j = np.flatnonzero((bits <= reach) & (up[i] != up[i + 1 :]))
+        near.append(np.stack([bits[j].astype(np.int64), np.full(len(j), i), i + 1 + j]))
+    if not near:
+        return []
+    pairs = np.concatenate(near, axis=1)
+    out = []
+    for i, j in pairs[1:, np.argsort(pairs[0], kind="stable")].T.tolist():
+        a, b = sets[i], sets[j]
+        if up[i] == up[j] or min(len(a), len(b)) < least * max(len(a), len(b)):
+            continue
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        if both >= least * (len(a) + len(b) - both):
+            out.append((i, j))
+            up[up == up[j]] = up[i]
+    return out
+
+
+def _checked(reach: int, least: float):
+    def f(key, rows):
+        fps = rows["fp"].to_numpy()
+        sets = [np.frombuffer(b, "<u8") for b in rows["shingles"].to_pylist()]
+        found = alike_forest(fps.view(np.uint64), rows["label"].to_numpy(), sets, reach, least)
+        u, v = (fps[[p[k] for p in found]] for k in (0, 1))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return f
+
+
+def near_copies(docs: DataFrame, classes: DataFrame, order: list[int], leaf: int | None, similar: float, words: int, reach: int, turns: int, chunk: int = CHUNK) -> DataFrame:
+    """Links (u, v) that join whatever the links of similarity ``similar`` or more join, of all pairs within ``reach`` bits that some turn finds."""
+    budgets = schedule(reach, 2)
+    far = trie_links(classes, order, budgets, leaf)
+    for turn in range(1, turns):
+        far = far.unionByName(trie_links(classes, in_turn(order, turn), budgets, leaf))
+    far = materialise(far.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    sets = shingles_of(far, docs, classes, words)
+    links = materialise(verified(far, sets, similar), "verified")
+    # the same join once more, as it has the same values; all its pairs' ends are in a spanning forest, so they have shingles and labels
+    found = components(links).withColumnRenamed("node", "fp").withColumnRenamed("component", "label")
+    labels = sets.select("fp").join(found, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    members = materialise(classes.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", F.lit(NO_ID)).alias("label")), "members")
+    for turn in range(turns):
+        task = lambda order, starts, budgets: _groups(order, starts, budgets, chunk)
+        groups = trie_tasks(members, in_turn(order, turn), budgets, leaf, task, "home int, part long, fp long").withColumn("turn", F.lit(turn))
+        met = groups if not turn else met.unionByName(groups)
+    met = materialise(met, "groups").join(members, "fp").join(sets, "fp")
+    return links.unionByName(met.groupBy("turn", "home", "part").applyInArrow(_checked(reach, similar), "u long, v long"))
+
+
 def simhash_dedup(
     docs: DataFrame, size: int = 3, budget: int = 2, leaf: int | None = None, similar: float | None = None, words: int = 5, reach: int = 10, turns: int = 4
 ) -> DataFrame:
@@ -359,13 +469,10 @@ def simhash_dedup(
     """
     rows = materialise(fingerprints(docs, size), "fingerprints")
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    links = trie_links(classes, schedule(budget), leaf)
+    order = bit_order(classes)
+    links = trie_links(classes, order, schedule(budget), leaf)
     if similar is not None:
-        far = trie_links(classes, schedule(reach, 2), leaf)
-        for turn in range(1, turns):
-            far = far.unionByName(trie_links(classes, schedule(reach, 2), leaf, turn))
-        far = materialise(far.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-        links = links.unionByName(verified(far, docs, classes, words, similar))
+        links = links.unionByName(near_copies(docs, classes, order, leaf, similar, words, reach, turns))
     found = components(links)
     labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))

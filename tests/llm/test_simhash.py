@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 import xxhash
@@ -128,3 +130,63 @@ def test_schedule():
     assert s.schedule(2) == [2] * 65
     wide = s.schedule(10, 2)
     assert wide[0] == wide[17] == 2 and wide[18] == 3 and wide[64] == 10 and all(x <= y for x, y in zip(wide, wide[1:], strict=False))
+
+
+def similarities(texts, size=5):
+    """Jaccard similarity of every two texts."""
+    sets = [{" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (t.split() for t in texts)]
+    shared = [x for x, n in Counter(x for s in sets for x in s).items() if n > 1]
+    at = {x: k for k, x in enumerate(shared)}
+    held = np.zeros((len(texts), len(shared)), dtype=np.float32)
+    for i, x in enumerate(sets):
+        held[i, [at[y] for y in x if y in at]] = 1
+    both, size_of = held @ held.T, np.array([len(x) for x in sets])
+    return both / (size_of[:, None] + size_of[None, :] - both)
+
+
+def test_links_that_fail_the_check_hide_none_that_pass(spark):
+    """1000 edited copies: a nearer fingerprint's text may lie under 0.8 where a farther one's does not."""
+    rng = np.random.default_rng(11)
+    base = [f"v{rng.integers(10_000)}" for _ in range(300)]
+    texts = []
+    for _ in range(1000):
+        words = list(texts[rng.integers(len(texts))].split()) if texts and rng.random() < 0.5 else list(base)
+        for at in rng.choice(300, rng.integers(4, 12), replace=False):
+            words[at] = f"n{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    values = np.array([s.fingerprint(t.encode()) for t in texts], dtype=np.uint64)
+    assert len(np.unique(values)) == len(values)
+    bits = np.bitwise_count(values[:, None] ^ values[None, :])
+    linked = (bits <= 2) | (similarities(texts) >= 0.8)
+    ones = [int((values >> np.uint64(k) & np.uint64(1)).sum()) for k in range(64)]
+    order = sorted(range(64), key=lambda k: (abs(2 * ones[k] - len(values)), k))
+    forest = Forest(len(texts))
+    for turn in range(4):
+        of = s.permute(values, s.in_turn(order, turn))
+        by = np.argsort(of)
+        for a, b in s.trie_join(of[by], (0, len(of)), s.schedule(10, 2)):
+            for i, j in zip(by[a].tolist(), by[b].tolist(), strict=True):
+                if linked[i, j]:
+                    forest.join(i, j)
+    found = {r.doc_id: r.component_id for r in s.simhash_dedup(docs(spark, list(enumerate(texts))), similar=0.8).collect()}
+    assert all(found[i] == found[forest.root(i)] for i in found)
+    assert len({forest.root(i) for i in found}) < len(texts)
+    for i in found:  # a group's checks may reach a pair that no order finds, but never one that fails
+        others = [j for j in found if j != i and found[j] == found[i]]
+        assert not others or (linked[i, others] & (bits[i, others] <= 10)).any()
+
+
+def test_alike_forest_joins_what_all_passing_pairs_join():
+    rng = np.random.default_rng(5)
+    fps = np.array([sum(1 << int(b) for b in rng.choice(12, 4, replace=False)) for _ in range(60)], dtype=np.uint64)
+    sets = [np.unique(rng.integers(0, 14, 12)).astype("<u8") for _ in fps]
+    ratio = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    wanted, got = Forest(60), Forest(60)
+    for i in range(60):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4 and ratio(i, j) >= 0.8:
+                wanted.join(i, j)
+    for i, j in s.alike_forest(fps, np.arange(60), sets, 4, 0.8):
+        assert ratio(i, j) >= 0.8
+        got.join(i, j)
+    assert [wanted.root(i) for i in range(60)] == [got.root(i) for i in range(60)]
