@@ -461,18 +461,20 @@ def simhash_dedup(
 ) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
-    Fingerprints link at ``budget`` or fewer differing bits. With ``similar``, those at up to ``reach`` bits link too if the
+    Fingerprints link at ``budget`` or fewer differing bits. With ``similar``, those at up to ``reach`` bits link instead, if the
     texts' exact Jaccard similarity on ``words``-word shingles is at least that; they are sought in ``turns`` orders of the bits,
-    with few errors allowed in the trie's top, so that a pair missed in one order is found in another.
+    with two errors allowed in the trie's top and more below, so that a pair missed in one order is found in another; one of two
+    bits or fewer is found in each. Texts of one fingerprint are one class, unchecked, and its first document stands for it.
     Null or empty text: fingerprint zero, linked like any other. A null doc_id counts as the smallest and is returned as
     null, so its component's id may be null. Repeated rows share a class. Empty table: no rows.
     """
     rows = materialise(fingerprints(docs, size), "fingerprints")
     classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     order = bit_order(classes)
-    links = trie_links(classes, order, schedule(budget), leaf)
-    if similar is not None:
-        links = links.unionByName(near_copies(docs, classes, order, leaf, similar, words, reach, turns))
+    if similar is None:
+        links = trie_links(classes, order, schedule(budget), leaf)
+    else:
+        links = near_copies(docs, classes, order, leaf, similar, words, reach, turns)
     found = components(links)
     labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
