@@ -1,6 +1,7 @@
 """Compression classifier: how much better does a dictionary of good text compress a text than one of bad text?
 
-Two zstandard dictionaries are trained from bounded samples of labelled text. The difference of the compressed sizes,
+Two zstandard dictionaries are trained from bounded samples of labelled text; if either label's sample holds under 24 * ``LEAST``
+bytes (192 KB), or training is refused, the whole samples are both labels' dictionaries as they are. The difference of the compressed sizes,
 divided by the plainly compressed size, is calibrated by a logistic regression on other labelled rows; the ratio of
 plain compression and the logarithm of the length say how much the difference is worth. Scoring reads each row once, without a shuffle.
 """
@@ -60,14 +61,22 @@ class Measure:
 
 
 def dictionary(texts: list[bytes], size: int) -> bytes:
-    """A trained dictionary of at most ``size`` bytes and a 24th of the texts, as training on less gives a stunted one; of few texts their own bytes."""
+    """A trained dictionary of at most ``size`` bytes and a 24th of the texts, as training on less gives a stunted one; of few texts all their bytes."""
     size = min(size, sum(map(len, texts)) // 24)
     if size >= LEAST:
         try:
             return zstandard.train_dictionary(size, texts).as_bytes()
         except zstandard.ZstdError:
             pass
-    return b"".join(texts)[: 4 * LEAST]
+    return b"".join(texts)
+
+
+def dictionaries(good: list[bytes], bad: list[bytes], size: int) -> tuple[bytes, bytes]:
+    """Both trained, of one size at most as a larger one helps any text, or both their samples' own bytes. No texts: empty."""
+    size = min(size, *(sum(map(len, t)) // 24 for t in (good, bad) if t)) if good or bad else size
+    made = [dictionary(t, size) for t in (good, bad)]
+    whole = [b"".join(t) for t in (good, bad)]
+    return tuple(whole if any(t and d == w for t, d, w in zip((good, bad), made, whole, strict=True)) else made)
 
 
 def calibrate(features: np.ndarray, labels: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...]]:
@@ -107,7 +116,8 @@ def _measured(good: bytes, bad: bytes):
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, calibration: int = 6000, size: int = 1 << 16) -> Model:
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, quality)``, rows of ``is_held_out`` excluded.
 
-    Bounds: ``per_label`` texts of each label build the dictionaries and come to the driver; features of at most
+    Bounds: ``per_label`` texts of each label build the dictionaries (trained, or all of their bytes where a label's are few: see
+    ``dictionaries``) and come to the driver; features of at most
     ``calibration`` other rows fit the calibration. Both are the first in hash order of the id. Of several labels
     of an id the largest counts. Without labelled rows every score is 0.5.
     """
@@ -125,8 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, calibration
     # both lists are bounded by the parameters, so the joins' small sides are too
     for r in rows.join(F.broadcast(spark.createDataFrame(first, schema)), "doc_id").select("label", "text").sort("doc_id", "text").collect():
         texts[r["label"]].append(bytes(r["text"]))
-    size = min(size, *(max(LEAST, sum(map(len, t)) // 24) for t in texts.values()))  # both alike, as a larger one helps any text
-    good, bad = (dictionary(texts[k], size) if texts[k] else b"" for k in (1, 0))
+    good, bad = dictionaries(texts[1], texts[0], size)
     sample = rows.join(F.broadcast(spark.createDataFrame(second, schema)), "doc_id").select("label", "text").mapInArrow(_measured(good, bad), "label int, difference double, ratio double, length double").collect()
     if not sample:
         return Model(good, bad, (0.0,) * 4, (0.0,) * 3, (1.0,) * 3)

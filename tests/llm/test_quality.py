@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from cpgdomains.llm.quality import calibrate, dictionary, is_held_out, score_quality, train
+from cpgdomains.llm.quality import LEAST, calibrate, dictionaries, dictionary, is_held_out, score_quality, train
 
 from .data import ODD, docs
 
@@ -53,3 +53,12 @@ def test_calibration_orders_scores():
     x = np.c_[np.linspace(-1, 1, 50), np.zeros(50), np.ones(50)]
     w, _, _ = calibrate(x, (x[:, 0] > 0.1).astype(float))
     assert w[1] > 0
+
+
+def test_a_small_sample_is_used_whole_and_both_labels_alike():
+    few = [b"%06d" % i + b" some bad text " * 60 for i in range(100)]
+    many = [b"%06d" % i + b" some good text " * 60 for i in range(400)]
+    assert 4 * LEAST < sum(map(len, few)) < 24 * LEAST < sum(map(len, many))
+    assert dictionary(few, 1 << 16) == b"".join(few)
+    assert dictionaries(many, few, 1 << 16) == (b"".join(many), b"".join(few))
+    assert dictionaries([], few, 1 << 16) == (b"", b"".join(few)) and dictionaries([], [], 1 << 16) == (b"", b"")
