@@ -25,10 +25,13 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is unset (tests on one machine) does a temporary folder of the application stand for it.
+    Where that setting is unset, a temporary folder of the application stands for it on a local master; elsewhere it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="corpus-")
@@ -53,6 +56,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their exact names, whatever characters these have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, kept in the shared folder, and that column's name, which ``docs`` doesn't have.
+
+    It tells rows apart that share a doc_id or have none; as it is written once, every reader sees the same numbers.
+    """
+    key = "row_number"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
+    return materialise(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
