@@ -1,15 +1,18 @@
 """License scans: exact phrase places, and fuzzy search for short notices.
 
 Texts are reduced to lower-case words joined by one space. A notice that may have k errors is split into k + 1 seeds:
-whatever matches it with at most k errors holds one seed unchanged. Seeds are found by exact search; around each hit
-the regex library matches the notice with its bounded number of errors, on word boundaries, and reports the span.
+whatever matches it with at most k errors holds one seed unchanged. Seeds are found by exact search. Around each hit,
+in a window little longer than the notice, the regex library matches the notice with its bounded number of errors, on word
+boundaries; of matches that overlap the best is a place. So the work follows the number of hits, also on texts that repeat a notice.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,6 +35,15 @@ NOTICES = (
     ("mozilla public license", "mpl", 2),
     ("creative commons attribution", "cc-by", 3),
     ("all rights reserved", "all-rights-reserved", 2),
+    ("gnu affero general public license", "agpl", 3),
+    ("gnu free documentation license", "gfdl", 3),
+    ("licensed under the mit license", "mit", 3),
+    ("permission to use copy modify and or distribute this software", "isc", 5),
+    ("eclipse public license", "epl", 2),
+    ("boost software license", "bsl", 2),
+    ("common development and distribution license", "cddl", 4),
+    ("free and unencumbered software released into the public domain", "unlicense", 5),
+    ("dedicated to the public domain", "public-domain", 3),
 )
 
 #: Bytes that words hold: digits, lower-case letters and all of non-ASCII; A-Z turn lower-case.
@@ -44,6 +56,10 @@ class Notice:
     label: str
     errors: int
 
+    def __post_init__(self) -> None:
+        if len(self.text) <= 4 * self.errors + 2:  # a window must not hold two places
+            raise ValueError(f"{self.text!r} is too short for {self.errors} errors")
+
     def seeds(self) -> list[tuple[int, bytes]]:
         """(offset, bytes) of errors + 1 pieces."""
         n, k = len(self.text), self.errors + 1
@@ -73,6 +89,16 @@ def places(plain: bytes, phrase: bytes) -> list[int]:
     return hits_of(plain, b" " + phrase + b" ")
 
 
+def apart(matches: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (errors, start, end), those of fewest errors, then the first, that don't overlap one taken before."""
+    taken: list[tuple[int, int, int]] = []  # (start, end, errors) in order
+    for errors, start, end in sorted(matches):
+        k = bisect_left(taken, (start, end, errors))
+        if (not k or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+            insort(taken, (start, end, errors))
+    return [(errors, start, end) for start, end, errors in taken]
+
+
 class Scanner:
     def __init__(self, notices=NOTICES) -> None:
         self.notices = [Notice(t.encode(), label, k) for t, label, k in notices]
@@ -84,25 +110,19 @@ class Scanner:
         self.seeds = seeds
 
     def fuzzy(self, plain: bytes) -> list[tuple[int, int, int, int]]:
-        """(notice, errors, start, end) of every match, spans in bytes of ``plain``; one per place of a notice."""
-        windows: dict[int, list[list[int]]] = {}
+        """(notice, errors, start, end) of every place of a notice, spans in bytes of ``plain``; places of one notice don't overlap."""
+        begins: dict[int, set[int]] = {}
         for seed, targets in self.seeds.items():
             if hits := hits_of(plain, seed):
                 for i, offset in targets:
-                    k, n = self.notices[i].errors, len(self.notices[i].text)
-                    windows.setdefault(i, []).extend([max(0, h - offset - k - 1), h - offset + n + k + 1] for h in hits)
+                    begins.setdefault(i, set()).update(h - offset for h in hits)
         out = []
-        for i, found in windows.items():
-            found.sort()
-            merged = [found[0]]
-            for s, e in found[1:]:
-                if s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
-            for s, e in merged:
-                for m in self.matchers[i].finditer(plain, s, min(e, len(plain))):
-                    out.append((i, sum(m.fuzzy_counts), m.start(), m.end()))
+        for i, found in begins.items():
+            k, n = self.notices[i].errors, len(self.notices[i].text)
+            search = self.matchers[i].search
+            # a match that holds a seed unchanged lies at most k bytes off it on either side
+            matches = (search(plain, max(0, at - k - 1), at + n + k + 1) for at in found)
+            out += [(i, *x) for x in apart({(sum(m.fuzzy_counts), m.start(), m.end()) for m in matches if m})]
         return out
 
     def scan(self, text: bytes) -> tuple:
@@ -114,11 +134,12 @@ class Scanner:
                 base.add(label)
                 n_base += len(at)
                 starts += [at[0], at[-1]]
-        word = lambda at: plain.count(b" ", 0, at + 1) - 1
         found = self.fuzzy(plain)
+        spaces = np.flatnonzero(np.frombuffer(plain, np.uint8) == 0x20) if found or starts else np.zeros(0, np.int64)
+        word = lambda at: int(np.searchsorted(spaces, at, side="right")) - 1
         labels = base | {self.notices[i].label for i, *_ in found}
         score = max([1.0] * bool(base) + [1 - e / len(self.notices[i].text) for i, e, *_ in found], default=0.0)
-        spans = [{"label": self.notices[i].label, "first_word": word(s - 1), "n_words": plain[s:e].count(b" ") + 1, "errors": e0} for i, e0, s, e in sorted(found, key=lambda x: (x[2], x[3], x[0]))]
+        spans = [{"label": self.notices[i].label, "first_word": word(s - 1), "n_words": plain.count(b" ", s, e) + 1, "errors": e0} for i, e0, s, e in sorted(found, key=lambda x: (x[2], x[3], x[0]))]
         return n_words, n_base, word(min(starts)) if starts else None, word(max(starts)) if starts else None, ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 
 
@@ -140,7 +161,8 @@ def scan_licenses(docs: DataFrame, notices=NOTICES) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     ``score``: 1 for an exact base phrase, else 1 - errors / length of the best fuzzy match, 0 without any. Null or
-    empty text: no words, empty labels, null places. Rows with equal or null doc_id are scanned apart. No shuffle.
+    empty text: no words, empty labels, null places. Very long texts, also of nothing but notices, take time in proportion to
+    their length. Rows with equal or null doc_id are scanned apart. Empty table: no rows. Other columns are not read. No shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     return rows.mapInArrow(_scan(notices), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,n_words:long,errors:int>>")

@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,3 +64,47 @@ def test_seeds_lose_no_match(notice, data):
     i = next(k for k, n in enumerate(NOTICES) if n is notice)
     direct = list(scanner.matchers[i].finditer(plain))
     assert bool(direct) == any(k == i for k, *_ in scanner.fuzzy(plain))
+
+
+def test_every_place_of_a_notice_is_reported():
+    plain, _ = normal(b"mit licens mit license, MIT LICENCE and mit licence")
+    scanner = Scanner([("mit license", "mit", 1)])
+    assert [(e, plain[s:t]) for _, e, s, t in scanner.fuzzy(plain)] == [(1, b"mit licens"), (0, b"mit license"), (1, b"mit licence"), (1, b"mit licence")]
+
+
+@given(st.lists(st.sampled_from(["mit license", "mit licens", "mt license", "mit", "license", "x", "mit lic ense"]), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_places_by_brute_force(parts):
+    """All word spans within one edit; greedily the best ones that don't overlap."""
+    plain, _ = normal(" ".join(parts).encode())
+    words = plain.split()
+    ends = [m.end() for m in re.finditer(rb"\S+", plain)]
+    starts = [m.start() for m in re.finditer(rb"\S+", plain)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+        return row[-1]
+
+    hits = []
+    for i in range(len(words)):
+        for j in range(i, min(len(words), i + 4)):
+            if (e := edits(plain[starts[i] : ends[j]], b"mit license")) <= 1:
+                hits.append((e, starts[i], ends[j]))
+    taken = []
+    for e, s, t in sorted(hits):
+        if all(t <= a or b <= s for _, a, b in taken):
+            taken.append((e, s, t))
+    found = Scanner([("mit license", "mit", 1)]).fuzzy(plain)
+    assert sorted((s, t, e) for _, e, s, t in found) == sorted((s, t, e) for e, s, t in taken)
+
+
+def test_a_megabyte_of_notices_takes_seconds():
+    scanner = Scanner()
+    for part in (b"gnu general public licens ", b"mit license ", b"gnu gnu general general public "):
+        began = time.process_time()
+        row = scanner.scan(part * (1_000_000 // len(part)))
+        assert time.process_time() - began < 40 and row[0] > 100_000 // 2
