@@ -1,11 +1,12 @@
 """SimHash near-dedup by a binary trie self-join.
 
 Texts of one fingerprint form a class, so copies meet once. The classes' fingerprints, with their bits put in order of
-balance, form a binary trie. Its top is split from counts of prefixes until a leaf holds few fingerprints; node
-pairs of that top are traversed together on the driver, which keeps the pairs of leaves within the error budget and knows
-fingerprints only as counts. A task gets one leaf with its partners and goes on down the trie, all node pairs of a level at
-once: equal bits keep the error, differing bits add one, and a pair over the budget is dropped. Tasks return spanning links
-of what they find, and components grow over these links by alternating large and small stars, on disk between rounds.
+balance, form a binary trie. Its top is split from counts of prefixes until a leaf holds few fingerprints, and grows with their
+number; the driver knows fingerprints only as counts. Each leaf traverses that top for the leaves within the error budget
+and goes to their tasks. A task gets one leaf with some of its partners, at most about ``TOGETHER`` fingerprints however many there
+are in all, and goes on down the trie, all node pairs of a level at once: equal bits keep the error, differing bits add one,
+and a pair over the budget is dropped. Tasks return spanning links of what they find, and components grow over these links by
+alternating large and small stars, on disk between rounds.
 
 Where links must pass a check of the texts, spanning links of the unchecked pairs only give the first components. The trie is
 then joined again, and every pair whose ends these leave apart is checked, in groups of at most two times ``CHUNK``
@@ -15,6 +16,7 @@ fingerprints; within a group a pair is passed over only if links that have passe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_or_first, materialise, release, shuffle_partitions, text_bytes
+from .common import NO_ID, id_or_first, materialise, numbered, release, shuffle_partitions, text_bytes
 
 _U = np.uint64
-#: Seed of the shingle hashes, and levels of the trie's top at most: its leaves' pairs, under a million then, are dealt from the driver.
-SEED, TOP_BITS = 42, 14
+#: Seed of the shingle hashes, and levels of the trie's top at most: 12 bytes a leaf go to every task.
+SEED, TOP_BITS = 42, 20
+#: Fingerprints that a task joins at once, about 200 bytes each, and those of a leaf while the top can grow.
+TOGETHER, LEAF = 1 << 18, 1 << 14
 #: Fingerprints on either side of a group whose pairs are checked together.
 CHUNK = 256
 
@@ -54,16 +58,20 @@ def _fingerprints(size: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py(), size) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(values, pa.int64())], names=["doc_id", "row", "fp"])
         release()
 
     return f
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the unsigned fingerprint as a signed long. Null text: empty. Null doc_id: the smallest."""
-    rows = docs.select(id_or_first().alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(_fingerprints(size), "doc_id long, fp long")
+def _rows(docs: DataFrame, row: str | None) -> DataFrame:
+    own = F.lit(0) if row is None else F.col(row)
+    return docs.select(id_or_first().alias("doc_id"), own.cast("long").alias("row"), text_bytes().alias("text"))
+
+
+def fingerprints(docs: DataFrame, size: int = 3, row: str | None = None) -> DataFrame:
+    """(doc_id, row, fp) of every row; fp is the unsigned fingerprint as a signed long. Null text: empty. Null doc_id: the smallest."""
+    return _rows(docs, row).mapInArrow(_fingerprints(size), "doc_id long, row long, fp long")
 
 
 def permute(values: np.ndarray, order: list[int]) -> np.ndarray:
@@ -97,35 +105,32 @@ def schedule(budget: int, start: int | None = None, levels: int = 17, step: int
     return [min(budget, start + max(0, -(-(d - levels) // step))) if d < 64 else budget for d in range(65)]
 
 
-def leaf_pairs(leaves: list[tuple[int, int]], budgets: list[int]) -> list[tuple[int, int]]:
-    """Pairs of leaves (i <= j) within the budgets on the bits both have: traversal of node pairs."""
-    lo = np.array([p << (64 - d) if d else 0 for p, d in leaves], dtype=np.uint64)
-    depth = [d for _, d in leaves]
-
-    def part(s: int, e: int, bit: int) -> int:
-        """Where the leaves with that bit set begin; only called while all leaves of s..e go deeper."""
-        return s + int((lo[s:e] >> _U(63 - bit) & _U(1) == 0).sum())
+def partners(i: int, starts: np.ndarray, depths: np.ndarray, budgets: list[int]) -> list[int]:
+    """The leaves within the budgets of leaf ``i`` on the bits that both have, itself included: traversal of the top.
 
-    out, work = [], [(0, len(leaves), 0, len(leaves), 0, 0)]
+    ``starts``: the leaves' smallest values, ascending.
+    """
+    own, end = int(starts[i]), int(depths[i])
+    out, work = [], [(0, len(starts), 0, 0)]
     while work:
-        a, b, c, d, bit, err = work.pop()
-        if a == b or c == d or err > budgets[bit]:
+        lo, hi, bit, err = work.pop()
+        if lo == hi or err > budgets[bit]:
             continue
-        left_ends, right_ends = b - a == 1 and depth[a] <= bit, d - c == 1 and depth[c] <= bit
-        if left_ends or right_ends:  # one has no more bits: all leaves below the other are its partners
-            out += [(min(i, j), max(i, j)) for i in range(a, b) for j in range(c, d)]
+        if bit == end or hi - lo == 1 and depths[lo] <= bit:  # one has no more bits: all leaves below the other are its partners
+            out += range(lo, hi)
             continue
-        m, n = part(a, b, bit), part(c, d, bit)
-        work += [(a, m, c, n, bit + 1, err), (m, b, n, d, bit + 1, err), (a, m, n, d, bit + 1, err + 1)]
-        if (a, b) != (c, d):
-            work.append((m, b, c, n, bit + 1, err + 1))
-    return sorted(set(out))
+        upper = (int(starts[lo]) >> (64 - bit) << 1 | 1) << (63 - bit)
+        mid = lo + int(np.searchsorted(starts[lo:hi], _U(upper)))
+        mine = own >> (63 - bit) & 1
+        work += [(lo, mid, bit + 1, err + mine), (mid, hi, bit + 1, err + 1 - mine)]
+    return sorted(out)
 
 
-def trie_join(values: np.ndarray, home: tuple[int, int], budgets: list[int], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_join(values: np.ndarray, home: tuple[int, int], budgets: list[int], most: int = 1 << 18, within: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of sorted distinct ``values`` within ``budgets[64]`` bits, one of each pair in home = (start, end), the other not before it.
 
-    ``budgets[d]`` bounds the errors within the first d bits; one number throughout finds every pair.
+    ``budgets[d]`` bounds the errors within the first d bits; one number throughout finds every pair. ``within``: pairs of
+    two home values come too.
 
     Node pairs (ranges of values that share a prefix) go down level by level; at most about ``most`` are expanded at once.
     """
@@ -134,10 +139,10 @@ def trie_join(values: np.ndarray, home: tuple[int, int], budgets: list[int], mos
 
     def split(lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
         if bit not in ones:
-            ones[bit] = np.concatenate([[0], np.cumsum(values >> _U(63 - bit) & _U(1), dtype=np.int64)])
+            ones[bit] = np.concatenate([np.zeros(1, np.int32), np.cumsum(values >> _U(63 - bit) & _U(1), dtype=np.int32)])
         return hi - (ones[bit][hi] - ones[bit][lo])
 
-    work = [(0, np.array([s, s]), np.array([e, e]), np.array([s, e]), np.array([e, len(values)]), np.array([0, 0]))]
+    work = [(0, np.array([s, s]), np.array([e, e]), np.array([s, e]), np.array([e if within else s, len(values)]), np.array([0, 0]))]
     while work:
         bit, a, b, c, d, err = work.pop()
         keep = (a < b) & (c < d) & (err <= budgets[bit])
@@ -193,45 +198,46 @@ def least_forest(links: np.ndarray, n: int) -> np.ndarray:
         label = up[label]
 
 
-def _deal(order: list[int], starts: list[int]):
+def _deal(order: list[int], starts: np.ndarray):
     """A batch's fingerprints and their labels by leaf: at most a row per fingerprint."""
-    edges = np.array(starts, dtype=np.uint64)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = permute(batch["fp"].to_numpy(), order)
             by = np.argsort(values)
             values, labels = values[by], batch["label"].to_numpy()[by]
-            at = np.searchsorted(edges, values, side="right") - 1
-            cuts = np.searchsorted(at, np.arange(len(edges) + 1))
-            leaves = np.flatnonzero(np.diff(cuts)).tolist()
-            blobs = [[x[cuts[k] : cuts[k + 1]].astype(kind).tobytes() for k in leaves] for x, kind in ((values, "<u8"), (labels, "<i8"))]
+            leaves, cuts = np.unique(np.searchsorted(starts, values, side="right") - 1, return_index=True)
+            cuts = [*cuts.tolist(), len(values)]
+            blobs = [[x[i:j].astype(kind).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)] for x, kind in ((values, "<u8"), (labels, "<i8"))]
             yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], names=["leaf", "values", "labels"])
 
     return f
 
 
-def _spread(homes: dict[int, list[int]]):
-    """A whole leaf, once for each home that needs it."""
+def _spread(starts: np.ndarray, depths: np.ndarray, budgets: list[int], pieces: int):
+    """A whole leaf, once for each task that needs it: a piece of each partner before it, and all pieces of its own."""
 
-    def f(key, rows):
-        leaf = key[0].as_py()
-        to = homes[leaf]
-        blobs = {k: pa.array([b"".join(rows[k].to_pylist())] * len(to), pa.binary()) for k in ("values", "labels")}
-        return pa.table({"home": pa.array(to, pa.int32()), "leaf": pa.array([leaf] * len(to), pa.int32()), **blobs})
+    def f(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, rows = key[0].as_py(), pa.Table.from_batches(list(batches))
+        to = [(i, leaf % pieces) for i in partners(leaf, starts, depths, budgets) if i < leaf] + [(leaf, p) for p in range(pieces)]
+        blobs = [b"".join(rows[k].to_pylist()) for k in ("values", "labels")]
+        for i in range(0, len(to), 64):
+            some = to[i : i + 64]
+            at = [pa.array([x[k] for x in some], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*at, *(pa.array([b] * len(some), pa.binary()) for b in blobs)], names=["home", "piece", "values", "labels"])
 
     return f
 
 
-def _joined(starts: list[int], budgets: list[int], home: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """(values, labels, pairs) of a leaf with its partners."""
-    edges = [*starts, 1 << 64]
+def _joined(starts: np.ndarray, budgets: list[int], key: tuple, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """(values, labels, pairs) of a leaf with some of its partners."""
+    home, piece = (k.as_py() for k in key)
     values, labels = (np.concatenate([np.frombuffer(b, kind) for b in rows[k].to_pylist()]) for k, kind in (("values", "<u8"), ("labels", "<i8")))
     by = np.argsort(values)
     values, labels = values[by], labels[by]
-    s = int(np.searchsorted(values, _U(edges[home])))
-    e = len(values) if edges[home + 1] == 1 << 64 else int(np.searchsorted(values, _U(edges[home + 1])))
-    return values, labels, trie_join(values, (s, e), budgets)
+    s = int(np.searchsorted(values, starts[home]))
+    e = len(values) if home + 1 == len(starts) else int(np.searchsorted(values, starts[home + 1]))
+    return values, labels, trie_join(values, (s, e), budgets, within=piece == 0)
 
 
 def _plain(values: np.ndarray, order: list[int]) -> np.ndarray:
@@ -239,9 +245,9 @@ def _plain(values: np.ndarray, order: list[int]) -> np.ndarray:
     return permute(values, [63 - order.index(63 - k) for k in range(64)]).view(np.int64)
 
 
-def _links(order: list[int], starts: list[int], budgets: list[int]):
+def _links(order: list[int], starts: np.ndarray, budgets: list[int]):
     def f(key, rows):
-        values, _, pairs = _joined(starts, budgets, key[0].as_py(), rows)
+        values, _, pairs = _joined(starts, budgets, key, rows)
         u, v = spanning_pairs(values, pairs)
         plain = _plain(values, order)
         return pa.table({"u": pa.array(plain[u], pa.int64()), "v": pa.array(plain[v], pa.int64())})
@@ -249,12 +255,12 @@ def _links(order: list[int], starts: list[int], budgets: list[int]):
     return f
 
 
-def _groups(order: list[int], starts: list[int], budgets: list[int], chunk: int):
+def _groups(order: list[int], starts: np.ndarray, budgets: list[int], chunk: int):
     """Who meets whom: of each two runs of ``chunk`` labelled values the members that have a partner with another label there."""
 
     def f(key, rows):
-        home = key[0].as_py()
-        values, labels, pairs = _joined(starts, budgets, home, rows)
+        home, piece = (k.as_py() for k in key)
+        values, labels, pairs = _joined(starts, budgets, key, rows)
         n = len(values)
         run = np.cumsum(labels != NO_ID) // chunk
         found = np.zeros(0, dtype=np.int64)
@@ -264,7 +270,7 @@ def _groups(order: list[int], starts: list[int], budgets: list[int], chunk: int)
             group = run[i] * (n + 1) + run[j]
             found = np.unique(np.concatenate([found, group * n + i, group * n + j]))
         group, member = found // max(n, 1), found % max(n, 1)
-        return pa.table({"home": pa.array([home] * len(found), pa.int32()), "part": pa.array(group, pa.int64()), "fp": pa.array(_plain(values, order)[member], pa.int64())})
+        return pa.table({"home": pa.array([home] * len(found), pa.int32()), "piece": pa.array([piece] * len(found), pa.int32()), "part": pa.array(group, pa.int64()), "fp": pa.array(_plain(values, order)[member], pa.int64())})
 
     return f
 
@@ -308,18 +314,18 @@ def trie_tasks(classes: DataFrame, order: list[int], budgets: list[int], leaf: i
     n = classes.count()
     if n < 2:
         return spark.createDataFrame([], schema)
-    leaf = leaf or max(512, n // (1 << TOP_BITS), n // (16 * shuffle_partitions(spark)) if n < 1 << 24 else 1 << 14)
+    leaf = leaf or max(512, min(LEAF, n // (16 * shuffle_partitions(spark))), n >> TOP_BITS)
     bits = min(TOP_BITS, max(1, (4 * n // leaf).bit_length()))
     prefix = sum((F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1)) * F.lit(1 << (bits - 1 - k)) for k, b in enumerate(order[:bits])), F.lit(0).cast("long"))
-    counts = {r[0]: r[1] for r in classes.groupBy(prefix.alias("p")).count().collect()}  # at most 2 ** TOP_BITS rows
-    leaves = split_top(counts, bits, leaf)
-    starts = [p << (64 - d) if d else 0 for p, d in leaves]
-    homes: dict[int, list[int]] = {i: [] for i in range(len(leaves))}
-    for i, j in leaf_pairs(leaves, budgets):
-        homes[j].append(i)
-    blobs = "leaf int, values binary, labels binary"
-    dealt = classes.select("fp", "label").mapInArrow(_deal(order, starts), blobs).groupBy("leaf").applyInArrow(_spread(homes), f"home int, {blobs}")
-    return dealt.groupBy("home").applyInArrow(task(order, starts, budgets), schema)
+    counted = classes.groupBy(prefix.alias("p")).count().toArrow()  # at most 2 ** TOP_BITS rows
+    leaves = split_top(dict(zip(counted["p"].to_pylist(), counted["count"].to_pylist(), strict=True)), bits, leaf)
+    starts = np.array([p << (64 - d) if d else 0 for p, d in leaves], dtype=np.uint64)
+    depths = np.array([d for _, d in leaves], dtype=np.int32)
+    near = sum(comb(bits, k) for k in range(min(bits, budgets[bits]) + 1))  # partners of a leaf at most, if all leaves are as deep
+    pieces = max(1, -(-min(n, near * leaf) // TOGETHER))
+    blobs = "values binary, labels binary"
+    dealt = classes.select("fp", "label").mapInArrow(_deal(order, starts), f"leaf int, {blobs}").groupBy("leaf").applyInArrow(_spread(starts, depths, budgets, pieces), f"home int, piece int, {blobs}")
+    return dealt.groupBy("home", "piece").applyInArrow(task(order, starts, budgets), schema)
 
 
 def trie_links(classes: DataFrame, order: list[int], budgets: list[int], leaf: int | None = None) -> DataFrame:
@@ -387,11 +393,11 @@ def _alike(least: float):
 
 
 def shingles_of(links: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(fp, shingles) of the links' ends: the ``size``-word shingles of the classes' first documents."""
+    """(fp, shingles) of the links' ends: the ``size``-word shingles of the classes' first rows in ``docs(doc_id, row, text)``."""
     wanted = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
-    first = classes.join(wanted, "fp", "left_semi").select("fp", F.col("first").alias("doc_id"))
-    texts = docs.select(id_or_first().alias("doc_id"), text_bytes().alias("text")).join(first, "doc_id")
-    return materialise(texts.select("fp", "text").mapInArrow(_shingles(size), "fp long, shingles binary").dropDuplicates(["fp"]), "shingles")
+    first = classes.join(wanted, "fp", "left_semi").select("fp", "first.doc_id", "first.row")
+    texts = docs.join(first, ["doc_id", "row"])
+    return materialise(texts.select("fp", "text").mapInArrow(_shingles(size), "fp long, shingles binary"), "shingles")
 
 
 def verified(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -435,9 +441,9 @@ def _checked(reach: int, least: float):
     return f
 
 
-def near_copies(docs: DataFrame, classes: DataFrame, order: list[int], leaf: int | None, similar: float, words: int, reach: int, turns: int, chunk: int = CHUNK) -> DataFrame:
+def near_copies(docs: DataFrame, classes: DataFrame, order: list[int], leaf: int | None, similar: float, words: int, reach: int, turns: int, start: int | None = 2, chunk: int = CHUNK) -> DataFrame:
     """Links (u, v) that join whatever the links of similarity ``similar`` or more join, of all pairs within ``reach`` bits that some turn finds."""
-    budgets = schedule(reach, 2)
+    budgets = schedule(reach, start)
     far = trie_links(classes, order, budgets, leaf)
     for turn in range(1, turns):
         far = far.unionByName(trie_links(classes, in_turn(order, turn), budgets, leaf))
@@ -450,35 +456,44 @@ def near_copies(docs: DataFrame, classes: DataFrame, order: list[int], leaf: int
     members = materialise(classes.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", F.lit(NO_ID)).alias("label")), "members")
     for turn in range(turns):
         task = lambda order, starts, budgets: _groups(order, starts, budgets, chunk)
-        groups = trie_tasks(members, in_turn(order, turn), budgets, leaf, task, "home int, part long, fp long").withColumn("turn", F.lit(turn))
+        groups = trie_tasks(members, in_turn(order, turn), budgets, leaf, task, "home int, piece int, part long, fp long").withColumn("turn", F.lit(turn))
         met = groups if not turn else met.unionByName(groups)
     met = materialise(met, "groups").join(members, "fp").join(sets, "fp")
-    return links.unionByName(met.groupBy("turn", "home", "part").applyInArrow(_checked(reach, similar), "u long, v long"))
+    return links.unionByName(met.groupBy("turn", "home", "piece", "part").applyInArrow(_checked(reach, similar), "u long, v long"))
 
 
 def simhash_dedup(
-    docs: DataFrame, size: int = 3, budget: int = 2, leaf: int | None = None, similar: float | None = None, words: int = 5, reach: int = 10, turns: int = 4
-) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
+    docs: DataFrame, size: int = 3, budget: int = 2, leaf: int | None = None, similar: float | None = None, words: int = 5, reach: int = 10, turns: int = 4,
+    exact: bool = False, row: str | None = None,
+) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), and, if a column
+    ``row`` is named, that column and ``first``, true for one row of each component.
 
     Fingerprints link at ``budget`` or fewer differing bits. With ``similar``, those at up to ``reach`` bits link instead, if the
     texts' exact Jaccard similarity on ``words``-word shingles is at least that; they are sought in ``turns`` orders of the bits,
     with two errors allowed in the trie's top and more below, so that a pair missed in one order is found in another; one of two
-    bits or fewer is found in each. Texts of one fingerprint are one class, unchecked, and its first document stands for it.
-    Null or empty text: fingerprint zero, linked like any other. A null doc_id counts as the smallest and is returned as
-    null, so its component's id may be null. Repeated rows share a class. Empty table: no rows.
+    bits or fewer is found in each. ``exact`` allows all errors everywhere: every pair within ``reach`` bits is found, in one order,
+    at a cost that grows much faster than the input. Texts of one fingerprint are one class, unchecked, and its first row (by
+    doc_id, then ``row``) stands for it.
+    Null or empty text: fingerprint zero, linked like any other. Texts may be of any length; a class, however large, travels as
+    one fingerprint. A null doc_id counts as the smallest and is returned as null, so its component's id may be null. Repeated
+    rows share a class. Empty table: no rows. Other columns are not read.
     """
-    rows = materialise(fingerprints(docs, size), "fingerprints")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    if similar is not None and row is None:
+        docs, row = numbered(docs.select("doc_id", "text"), "near")
+        return simhash_dedup(docs, size, budget, leaf, similar, words, reach, turns, exact, row).drop(row, "first")
+    rows = materialise(fingerprints(docs, size, row), "fingerprints")
+    classes = materialise(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("first")), "classes")
     order = bit_order(classes)
     if similar is None:
         links = trie_links(classes, order, schedule(budget), leaf)
     else:
-        links = near_copies(docs, classes, order, leaf, similar, words, reach, turns)
+        links = near_copies(_rows(docs, row), classes, order, leaf, similar, words, reach, 1 if exact else turns, None if exact else 2)
     found = components(links)
     labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = labelled.join(smallest, "component").select("fp", "component_id")
-    null = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c)).alias(c)
+    smallest = labelled.groupBy("component").agg(F.min("first").alias("head"))
+    by_class = labelled.join(smallest, "component").select("fp", "head")
+    null = lambda c: F.when(c != F.lit(NO_ID), c)
     out = rows.join(by_class, "fp")
-    return out.select(null("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null("component_id"))
+    own = [F.col("row").alias(row), (F.struct("doc_id", "row") == F.col("head")).alias("first")] if row else []
+    return out.select(null(F.col("doc_id")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null(F.col("head.doc_id")).alias("component_id"), *own)
