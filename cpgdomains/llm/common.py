@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Stands for a null document id: before all others.
 NO_ID = -(2**63)
-#: Ranges of ids at most: their bounds go to every task. Beyond about 8 TB of text the ranges grow instead.
+#: Ranges of ids at most: their bounds, 8 bytes each, go to every task. Beyond about 8 TB of text the ranges grow instead.
 MOST_RANGES = 1 << 20
 
 
@@ -86,28 +87,93 @@ def id_or_first(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
-def range_groups(docs: DataFrame, group_bytes: int) -> tuple[Column, list[int], int, int]:
-    """Ranges of doc_id of at most about ``group_bytes`` of text each, over ``docs(doc_id, text)``; three a shuffle partition at least.
+#: Bytes that a row counts beside its text, cells of ids counted at once for each range, and cells into which a full one is split.
+ROW, FINE, AGAIN = 64, 16, 256
 
-    Returns (group column, upper bounds, rows, text bytes). Bounds are approximate quantiles, so
-    their number grows with the input but holds one long per range, never one per document. The
-    group is a pure function of the id and the bounds, so a recomputed task deals the same.
+
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of doc_id. ``group``: a row's range; ``ranks``: ranges of one id share a rank, all others have their own; both ascend with the ids."""
+
+    group: Column
+    ranks: np.ndarray
+    rows: int
+    bytes: int
+
+
+def range_groups(docs: DataFrame, group_bytes: int, tie: Column | None = None) -> Ranges:
+    """Ranges of doc_id of about ``group_bytes`` of text at most, over ``docs(doc_id, text)``; three a shuffle partition at least.
+
+    Bytes are counted per cell of ids, and cells that are too full are counted again in smaller ones, so that only a single id
+    can be over the limit; it is cut into pieces by ``tie``, a long that differs between its rows as a hash does. (A single row
+    can't be cut.) Counts are partial before they are shuffled; the driver gets a row per cell: a multiple of the ranges, of which
+    there are ``MOST_RANGES`` at most, never one per document. The group is a pure function of id, tie and bounds, so a
+    recomputed task deals the same.
     """
-    size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_bytes()))).first()
-    rows, total = size[0], size[1] or 0
-    n = max(1, min(rows, MOST_RANGES, max(-(-total // group_bytes), 3 * shuffle_partitions(docs.sparkSession))))
-    bounds: list[int] = []
-    if n > 1:
-        cuts = [i / n for i in range(1, n)]
-        found = docs.agg(F.percentile_approx(id_or_first(), cuts, min(1_000_000, max(10_000, 20 * n)))).first()[0]
-        bounds = sorted(set(found or []))
-    edges = np.array(bounds, dtype=np.int64)
+    rows = docs.select(id_or_first().alias("id"), (F.octet_length(text_bytes()).cast("long") + ROW).alias("size"))
+    known = F.when(F.col("id") != NO_ID, F.col("id"))
+    n, total, least, most = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.min(known), F.max(known)).first()
+    limit = max(1, min(group_bytes, -(-total // (3 * shuffle_partitions(docs.sparkSession)))), total // MOST_RANGES)
+    cells: list[tuple[int, int, int]] = []  # (first id, last id, bytes)
+    if total > limit:
+        width = max(0, ((most or 0) - (least or 0)).bit_length() - min(MOST_RANGES, FINE * -(-total // limit)).bit_length())
+        # rows without an id are a cell of their own
+        cell = F.when(F.col("id") != NO_ID, F.shiftright("id", width) - ((least or 0) >> width)).otherwise(-1)
+        cells = _cells(rows.withColumn("cell", cell))
+        while full := [c for c in cells if c[2] > limit and c[0] < c[1]]:
+            inside = _inside(np.array([c[0] for c in full]), np.array([c[1] for c in full]))
+            finer = _cells(rows.withColumn("cell", inside(F.col("id"))).where("cell >= 0"))
+            cells = sorted([c for c in cells if not (c[2] > limit and c[0] < c[1])] + finer)
+    last: list[int] = []
+    pieces: list[int] = []
+    held = 0
+    for first, end, size in cells:
+        if last and pieces[-1] == 1 and held + size <= limit:
+            last[-1] = end
+            held += size
+            continue
+        # an id that is cut stands alone
+        last.append(end)
+        pieces.append(-(-size // limit) if first == end and tie is not None else 1)
+        held = size
+    pieces_of = np.array(pieces or [1], dtype=np.int64)
+    starts = np.cumsum(pieces_of) - pieces_of
+    edges = np.array(last[:-1], dtype=np.int64)
+    ranks = np.repeat(np.arange(len(pieces_of)), pieces_of)
+    if (pieces_of == 1).all():
+
+        @F.pandas_udf("int")
+        def group(ids: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), side="left").astype(np.int32))
+
+        return Ranges(group(id_or_first()), ranks, n, total)
 
     @F.pandas_udf("int")
-    def group(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), side="left").astype(np.int32))
+    def cut(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        at = np.searchsorted(edges, ids.to_numpy(np.int64), side="left")
+        high = (ties.to_numpy(np.int64).view(np.uint64) >> np.uint64(32)).astype(np.int64)
+        return pd.Series((starts[at] + (high * pieces_of[at] >> 32)).astype(np.int32))
+
+    return Ranges(cut(id_or_first(), tie), ranks, n, total)
+
+
+def _cells(rows: DataFrame) -> list[tuple[int, int, int]]:
+    found = rows.groupBy("cell").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.sum("size").alias("size")).toArrow()
+    return sorted(zip(*(found[c].to_pylist() for c in ("first", "last", "size")), strict=True))
+
+
+def _inside(first: np.ndarray, last: np.ndarray):
+    """The cell of an id, of ``AGAIN`` cells in each of some ranges in order; -1 outside."""
+    widths = np.array([max(0, (b - a).bit_length() - AGAIN.bit_length() + 1) for a, b in zip(first.tolist(), last.tolist(), strict=True)], dtype=np.uint64)
+
+    @F.pandas_udf("long")
+    def cell(ids: pd.Series) -> pd.Series:
+        x = ids.to_numpy(np.int64)
+        at = np.maximum(np.searchsorted(first, x, side="right") - 1, 0)
+        fine = (x.view(np.uint64) - first[at].view(np.uint64)) >> widths[at]
+        return pd.Series(np.where((x >= first[at]) & (x <= last[at]), at * (2 * AGAIN) + np.minimum(fine, np.uint64(2 * AGAIN - 1)).astype(np.int64), -1))
 
-    return group(id_or_first()), bounds, rows, total
+    return cell
 
 
 def raw(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,42 +1,62 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark.
 
-Documents are dealt to ranges of doc_id (one shuffle of the texts, used twice). Each range hashes every window
-and sends each distinct hash once, sorted and delta-packed, to the bucket of its leading bits: a window that a
-third of all documents hold is one entry per range. A bucket sees which range holds a hash first; all other
-ranges get it back as repeated. As ranges follow doc_id, no ids travel. A range then removes windows that a
-smaller range has, and those that a smaller document of its own has; covered words merge into maximal intervals.
-
-Hashes have 64 bits: word values are random per byte and mixed, windows are sums modulo 2**64, so two different
-windows agree with probability 2**-64 a pair.
+Documents are dealt to ranges of doc_id (one shuffle of the texts, used three times); a range numbers its windows' hashes.
+
+1. Each range sends the leading ``FILTER`` bits of every distinct hash once, sorted and delta-packed, to the bucket of their
+   leading bits: a window that a third of all documents hold is one entry per range. A bucket tells each range which of them
+   other ranges have too.
+2. Of those windows each range sends the whole hash with another hash of the window's words themselves, together 128 bits, to
+   the buckets, which tell all ranges but the first what an earlier one has. So a chance agreement of hashes removes nothing.
+3. A range removes windows that a smaller range has, and those that a smaller document of its own has, told apart by the same
+   128 bits; covered words merge into maximal intervals. As ranges follow doc_id, no ids travel.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, id_or_first, range_groups, raw, release, shuffle_partitions, slices, text_bytes
+from .common import NO_ID, id_or_first, named, range_groups, raw, release, shuffle_partitions, slices, text_bytes
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(20_240_101).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE, _WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-#: Bytes hashed at once; a longer document stands alone.
+#: Bytes hashed at once; a longer document is hashed in parts that end at white space.
 _CHUNK = 1 << 20
+_WHITE = re.compile(rb"[\x20\t-\r]")
+#: Bits of a window's hash, and those of them by which ranges first look for windows in common.
+BITS, FILTER = 64, 48
+_powers_of: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first ``n`` powers; a worker keeps those of one chunk."""
+    known = _powers_of.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, _CHUNK + 1), base, dtype=np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= _CHUNK + 1:
+            _powers_of[base] = known
+    return known[:n]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; much faster on large arrays than a hash table."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -81,7 +101,7 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted distinct hashes as differences of the fewest whole bytes: first value, width, the rest."""
+    """Sorted hashes as differences of the fewest whole bytes: first value, width, the rest."""
     if not len(values):
         return b""
     steps = np.diff(values)
@@ -100,47 +120,169 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=np.uint64)
 
 
-def _hashed(texts: pa.ChunkedArray, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first document, last, word counts, window hashes, window places) of slices of a range."""
-    data, offsets = raw(texts)
-    for i, j in slices(np.diff(offsets), _CHUNK):
-        words, counts = word_hashes(data, offsets[i : j + 1])
-        hashes, at = window_hashes(words, counts, size)
-        yield i, j, counts, hashes, at
+def _parts(data: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Where a long document's parts end, each at white space."""
+    text, cuts = memoryview(data)[:stop], [start]
+    while stop - cuts[-1] > _CHUNK and (m := _WHITE.search(text, cuts[-1] + _CHUNK)):
+        cuts.append(m.end())
+    return np.array([*cuts, stop] if cuts[-1] < stop else cuts)
+
+
+@dataclass
+class Windows:
+    """The windows of a range's documents, in order: hash, document, first word; and each document's number of words."""
+
+    hash: np.ndarray
+    doc: np.ndarray
+    place: np.ndarray
+    counts: np.ndarray
+    data: np.ndarray
+    offsets: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, texts: pa.ChunkedArray, size: int, bits: int) -> Windows:
+        data, offsets = raw(texts)
+        found, n_words = [], []
+        for i, j in slices(np.diff(offsets), _CHUNK):
+            if offsets[j] - offsets[i] > _CHUNK:  # one long document
+                cuts = _parts(data, int(offsets[i]), int(offsets[j]))
+                words = np.concatenate([word_hashes(data, cuts[k : k + 2])[0] for k in range(len(cuts) - 1)])
+                counts = np.array([len(words)])
+            else:
+                words, counts = word_hashes(data, offsets[i : j + 1])
+            h, at = window_hashes(words, counts, size)
+            ends = np.cumsum(counts)
+            doc = np.searchsorted(ends, at, side="right")
+            found.append((h & _U((1 << 64) - (1 << (64 - bits))), (doc + i).astype(np.int32), (at - (ends - counts)[doc]).astype(np.int32)))
+            n_words.append(counts)
+        join = lambda k, t: np.concatenate([x[k] for x in found]) if found else np.zeros(0, t)
+        return cls(join(0, np.uint64), join(1, np.int32), join(2, np.int32), np.concatenate(n_words) if n_words else np.zeros(0, np.int64), data, offsets, size)
+
+    def text(self, doc: int) -> bytes:
+        return self.data[self.offsets[doc] : self.offsets[doc + 1]].tobytes()
+
+    def second(self, which: np.ndarray) -> np.ndarray:
+        """Another 64 bits of some windows, ascending, from their words themselves."""
+        out = np.zeros(len(which), dtype=np.uint64)
+        docs, first = np.unique(self.doc[which], return_index=True)
+        stops = [*first[1:].tolist(), len(which)]
+        digest = xxhash.xxh3_64_intdigest
+        for d, s, e in zip(docs.tolist(), first.tolist(), stops, strict=True):
+            words = self.text(d).split()
+            joined = memoryview(b" ".join(words))
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            at = self.place[which[s:e]]
+            begins = np.where(at > 0, ends[at - 1], 0).tolist()
+            out[s:e] = np.fromiter((digest(joined[x:y]) for x, y in zip(begins, (ends[at + self.size - 1] - 1).tolist(), strict=True)), np.uint64, e - s)
+        return out
+
+
+def _edges(buckets: int, bits: int) -> np.ndarray:
+    return (np.arange(1, buckets, dtype=object) * 2**bits // buckets).astype(np.uint64)
 
 
-def _send(size: int, buckets: int):
+def _send(size: int, bits: int, buckets: int):
+    """Every distinct window's leading bits, by bucket."""
+
     def f(key, rows):
         group = key[0].as_py()
-        found = [np.unique(h) for *_, h, _ in _hashed(rows["text"], size)]
-        hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        del found
-        edges = (np.arange(1, buckets, dtype=object) * 2**64 // buckets).astype(np.uint64)
-        parts = np.split(hashes, np.searchsorted(hashes, edges))
+        some = distinct(Windows.of(rows["text"], size, bits).hash >> _U(64 - FILTER))
+        parts = np.split(some, np.searchsorted(some, _edges(buckets, FILTER)))
         full = [b for b, p in enumerate(parts) if len(p)]
         out = pa.table({"bucket": pa.array(full, pa.int32()), "g": pa.array([group] * len(full), pa.int32()), "hashes": pa.array([pack(parts[b]) for b in full], pa.binary())})
-        del hashes, parts
+        del some, parts
+        release()
+        return out
+
+    return f
+
+
+def _shared(ranks: np.ndarray):
+    def f(rows):
+        """Of one bucket: to each range the leading bits that ranges of other ids have too."""
+        rows = rows.sort_by("g")
+        groups = rows["g"].to_pylist()
+        lists = [unpack(b) for b in rows["hashes"].to_pylist()]
+        ends = np.cumsum([len(x) for x in lists])
+        hashes = np.concatenate(lists)
+        rank = np.repeat(ranks[groups], [len(x) for x in lists])
+        del lists
+        order = np.argsort(hashes, kind="stable")  # by rank within equal hashes
+        h, r = hashes[order], rank[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        last = np.concatenate([first[1:], [len(h)]]) - 1
+        both = np.zeros(len(h), dtype=bool)
+        both[order] = np.repeat(r[first] != r[last], last - first + 1)
+        out = [(g, pack(hashes[s:e][both[s:e]])) for g, s, e in zip(groups, [0, *ends[:-1]], ends, strict=True) if both[s:e].any()]
+        del hashes, order, both, h, r
+        release()
+        return pa.table({"g": pa.array([g for g, _ in out], pa.int32()), "shared": pa.array([b for _, b in out], pa.binary())})
+
+    return f
+
+
+def _confirm(size: int, bits: int, buckets: int):
+    """The windows that other ranges may have: both hashes of each distinct one, by bucket of the first."""
+
+    def f(key, rows, found):
+        lists = [unpack(b) for b in found["shared"].to_pylist()]
+        full: list[int] = []
+        h = x = np.zeros(0, np.uint64)
+        parts = [(h, x)]
+        if lists and len(rows):
+            shared = np.sort(np.concatenate(lists))
+            w = Windows.of(rows["text"], size, bits)
+            which = np.flatnonzero(held(shared, w.hash >> _U(64 - FILTER)))
+            h, x = w.hash[which], w.second(which)
+            order = np.lexsort((x, h))
+            h, x = h[order], x[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1])]) if len(h) else np.zeros(0, bool)
+            h, x = h[new], x[new]
+            cuts = np.searchsorted(h, _edges(buckets, 64))
+            parts = list(zip(np.split(h, cuts), np.split(x, cuts), strict=True))
+            full = [b for b, (p, _) in enumerate(parts) if len(p)]
+        group = key[0].as_py()
+        out = pa.table({
+            "bucket": pa.array(full, pa.int32()), "g": pa.array([group] * len(full), pa.int32()),
+            "hashes": pa.array([pack(parts[b][0]) for b in full], pa.binary()), "second": pa.array([parts[b][1].astype("<u8").tobytes() for b in full], pa.binary()),
+        })
+        del lists, parts, h, x
         release()
         return out
 
     return f
 
 
-def _count(rows):
-    """Of one bucket: to each range the hashes that a range before it has too."""
-    rows = rows.sort_by("g")
-    groups = rows["g"].to_pylist()
-    lists = [unpack(b) for b in rows["hashes"].to_pylist()]
-    ends = np.cumsum([len(x) for x in lists])
-    hashes = np.concatenate(lists)
-    del lists
-    order = np.argsort(hashes, kind="stable")
-    again = np.zeros(len(hashes), dtype=bool)
-    again[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
-    out = [(g, pack(hashes[s:e][again[s:e]])) for g, s, e in zip(groups, [0, *ends[:-1]], ends, strict=True) if again[s:e].any()]
-    del hashes, order, again
-    release()
-    return pa.table({"g": pa.array([g for g, _ in out], pa.int32()), "repeated": pa.array([b for _, b in out], pa.binary())})
+def held(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values are among the ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _repeated(ranks: np.ndarray):
+    def f(rows):
+        """Of one bucket: to each range the windows that a range of smaller ids has too."""
+        rows = rows.sort_by("g")
+        groups = rows["g"].to_pylist()
+        lists = [unpack(b) for b in rows["hashes"].to_pylist()]
+        ends = np.cumsum([len(x) for x in lists])
+        h, x = np.concatenate(lists), np.concatenate([np.frombuffer(b, "<u8") for b in rows["second"].to_pylist()])
+        rank = np.repeat(ranks[groups], [len(y) for y in lists])
+        del lists
+        order = np.lexsort((x, h))  # stable: by rank within equal windows
+        new = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (x[order[1:]] != x[order[:-1]])])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        again = np.zeros(len(h), dtype=bool)
+        again[order] = rank[order] > rank[order[first]]
+        out = [(g, h[s:e][again[s:e]], x[s:e][again[s:e]]) for g, s, e in zip(groups, [0, *ends[:-1]], ends, strict=True) if again[s:e].any()]
+        table = pa.table({"g": pa.array([g for g, *_ in out], pa.int32()), "hashes": pa.array([pack(y) for _, y, _ in out], pa.binary()), "second": pa.array([y.astype("<u8").tobytes() for *_, y in out], pa.binary())})
+        del h, x, order, again, out
+        release()
+        return table
+
+    return f
 
 
 def covered(at: np.ndarray, n_words: int, size: int) -> np.ndarray:
@@ -151,76 +293,99 @@ def covered(at: np.ndarray, n_words: int, size: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _remove(size: int, texts_out: bool, carry: list[str]):
+def _again(w: Windows, ids: np.ndarray, h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Windows that an earlier range has, as (h, x) in order, or a smaller document of this one."""
+    if not len(w.hash):
+        return np.zeros(0, dtype=bool)
+    order = np.argsort(w.hash, kind="stable")
+    sorted_h, owner = w.hash[order], ids[w.doc[order]]
+    first = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
+    last = np.concatenate([first[1:], [len(order)]]) - 1
+    suspect = held(h, w.hash)
+    suspect[order[np.repeat(owner[first] != owner[last], last - first + 1)]] = True
+    which = np.flatnonzero(suspect)
+    out = np.zeros(len(w.hash), dtype=bool)
+    if not len(which):
+        return out
+    own_h, own_x, owner = w.hash[which], w.second(which), ids[w.doc[which]]
+    known = np.zeros(len(which), dtype=bool)
+    at, unsure = np.searchsorted(h, own_h), np.arange(len(which))
+    while len(unsure):  # one round, but for chance agreements of the first hash
+        inside = at[unsure] < len(h)
+        unsure = unsure[inside]
+        unsure = unsure[h[at[unsure]] == own_h[unsure]]
+        same = x[at[unsure]] == own_x[unsure]
+        known[unsure[same]] = True
+        unsure = unsure[~same]
+        at[unsure] += 1
+    order = np.lexsort((own_x, own_h))  # ids ascend, so the first of equal windows has the smallest
+    new = np.concatenate([[True], (own_h[order[1:]] != own_h[order[:-1]]) | (own_x[order[1:]] != own_x[order[:-1]])])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    known[order] |= owner[order] > owner[order[first]]
+    out[which] = known
+    return out
+
+
+def _remove(size: int, bits: int, texts_out: bool, carry: bool):
     def f(key, rows, found):
-        rows = rows.take(pa.compute.sort_indices(rows["id"]))
+        rows = rows.take(pc.sort_indices(rows["id"]))
         ids = rows["id"].to_numpy()
-        lists = [unpack(b) for b in found["repeated"].to_pylist()]
-        elsewhere = np.sort(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
-        del lists
-        seen_h, seen_id = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # windows of this range so far, with their smallest id
+        lists = [(unpack(a), np.frombuffer(b, "<u8")) for a, b in zip(found["hashes"].to_pylist(), found["second"].to_pylist(), strict=True)]
+        h, x = (np.concatenate([y[k] for y in lists]) if lists else np.zeros(0, np.uint64) for k in (0, 1))
+        order = np.lexsort((x, h))
+        h, x = h[order], x[order]
+        del lists, order
+        w = Windows.of(rows["text"], size, bits)
+        again = _again(w, ids, h, x)
+        docs, first = np.unique(w.doc[again], return_index=True)
+        places = dict(zip(docs.tolist(), np.split(w.place[again], first[1:]), strict=True)) if len(docs) else {}
         out = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans")}
-        data, offsets = raw(rows["text"])
-        for i, j, counts, hashes, at in _hashed(rows["text"], size):
-            owner = np.repeat(ids[i:j], counts)[at] if len(at) else np.zeros(0, np.int64)
-            place = np.searchsorted(elsewhere, hashes)
-            again = (place < len(elsewhere)) & (elsewhere[np.minimum(place, len(elsewhere) - 1)] == hashes) if len(elsewhere) else np.zeros(len(hashes), bool)
-            first_h, first = np.unique(hashes, return_index=True)  # ids ascend, so the first occurrence has the smallest
-            first_id = owner[first]
-            if len(seen_h):
-                place = np.minimum(np.searchsorted(seen_h, first_h), len(seen_h) - 1)
-                known = seen_h[place] == first_h
-                first_id = np.where(known, seen_id[place], first_id)
-                new_h, new_id = first_h[~known], first_id[~known]
-            else:
-                new_h, new_id = first_h, first_id
-            again |= owner > first_id[np.searchsorted(first_h, hashes)]
-            seen_h, seen_id = np.concatenate([seen_h, new_h]), np.concatenate([seen_id, new_id])
-            order = np.argsort(seen_h, kind="stable")
-            seen_h, seen_id = seen_h[order], seen_id[order]
-            gone = covered(at[again], int(counts.sum()), size)
-            w = 0
-            for d, n in zip(range(i, j), counts.tolist(), strict=True):
-                text = data[offsets[d] : offsets[d + 1]].tobytes()
-                mask = gone[w : w + n]
-                w += n
+        for d, n in enumerate(w.counts.tolist()):
+            text = w.text(d)
+            words = text.split()
+            removed, edges = 0, []
+            if d in places:
+                mask = covered(places[d], n, size)
                 removed = int(mask.sum())
-                words = text.split()
-                kept = b" ".join(itertools.compress(words, (~mask).tolist()) if removed else words)
-                edges = np.flatnonzero(np.diff(mask, prepend=False, append=False)).tolist() if removed else []
-                out["doc_id"].append(int(ids[d]))
-                out["n_words"].append(n)
-                out["n_removed"].append(removed)
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append((kept if removed else text) if texts_out else None)
-                out["spans"].append(edges)
+                words = itertools.compress(words, (~mask).tolist())
+                edges = np.flatnonzero(np.diff(mask, prepend=False, append=False)).tolist()
+            kept = b" ".join(words)
+            out["doc_id"].append(int(ids[d]))
+            out["n_words"].append(n)
+            out["n_removed"].append(removed)
+            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            out["kept"].append((kept if removed else text) if texts_out else None)
+            out["spans"].append(edges)
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "spans": pa.list_(pa.int64())}
-        table = pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()} | {c: rows[c] for c in carry})
-        del elsewhere, seen_h, seen_id, out
+        table = pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()} | {"missing": rows["missing"]} | ({"carried": rows["carried"]} if carry else {}))
+        del h, x, w, again, out
         release()
         return table
 
     return f
 
 
-def substring_dedup(docs: DataFrame, size: int = 13, group_bytes: int = 12 << 20, bucket_bytes: int = 24 << 20, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_removed, kept_sha256, spans, the columns ``carry`` as they were, and kept_text if ``texts``:
-    the kept words joined by one space, or the text as it was if none goes.
+def substring_dedup(docs: DataFrame, size: int = 13, group_bytes: int = 12 << 20, bucket_bytes: int = 24 << 20, texts: bool = False, carry: tuple[str, ...] = (), bits: int = BITS) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_words, n_removed, kept_sha256, spans, the columns ``carry`` as they were in a struct
+    ``carried``, and kept_text if ``texts``: the kept words joined by one space, or the text as it was (null too) if none goes.
 
     A word goes if a window of ``size`` words that covers it also starts in a document with a smaller doc_id.
     ``spans``: flat list start, end, start, end... of the maximal removed intervals, in words. Null or empty
-    text: no words. Rows without doc_id count as one document before all others and are returned with null.
-    Rows with equal ids don't remove from each other. Empty table: no rows.
+    text: no words. A very long text is a range of its own and is hashed in parts. Rows without doc_id count as one document before
+    all others and are returned with null. Rows with equal ids don't remove from each other, and many of them are dealt to several
+    tasks. Empty table: no rows. ``bits``: leading bits of the first hash that are used; fewer change nothing but the time.
     """
-    group, _, _, total = range_groups(docs, group_bytes)
-    buckets = max(shuffle_partitions(docs.sparkSession), -(-(total // 6 * 8) // bucket_bytes))
-    extra = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
-    dealt = docs.select(id_or_first().alias("id"), text_bytes().alias("text"), group.alias("g"), *extra)
-    sent = dealt.groupBy("g").applyInArrow(_send(size, buckets), "bucket int, g int, hashes binary")
-    found = sent.groupBy("bucket").applyInArrow(_count, "g int, repeated binary")
-    names = [f"carried_{i}" for i in range(len(carry))]
-    kinds = dict(docs.select([F.col(c).alias(n) for c, n in zip(carry, names, strict=True)]).dtypes) if carry else {}
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, spans array<long>" + "".join(f", {n} {t}" for n, t in kinds.items())
-    out = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_remove(size, texts, names), schema)
-    more = [F.decode("kept", "UTF-8").alias("kept_text")] if texts else []
-    return out.select(F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "spans", *(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)), *more)
+    tie = F.xxhash64("text", F.spark_partition_id())  # equal rows too are dealt apart
+    ranges = range_groups(docs, group_bytes, tie)
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-(ranges.bytes // 6 * 8) // bucket_bytes))
+    carried = [F.struct(*named(list(carry))).alias("carried")] if carry else []
+    dealt = docs.select(id_or_first().alias("id"), text_bytes().alias("text"), F.col("text").isNull().alias("missing"), ranges.group.alias("g"), *carried)
+    sent = dealt.groupBy("g").applyInArrow(_send(size, bits, buckets), "bucket int, g int, hashes binary")
+    shared = sent.groupBy("bucket").applyInArrow(_shared(ranges.ranks), "g int, shared binary")
+    sure = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_confirm(size, bits, buckets), "bucket int, g int, hashes binary, second binary")
+    found = sure.groupBy("bucket").applyInArrow(_repeated(ranges.ranks), "g int, hashes binary, second binary")
+    kind = f", carried {dealt.schema['carried'].dataType.simpleString()}" if carry else ""
+    schema = f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, spans array<long>, missing boolean{kind}"
+    out = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_remove(size, bits, texts, bool(carry)), schema)
+    more = [F.when(~(F.col("missing") & (F.col("n_removed") == 0)), F.decode("kept", "UTF-8")).alias("kept_text")] if texts else []
+    return out.select(F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "spans", *(["carried"] if carry else []), *more)

@@ -131,14 +131,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int = 2, group_bytes
     """Encode ``docs(doc_id, text)`` and write files in ascending doc_id order into the shared folder; returns its URI.
 
     One file per doc_id range of about ``group_bytes`` of text, named by the range's number; ``manifest`` lists them.
-    Null or empty text: the end id alone. Equal doc_ids go by text; a null doc_id comes first. Empty table: no file.
+    Null or empty text: the end id alone. Equal doc_ids go by text within a file; many of them are several files. A null
+    doc_id comes first. A very long text is a file of its own. Empty table: no file. Other columns are not read.
     """
     spark = docs.sparkSession
     target = shared_dir(spark, "tokens")
-    group, *_ = range_groups(docs, group_bytes)
+    ranges = range_groups(docs, group_bytes, F.xxhash64("text", F.spark_partition_id()))  # equal rows too can be dealt apart
     store, folder = fs.FileSystem.from_uri(f"{target}/files")
     store.create_dir(folder, recursive=True)
-    dealt = docs.select(id_or_first().alias("id"), F.coalesce("text", F.lit("")).alias("text"), group.alias("g"))
+    dealt = docs.select(id_or_first().alias("id"), F.coalesce("text", F.lit("")).alias("text"), ranges.group.alias("g"))
     dealt.groupBy("g").applyInArrow(_write(tokenizer, f"{target}/files", end), "g int, docs long, ids long, bytes long").write.parquet(f"{target}/manifest")
     return target
 

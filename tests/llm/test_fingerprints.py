@@ -2,10 +2,11 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cpgdomains.llm.fingerprints import Sketches, differences, digests, edited, fingerprint_versions, likenesses
+from cpgdomains.llm.fingerprints import Sketches, compare, differences, digests, edited, fingerprint_versions, fingerprints, likenesses
 
 from .data import ODD, docs
 
@@ -18,12 +19,13 @@ def dice(a, b):
 
 def test_against_sets(spark):
     rows = ODD + [(50 + i, "\n".join(f"line {j} of {i % 4}" for j in range(i))) for i in range(40)]
+    rows += [(70, f"one of many rows {k % 40}\nthat share an id") for k in range(120)] + [(None, f"no id\n{k}") for k in range(30)]
     for group in (400, 1 << 20):
         found = fingerprint_versions(docs(spark, rows), group).collect()
-        order = sorted((-1 if i is None else i, t or "") for i, t in rows)
+        order = sorted((-1 if i is None else i, xxhash.xxh64_intdigest((t or "").encode(), 42), t or "") for i, t in rows)
         wanted = []
-        for k, (i, t) in enumerate(order):
-            n = order[(k + 1) % len(order)][1]
+        for k, (i, _, t) in enumerate(order):
+            n = order[(k + 1) % len(order)][2]
             e = edited(t, n)
             wanted.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), round(dice(t, e), 9), round(dice(t, n), 9)))
         got = [(-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in found]
@@ -31,7 +33,7 @@ def test_against_sets(spark):
         texts = {}
         for r in found:
             key = (r.doc_id, r.n_chars)
-            if r.doc_id is not None:
+            if r.doc_id not in (None, 70):
                 assert texts.setdefault(key, r.fingerprint) == r.fingerprint
         assert len({r.fingerprint for r in found if r.doc_id in (3, 5, 7)}) == 1
 
@@ -65,3 +67,18 @@ def test_small_sketch_fails_and_grows():
     small = Sketches.of(x, np.zeros(100, int), np.array([4]))
     assert not small.peel()[3][0]
     assert likenesses([x], [x[:50]]) == [1 - 50 / 150]
+
+
+@given(st.integers(0, 200), st.integers(0, 60), st.integers(0, 60))
+@settings(max_examples=80, deadline=None)
+def test_stored_fingerprints_compare(common, a, b):
+    x = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    left, right = np.sort(x[: common + a]), np.sort(np.concatenate([x[:common], x[300 : 300 + b]]))
+    one, two = fingerprints([left, right])
+    found = compare(one, two)
+    if a + b <= 4:
+        assert found is not None
+    if found is not None:
+        assert found == likenesses([left], [right])[0]
+    if a + b > 48:
+        assert found is None

@@ -1,12 +1,17 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from cpgdomains.llm.substring_dedup import covered, pack, substring_dedup, unpack, window_hashes, word_hashes
+from cpgdomains.llm import substring_dedup as module
+from cpgdomains.llm.common import range_groups
+from cpgdomains.llm.substring_dedup import Windows, covered, pack, substring_dedup, unpack, window_hashes, word_hashes
 
-from .data import ODD, docs
+from .data import ODD, PASSAGE, docs
 
 
 def brute(rows, size=13):
@@ -42,7 +47,52 @@ def test_spans_texts_and_carried_columns(spark):
     found = {r.doc_id: r for r in substring_dedup(docs(spark, rows), texts=True, carry=("lang", "g", "h")).collect()}
     assert found[2].spans == [2, 22] and found[2].kept_text == f"x y z {b}"
     assert found[3].spans == [0, 35] and found[3].kept_text == "" and found[3].n_removed == 35
-    assert found[4].kept_text == "kept  as it\nis" and (found[4].lang, found[4].g, found[4].h) == ("en", 2, 1)
+    assert found[4].kept_text == "kept  as it\nis" and (found[4].carried.lang, found[4].carried.g, found[4].carried.h) == ("en", 2, 1)
+    assert substring_dedup(docs(spark, [(1, None)]), texts=True).first().kept_text is None
+
+
+@pytest.mark.parametrize("bits", [0, 3, 10])
+def test_agreeing_hashes_remove_nothing(spark, bits):
+    """With so few bits nearly all windows agree in their hash; the words themselves decide."""
+    words = np.random.default_rng(6).integers(0, 3, (40, 60))
+    rows = ODD + [(100 + i, " ".join(f"v{x}" for x in w[: 20 + i])) for i, w in enumerate(words)]
+    for group in (300, 1 << 20):
+        found = substring_dedup(docs(spark, rows), size=5, group_bytes=group, bits=bits).drop("spans").collect()
+        assert sorted((tuple(r) for r in found), key=str) == brute(rows, 5)
+
+
+def test_rows_of_one_id_are_dealt_to_several_tasks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(7 if i % 3 else None, f"t{i % 5} {PASSAGE} e{rng.integers(9)}") for i in range(300)] + [(k, f"x {PASSAGE} y{k}") for k in (1, 9)]
+    table = docs(spark, rows)
+    groups = range_groups(table, 2000, F.xxhash64("text", F.spark_partition_id()))
+    sizes = [r[1] for r in table.groupBy(groups.group).count().collect()]
+    assert max(sizes) < 60 and len(set(groups.ranks.tolist())) < len(groups.ranks)
+    found = substring_dedup(table, group_bytes=2000).drop("spans").collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute(rows)
+
+
+def test_ranges_follow_bytes(spark):
+    rng = np.random.default_rng(2)
+    ids = np.unique(np.concatenate([rng.integers(-(2**62), 2**62, 40), rng.integers(0, 200, 300), [2**63 - 1, -(2**63) + 1]])).tolist()
+    rows = [(i, "z" * int(rng.integers(0, 300))) for i in ids] + [(None, "q"), (5, "w" * 5000)]
+    table = docs(spark, rows)
+    groups = range_groups(table, 1500)
+    by = {}
+    for i, t, g in table.select("doc_id", "text", groups.group).collect():
+        by.setdefault(g, []).append((-(2**63) if i is None else i, len(t) + 64))
+    assert sorted(i for g in by for i, _ in by[g]) == sorted(-(2**63) if i is None else i for i, _ in rows)
+    assert all(sum(n for _, n in x) <= 1500 or len({i for i, _ in x}) == 1 for x in by.values())
+    spans = sorted((min(x)[0], max(x)[0], g) for g, x in by.items())
+    assert all(a[1] < b[0] and a[2] < b[2] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_a_long_document_is_hashed_in_parts(monkeypatch):
+    text = (" ".join(f"w{i % 50}" for i in range(3000))).encode()
+    whole = Windows.of(pa.chunked_array([pa.array([b"a b", text, b""])]), 13, 64)
+    monkeypatch.setattr(module, "_CHUNK", 700)
+    parts = Windows.of(pa.chunked_array([pa.array([b"a b", text, b""])]), 13, 64)
+    assert (whole.hash == parts.hash).all() and (whole.place == parts.place).all() and (whole.doc == parts.doc).all() and (whole.counts == parts.counts).all()
 
 
 def test_empty_table(spark):
