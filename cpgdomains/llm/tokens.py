@@ -4,6 +4,9 @@ A text is cut before single spaces between two characters that aren't white spac
 punctuation mark. At such a place the pre-tokenisers of both kinds of file always begin a new pre-token and never look
 back, so encoding chunk by chunk gives the ids of the whole text. Arrow cuts a batch and numbers its distinct chunks; those
 not met before are encoded together. The table of chunks lives as long as the worker and is bounded.
+
+Tokens that a file adds to its vocabulary, such as an end-of-text mark, are found in a text as the library finds them by default:
+their strings become their ids. A text that holds such a string is encoded whole.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ def cut(texts: pa.Array) -> pa.ListArray:
 class ChunkEncoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         widths = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             widths[i] = len(token)
@@ -128,6 +131,16 @@ class ChunkEncoder:
                 yield from self.encode(part, end)
             return
         tail = np.array([] if end is None else [end], dtype=np.uint32)
+        whole = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if whole.any():
+            for flag, text in zip(whole.tolist(), texts, strict=True):
+                if flag:
+                    yield np.array([*self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, *tail.tolist()], dtype=np.uint32)
+                else:
+                    yield from self.encode(pa.array([text.as_py()], texts.type), end)
+            return
         for i, j in slices(pc.binary_length(texts).to_numpy(), AT_ONCE):
             chunks = cut(texts.slice(i, j - i))
             bounds = chunks.offsets.to_numpy()
