@@ -5,6 +5,9 @@ boundaries are right from the first one that the chunk before it has too, as a m
 takes each chunk's boundaries up to the first common one in the overlap. Where an overlap has none (one pre-token
 longer than the overlap), the text is pre-tokenised on from the last right boundary until the two agree. The pieces
 between boundaries are then merged by rank, once per distinct piece. Decoding joins the tokens' bytes.
+
+All this needs a pattern whose boundaries in a cut text, but for the last one, are those of the whole text (``CUTTABLE``). With
+any other pattern each text is encoded in one piece.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
@@ -21,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK, OVERLAP, GENERATION = 1 << 15, 1 << 9, 150_000
+#: Patterns known to be safe: a match of theirs looks at most one character ahead, to tell whether white space ends.
+CUTTABLE = (public_tokenizers.PATTERN,)
 _loaded: dict[tuple[str, str], "Codec"] = {}
 
 
@@ -139,11 +145,13 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, chunk: int = CHU
     """(doc_id, ids) of ``docs(doc_id, text)``; ids: unsigned 32-bit little-endian, end to end.
 
     Null or empty text: no ids. Rows with equal or null doc_id are encoded apart. Special tokens' strings are
-    ordinary text. Empty table: no rows. Only texts longer than a chunk are shuffled.
+    ordinary text. Empty table: no rows. Only texts longer than a chunk are shuffled, and none whose pattern isn't in ``CUTTABLE``.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = F.length("text")
     schema = "doc_id long, ids binary"
+    if pattern not in CUTTABLE:
+        return rows.mapInArrow(_encode_short(ranks, pattern), schema)
     short = rows.where(size <= chunk + overlap).mapInArrow(_encode_short(ranks, pattern), schema)
     long = rows.where(size > chunk + overlap).withColumn("row", F.monotonically_increasing_id())
     last = F.ceil((size - overlap) / chunk) - 1  # the last chunk reaches the text's end

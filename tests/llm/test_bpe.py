@@ -13,9 +13,9 @@ from .data import ODD, docs
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def library():
+def library(pattern=PATTERN):
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
 def test_against_the_library(spark):
@@ -47,3 +47,13 @@ def test_stitched_bounds_are_those_of_the_whole(text, step, overlap):
     parts = [text[k * step : k * step + step + overlap] for k in range(n)]
     whole, ends = stitch(parts, [c.bounds(p) for p in parts], step, c.bounds)
     assert whole == text and ends.tolist() == c.bounds(text).tolist()
+
+
+def test_other_patterns_are_not_cut(spark):
+    """Here a newline and the spaces after it are told apart by what follows them, however far off."""
+    pattern = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s*[\r\n]+|\s+(?!\S)|\s+"
+    rows = [(1, "ab " * 40 + "\n" + " " * 300 + "x\n\n y"), (2, "\n" * 50 + " " * 90)]
+    encoded = encode_documents(docs(spark, rows), RANKS, pattern, 64, 16)
+    found = {r.doc_id: r.ids_sha256 for r in decode_documents(encoded, RANKS, pattern).collect()}
+    enc = library(pattern)
+    assert found == {i: hashlib.sha256(",".join(map(str, enc.encode_ordinary(t))).encode()).hexdigest() for i, t in rows}
