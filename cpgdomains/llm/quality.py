@@ -113,13 +113,13 @@ def _measured(good: bytes, bad: bytes):
     return f
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, calibration: int = 6000, size: int = 1 << 16) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, calibration: int = 6000, size: int = 1 << 16, sample_bytes: int = 32 << 20) -> Model:
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, quality)``, rows of ``is_held_out`` excluded.
 
     Bounds: ``per_label`` texts of each label build the dictionaries (trained, or all of their bytes where a label's are few: see
-    ``dictionaries``) and come to the driver; features of at most
-    ``calibration`` other rows fit the calibration. Both are the first in hash order of the id. Of several labels
-    of an id the largest counts. Without labelled rows every score is 0.5.
+    ``dictionaries``) and come to the driver, whole texts of ``sample_bytes`` a label at most (those that would pass it are left
+    out); features of at most ``calibration`` other rows fit the calibration. Both are the first in hash order of the id. Of several
+    labels of an id the largest counts. Without labelled rows every score is 0.5. Null texts count as empty.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("label"))
@@ -133,7 +133,14 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, calibration
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     # both lists are bounded by the parameters, so the joins' small sides are too
-    for r in rows.join(F.broadcast(spark.createDataFrame(first, schema)), "doc_id").select("label", "text").sort("doc_id", "text").collect():
+    sample = rows.join(F.broadcast(spark.createDataFrame(first, schema)), "doc_id").withColumn("n", F.octet_length("text"))
+    # a row per sampled id: an id's rows are as long as they are together
+    room, chosen = {0: sample_bytes, 1: sample_bytes}, []
+    for r in sample.groupBy("doc_id", "label").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").collect():
+        if r["n"] <= room[r["label"]]:
+            room[r["label"]] -= r["n"]
+            chosen.append((r["doc_id"], r["label"]))
+    for r in rows.join(F.broadcast(spark.createDataFrame(chosen, schema)), "doc_id").select("label", "text").sort("doc_id", "text").collect():
         texts[r["label"]].append(bytes(r["text"]))
     good, bad = dictionaries(texts[1], texts[0], size)
     sample = rows.join(F.broadcast(spark.createDataFrame(second, schema)), "doc_id").select("label", "text").mapInArrow(_measured(good, bad), "label int, difference double, ratio double, length double").collect()

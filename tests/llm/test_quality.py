@@ -1,6 +1,8 @@
+import os
 import zlib
 
 import numpy as np
+import pytest
 
 from cpgdomains.llm.quality import LEAST, calibrate, dictionaries, dictionary, is_held_out, score_quality, train
 
@@ -62,3 +64,22 @@ def test_a_small_sample_is_used_whole_and_both_labels_alike():
     assert dictionary(few, 1 << 16) == b"".join(few)
     assert dictionaries(many, few, 1 << 16) == (b"".join(many), b"".join(few))
     assert dictionaries([], few, 1 << 16) == (b"", b"".join(few)) and dictionaries([], [], 1 << 16) == (b"", b"")
+
+
+def test_sampled_bytes_are_bounded(spark):
+    good, bad = corpus(60)
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
+    model = train(docs(spark, [*good[1:], (0, "long text " * 100_000), *bad]), labels, sample_bytes=4000)
+    assert 0 < len(model.good) <= 4000 and 0 < len(model.bad) <= 4000
+
+
+@pytest.mark.parametrize("name", ["sf0.01"])
+def test_held_out_accuracy_on_the_test_tables(spark, name):
+    """Labels of a fifth that the fit never sees, at the query's threshold."""
+    folder = f"/root/testdata/{name}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    table, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scored = score_quality(table.withColumn("held_out", is_held_out(table["doc_id"])), train(table, labels), keep=("doc_id", "held_out"))
+    found = scored.where("held_out").join(labels, "doc_id").select("quality", "predicted").collect()
+    assert len(found) > 50 and np.mean([r.quality == r.predicted for r in found]) > 0.95
