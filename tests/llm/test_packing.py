@@ -70,3 +70,26 @@ def test_dot_product_prefers_the_matching_bin():
 def test_prompt_tokens_bear_no_loss(spark):
     found = pack_documents(docs(spark, [(1, "a b c d e")]), PATH, prompt_tokens=F.lit(4)).collect()
     assert sum(r.loss_tokens for r in found) == 2 and sum(r.length for r in found) == 6
+
+
+def test_a_loss_limit_binds_on_documents_with_prompts(spark):
+    """Half of each document is its prompt; sequences may hold 600 tokens that bear loss, which comes before 4096 tokens."""
+    rows = [(i, " ".join(f"word{j}" for j in range(20 + 7 * i))) for i in range(60)]
+    limits = Limits(loss=600)
+    found = pack_documents(docs(spark, rows).repartition(1), PATH, limits=limits, prompt_tokens=F.length("text") / 8).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.sequence_id, []).append(r)
+    loss = [sum(r.loss_tokens for r in x) for x in by.values()]
+    assert max(loss) <= 600 and sum(x == 600 for x in loss) > len(loss) / 2
+    assert sum(r.length for r in found) == sum(r.doc_tokens for r in found if r.start == 0)
+    assert all(sum(r.length for r in x) <= 4096 and len(x) <= limits.segments for x in by.values())
+
+
+def test_little_padding(spark):
+    found = pack_documents(docs(spark, [(i, "some words " * (1 + i * 37 % 900)) for i in range(200)]), PATH).collect()
+    by = {}
+    for r in found:
+        by[r.sequence_id] = by.get(r.sequence_id, 0) + r.length
+    padded = sum(4096 - n for n in by.values() if n & (n - 1))
+    assert padded <= 0.01 * sum(by.values())
