@@ -17,8 +17,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import text_bytes
+from .common import named, text_bytes
 
 LEVEL = 3
 #: Bytes of a trained dictionary at least.
@@ -163,10 +164,11 @@ def _scored(model: Model, threshold: float):
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each row, score (0 to 1, higher: label 1 likelier) and predicted (1 from ``threshold`` on).
+    """The columns ``keep`` of each row (none may be called score, predicted or text_; a struct can hold such), score (0 to 1, higher: label 1 likelier) and predicted (1 from ``threshold`` on).
 
     Null text counts as empty, which has a score too. Every row is scored, also with equal or null ids. Empty table: no rows.
     """
-    rows = docs.select(*keep, text_bytes().alias("text_"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes) + ", score double, predicted int"
+    kept = named(list(keep))
+    rows = docs.select(*kept, text_bytes().alias("text_"))
+    schema = StructType([*docs.select(*kept).schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return rows.mapInArrow(_scored(model, threshold), schema)

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import NO_ID, id_or_first, named, range_groups, raw, release, shuffle_partitions, slices, text_bytes
 
@@ -384,8 +385,8 @@ def substring_dedup(docs: DataFrame, size: int = 13, group_bytes: int = 12 << 20
     shared = sent.groupBy("bucket").applyInArrow(_shared(ranges.ranks), "g int, shared binary")
     sure = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_confirm(size, bits, buckets), "bucket int, g int, hashes binary, second binary")
     found = sure.groupBy("bucket").applyInArrow(_repeated(ranges.ranks), "g int, hashes binary, second binary")
-    kind = f", carried {dealt.schema['carried'].dataType.simpleString()}" if carry else ""
-    schema = f"doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, spans array<long>, missing boolean{kind}"
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, spans array<long>, missing boolean")
+    schema = StructType([*schema.fields, *(dealt.schema["carried"] for _ in carried)])
     out = dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(_remove(size, bits, texts, bool(carry)), schema)
     more = [F.when(~(F.col("missing") & (F.col("n_removed") == 0)), F.decode("kept", "UTF-8")).alias("kept_text")] if texts else []
     return out.select(F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "spans", *(["carried"] if carry else []), *more)
