@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import permutations
 
@@ -12,11 +13,13 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from cpgdomains.operators.features import imputed, standardised
 from cpgdomains.schema import STATES
 
 MIN_FRACTION = 0.001
+#: KMeans starts that run at once.
+AT_ONCE = 4
 
 
 @dataclass
@@ -27,7 +30,7 @@ class ClusterModel:
     medians: dict[str, float]
     means: dict[str, float]
     scales: dict[str, float]
-    pipeline: PipelineModel
+    pipeline: PipelineModel | None
     space: str
     cost: float
 
@@ -76,6 +79,12 @@ def top_loadings(loadings: DataFrame, n: int) -> DataFrame:
     return loadings.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def ranked_features(loadings: DataFrame, component: str = "PC2") -> list[str]:
+    """Features by the size of their loading on a component, largest first, but beta before all others."""
+    rows = loadings.where(F.col("component") == component).orderBy(F.desc(F.abs("loading")), "feature").select("feature").collect()
+    return sorted((r[0] for r in rows), key=lambda c: c != "beta")
+
+
 def fit(training: DataFrame, features: list[str], n_states: int = 4, space: str = "pca", n_pca: int = 5, restarts: int = 10, seed: int = 42) -> ClusterModel:
     """KMeans over z-scores or their principal components; of ``restarts`` seeds the lowest cost stays.
 
@@ -83,28 +92,41 @@ def fit(training: DataFrame, features: list[str], n_states: int = 4, space: str
     """
     if space not in ("pca", "raw"):
         raise ValueError("space must be 'pca' or 'raw'")
-    row = training.agg(*(F.count_if(F.col(c).isNull() | F.isnan(c)).alias(c) for c in features)).first()
-    gaps = [c for c in features if row[c]]
-    medians = {}
-    if gaps:
-        filled = imputed(training, gaps)
-        at = training.agg(*(F.median(F.when(~F.isnan(c), F.col(c))).alias(c) for c in gaps)).first()
-        medians, training = {c: at[c] for c in gaps}, filled
-    at = training.agg(F.count(F.lit(1)).alias("rows"), *(F.avg(c).alias(f"m_{c}") for c in features), *(F.stddev_pop(c).alias(f"s_{c}") for c in features)).first()
-    scaled = standardised(training, features).cache()
+    known = {c: F.when(~F.isnan(c), F.col(c)) for c in features}
+    training = training.select(*(v.alias(c) for c, v in known.items())).cache()
     try:
+        # nulls, infinities and moments in one pass; a median only where a column has gaps
+        row = training.agg(F.count(F.lit(1)).alias("rows"), *(f(c).alias(f"{k}_{c}") for c in features for k, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop)))).first()
+        gaps = [c for c in features if row[f"n_{c}"] < row["rows"]]
+        if empty := [c for c in gaps if not row[f"n_{c}"]]:
+            raise ValueError(f"features {empty} have no values")
+        if wild := [c for c in features if row[f"m_{c}"] is not None and not np.isfinite(row[f"m_{c}"])]:
+            raise ValueError(f"features {wild} have infinite values")
+        medians, at = {}, row.asDict()
+        if gaps:
+            medians = training.agg(*(F.median(c).alias(c) for c in gaps)).first().asDict()
+            filled = training.fillna(medians)
+            at |= filled.agg(*(f(c).alias(f"{k}_{c}") for c in gaps for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first().asDict()
+        means, scales = ({c: at[f"{k}_{c}"] for c in features} for k in ("m", "s"))
+        model = ClusterModel(features, medians, means, scales, None, space, 0.0)
         stages = [VectorAssembler(inputCols=[f"z_{c}" for c in features], outputCol="z" if space == "pca" else "space")]
         if space == "pca":
             stages.append(PCA(k=min(n_pca, at["rows"], len(features)), inputCol="z", outputCol="space"))
+        scaled = model.scaled(training).select(*(f"z_{c}" for c in features))
         front = Pipeline(stages=stages).fit(scaled)
         ready = front.transform(scaled).select("space").cache()
-        models = [KMeans(k=n_states, seed=seed + i, featuresCol="space", predictionCol="cluster").fit(ready) for i in range(restarts)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        ready.unpersist()
+        try:
+            ready.count()
+            start = lambda i: KMeans(k=n_states, seed=seed + i, featuresCol="space", predictionCol="cluster").fit(ready)
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                models = list(pool.map(start, range(restarts)))
+        finally:
+            ready.unpersist()
     finally:
-        scaled.unpersist()
-    means, scales = ({c: at[f"{k}_{c}"] for c in features} for k in ("m", "s"))
-    return ClusterModel(features, medians, means, scales, PipelineModel(front.stages + [best]), space, best.summary.trainingCost)
+        training.unpersist()
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    model.pipeline, model.cost = PipelineModel(front.stages + [best]), best.summary.trainingCost
+    return model
 
 
 def nearest_centre(df: DataFrame, centres: list[dict[str, float]]) -> DataFrame:
@@ -128,15 +150,11 @@ def absorption(stats: list[tuple[int, int, float]], least: float = MIN_FRACTION)
 
 def absorb_small(df: DataFrame, label: str = "cluster", least: float = MIN_FRACTION) -> DataFrame:
     stats = [(r[0], r[1], r[2]) for r in df.groupBy(label).agg(F.count(F.lit(1)), F.avg("beta")).collect()]  # a row per cluster
-    return df.withColumn(label, _mapped(label, absorption(stats, least)))
-
-
-def _mapped(label: str, mapping: dict) -> Column:
     out = F.col(label)
-    for k, v in mapping.items():
+    for k, v in absorption(stats, least).items():
         if k != v:
             out = F.when(F.col(label) == k, F.lit(v)).otherwise(out)
-    return out
+    return df.withColumn(label, out)
 
 
 def state_scores(stats: DataFrame, low: float = 0.2, high: float = 0.7) -> DataFrame:
@@ -152,25 +170,47 @@ def state_scores(stats: DataFrame, low: float = 0.2, high: float = 0.7) -> DataF
 
 
 def assign(scores: dict[int, tuple[float, ...]]) -> dict[int, str]:
-    """{cluster: state}: the choice of distinct states with the largest sum, then the largest scores in cluster order."""
+    """{cluster: state}: the choice of distinct states with the largest sum, of equal sums that with the largest scores in
+    cluster order, of equal ones the first in order of the states."""
     clusters = sorted(scores)
     if len(clusters) > len(STATES):
         raise ValueError(f"{len(clusters)} clusters can't have distinct states")
-    best = None
-    for choice in permutations(range(len(STATES)), len(clusters)):
-        vector = tuple(scores[c][s] for c, s in zip(clusters, choice, strict=True))
-        key = (float(np.sum(vector)), vector)
-        if best is None or key > best[0]:
-            best = (key, choice)
-    return {c: STATES[s] for c, s in zip(clusters, best[1], strict=True)} if clusters else {}
-
-
-def relabel(df: DataFrame, windows: list[str], label: str = "cluster", out: str = "state", low: float = 0.2, high: float = 0.7) -> DataFrame:
-    """Biological states of clusters, tiny clusters absorbed first. Two aggregates of a few rows; the rest is one expression."""
-    whole = absorb_small(df, label)
-    rows = state_scores(cluster_statistics(whole, windows, label), low, high).collect()
-    mapping = assign({r[label]: tuple(r[f"score_{s}"] for s in STATES) for r in rows})
-    state = F.lit(None).cast("string")
-    for k, v in mapping.items():
-        state = F.when(F.col(label) == k, v).otherwise(state)
-    return whole.withColumn(out, state)
+    if not clusters:
+        return {}
+    choices = np.array(list(permutations(range(len(STATES)), len(clusters))))
+    gained = np.array([scores[c] for c in clusters])[np.arange(len(clusters)), choices]
+    # lexsort is stable and takes its last key first: sums, then the clusters' scores in order, all from the largest down
+    ranked = np.lexsort((*(-gained.T[::-1]), -gained.sum(axis=1)))
+    return dict(zip(clusters, (STATES[k] for k in choices[ranked[0]].tolist()), strict=True))
+
+
+def relabel(df: DataFrame, windows: list[str], label: str = "cluster", out: str = "state", low: float = 0.2, high: float = 0.7, by: tuple[str, ...] = ()) -> DataFrame:
+    """Biological states of clusters, tiny clusters absorbed first, apart for each value of the columns ``by``.
+
+    One aggregate gives sums per cluster (and value of ``by``); absorbed clusters' sums add up, so that no second pass is needed.
+    The table of states joins back, small enough for any plan: a row per cluster and value of ``by``.
+    """
+    by = list(by)
+    names = {"beta": ["beta"], "intermediate": [f"{w}_int_pct" for w in windows], "high": [f"{w}_high_pct" for w in windows], "low": [f"{w}_low_pct" for w in windows], "std": [f"{w}_std" for w in windows]}
+    columns = [c for group in names.values() for c in group]
+    found: dict[tuple, dict[int, dict]] = {}
+    for r in df.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count(F.lit(1)).alias("size"), *(F.sum(c).alias(f"s_{c}") for c in columns), *(F.count(c).alias(f"n_{c}") for c in columns)).collect():
+        found.setdefault(tuple(r[k] for k in by), {})[r[label]] = r.asDict()
+    mean = lambda rows, c: sum(x[f"s_{c}"] or 0.0 for x in rows) / max(1, sum(x[f"n_{c}"] for x in rows))
+    stats, joins = [], []
+    for number, (key, clusters) in enumerate(found.items()):
+        into = absorption([(c, x["size"], mean([x], "beta")) for c, x in clusters.items()])
+        joins += [(number, key, c, to) for c, to in into.items()]
+        for whole in sorted(set(into.values())):
+            rows = [clusters[c] for c, to in into.items() if to == whole]
+            stats.append((number, whole, *(sum(mean(rows, c) for c in group) / len(group) for group in names.values())))
+    spark = df.sparkSession
+    scored = state_scores(spark.createDataFrame(stats, "k int, c int, beta double, intermediate double, high double, low double, std double"), low, high).collect()
+    scores: dict[int, dict[int, tuple]] = {}
+    for r in scored:
+        scores.setdefault(r["k"], {})[r["c"]] = tuple(r[f"score_{s}"] for s in STATES)
+    states = {k: assign(v) for k, v in scores.items()}
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    fields = [StructField(k, kinds[k]) for k in by] + [StructField(label, kinds[label]), StructField("_into", kinds[label]), StructField(out, StringType())]
+    table = spark.createDataFrame([(*key, c, to, states[number][to]) for number, key, c, to in joins], StructType(fields))
+    return df.drop(out).join(table, [*by, label], "left").withColumn(label, F.col("_into")).drop("_into")

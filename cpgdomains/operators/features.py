@@ -1,9 +1,10 @@
 """Centred distance-window features of every point.
 
 The frame of a point at p is [p - W // 2, p + W // 2], both ends included, within (sample, chromosome). Chromosomes are
-cut into bins with a halo of half a window, so that one long chromosome is many tasks; a bin keeps what its own points
-get. Sparse data use RANGE frames, which aggregate each frame anew; dense data use running sums over edge events:
-a window's value is the running sum at its end edge less that at its start edge. Null and NaN betas count nowhere.
+cut into bins with a halo of half the widest window, so that one long chromosome is many tasks; a bin keeps what its own points
+get. Windows with few points use RANGE frames, which aggregate each frame anew; those with many use running sums over edge
+events: a window's value is the running sum at its end edge less that at its start edge. All windows of a kind share one
+shuffle and one sort. Null and NaN betas count nowhere.
 """
 
 from __future__ import annotations
@@ -51,11 +52,13 @@ def emissions(
 
     ``plan``: "range", "edge", or "auto", which measures the density of the windows with one aggregate.
     """
-    out = points
     dense = [plan == "edge"] * len(windows) if plan != "auto" else [d > DENSE for d in densities(points, [s for s, _ in windows])]
-    for (size, label), edge in zip(windows, dense, strict=True):
-        out = (_edge if edge else _range)(out, size, label, low, int_high, high)
-    return out
+    out = points
+    for edge, build in ((False, _range), (True, _edge)):
+        some = [w for w, d in zip(windows, dense, strict=True) if d == edge]
+        if some:
+            out = build(out, some, low, int_high, high)
+    return out.select(*points.columns, *feature_names(windows))
 
 
 def _with_halo(points: DataFrame, size: int) -> DataFrame:
@@ -66,35 +69,38 @@ def _with_halo(points: DataFrame, size: int) -> DataFrame:
     return points.withColumn("own_bin", own).withColumn("bin", F.explode(reach))
 
 
-def _range(points: DataFrame, size: int, label: str, low: float, int_high: float, high: float) -> DataFrame:
-    half = size // 2
-    w = Window.partitionBy(*POINT_KEYS, "bin").orderBy("CpG_beg").rangeBetween(-half, half)
+def _range(points: DataFrame, windows: list[tuple[int, str]], low: float, int_high: float, high: float) -> DataFrame:
+    order = Window.partitionBy(*POINT_KEYS, "bin").orderBy("CpG_beg")
     hi, mid, lo = _conditions(low, int_high, high)
     columns = [F.avg(_beta()), F.stddev_pop(_beta()), F.avg(_share(hi)), F.avg(_share(mid)), F.avg(_share(lo)), F.count(_beta())]
-    named = [c.over(w).cast("double").alias(f"{label}_{s}") for c, s in zip(columns, SUFFIXES, strict=True)]
-    return _with_halo(points, size).select("*", *named).where("bin = own_bin").drop("bin", "own_bin")
+    named = [c.over(order.rangeBetween(-(size // 2), size // 2)).cast("double").alias(f"{label}_{s}") for size, label in windows for c, s in zip(columns, SUFFIXES, strict=True)]
+    return _with_halo(points, max(s for s, _ in windows)).select("*", *named).where("bin = own_bin").drop("bin", "own_bin")
 
 
-def _edge(points: DataFrame, size: int, label: str, low: float, int_high: float, high: float) -> DataFrame:
-    half = size // 2
+def _edge(points: DataFrame, windows: list[tuple[int, str]], low: float, int_high: float, high: float) -> DataFrame:
     hi, mid, lo = _conditions(low, int_high, high)
     zero = F.lit(0.0)
     b = _beta()
     values = {"s1": b, "s2": b * b, "hi": _share(hi), "mid": _share(mid), "lo": _share(lo), "n": b.isNotNull().cast("double")}
-    haloed = _with_halo(points, size)
+    haloed = _with_halo(points, max(s for s, _ in windows))
     rows = haloed.select(*POINT_KEYS, "bin", "own_bin", F.col("CpG_beg").alias("p"), F.struct(*[F.col(c) for c in points.columns]).alias("point"), *(F.coalesce(v, zero).alias(k) for k, v in values.items()))
-    # kind 0: start edge, before the points at its place; 1: point; 2: end edge, after them. Halo rows are points only.
-    edge = F.when(F.col("bin") == F.col("own_bin"), F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    events = rows.withColumn("kind", F.explode(edge)).withColumn("at", F.col("p") + (F.col("kind") - 1) * half)
-    run = Window.partitionBy(*POINT_KEYS, "bin").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    events = events.select(*POINT_KEYS, "bin", "kind", "point", *(F.sum(F.when(F.col("kind") == 1, F.col(k)).otherwise(zero)).over(run).alias(k) for k in values)).where("kind <> 1")
-    edges = Window.partitionBy(*POINT_KEYS, "bin", "point").orderBy("kind")
-    ends = events.select("kind", "point", *((F.col(k) - F.lag(k).over(edges)).alias(k) for k in values)).where("kind = 2")
-    n = F.when(F.col("n") > 0, F.col("n"))
-    mean = F.col("s1") / n
-    std = F.when(F.col("n") > 0, F.sqrt(F.greatest(F.col("s2") / n - mean * mean, zero)))
-    columns = [mean, std, F.col("hi") / n, F.col("mid") / n, F.col("lo") / n, F.col("n")]
-    return ends.select("point.*", *(c.alias(f"{label}_{s}") for c, s in zip(columns, SUFFIXES, strict=True)))
+    # kind 0: start edges, before the points at their place; 1: point; 2: end edges, after them. Halo rows are points only.
+    event = lambda kind, window, shift: F.struct(F.lit(kind).alias("kind"), F.lit(window).alias("window"), F.lit(shift).cast("long").alias("shift"))
+    edges = [e for k, (size, _) in enumerate(windows) for e in (event(0, k, -(size // 2)), event(2, k, size // 2))]
+    events = rows.withColumn("e", F.explode(F.when(F.col("bin") == F.col("own_bin"), F.array(event(1, -1, 0), *edges)).otherwise(F.array(event(1, -1, 0)))))
+    run = Window.partitionBy(*POINT_KEYS, "bin").orderBy(F.col("p") + F.col("e.shift"), "e.kind").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.select(*POINT_KEYS, "bin", "e", "point", *(F.sum(F.when(F.col("e.kind") == 1, F.col(k)).otherwise(zero)).over(run).alias(k) for k in values)).where("e.kind <> 1")
+    # the grouping has the bins' keys first, so nothing is shuffled again
+    signed = lambda k, i: F.sum(F.when(F.col("e.window") == i, F.when(F.col("e.kind") == 2, F.col(k)).otherwise(-F.col(k)))).alias(f"{k}_{i}")
+    sums = events.groupBy(*POINT_KEYS, "bin", "point").agg(*(signed(k, i) for i in range(len(windows)) for k in values))
+    out = []
+    for i, (_, label) in enumerate(windows):
+        n = F.when(F.col(f"n_{i}") > 0, F.col(f"n_{i}"))
+        mean = F.col(f"s1_{i}") / n
+        std = F.when(F.col(f"n_{i}") > 0, F.sqrt(F.greatest(F.col(f"s2_{i}") / n - mean * mean, zero)))
+        columns = [mean, std, F.col(f"hi_{i}") / n, F.col(f"mid_{i}") / n, F.col(f"lo_{i}") / n, F.col(f"n_{i}")]
+        out += [c.alias(f"{label}_{s}") for c, s in zip(columns, SUFFIXES, strict=True)]
+    return sums.select("point.*", *out)
 
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cpgdomains.schema import AUTOSOMES, SUMMARY
+from cpgdomains.schema import AUTOSOMES, POINT_KEYS, SUMMARY
 
 #: Betas that counts of one to four reads give.
 LOW_COVERAGE_LIKE = (0.0, 0.25, 0.33, 0.5, 0.66, 0.67, 0.75, 1.0)
@@ -71,13 +71,14 @@ def training_chromosomes(points: DataFrame, chroms: list[str] | None = None) ->
 
 
 def training_sample(points: DataFrame, chroms: list[str], most: int | None = 50_000, seed: int = 42) -> DataFrame:
-    """At most ``most`` points a chromosome, without replacement, by hash of the position: a sampling operator."""
+    """At most ``most`` points of each sample's chromosomes, without replacement, by a hash of the place: a sampling operator."""
     if most is not None and most <= 0:
         raise ValueError("most must be positive")
     rows = points.where(F.col("CpG_chrm").isin(chroms))
     if most is None:
         return rows
-    w = Window.partitionBy("CpG_chrm").orderBy(F.xxhash64(F.lit(seed), "CpG_beg", "input_row_index"), "CpG_beg", "input_row_index")
+    by = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("CpG_beg").cast("string"), F.col("input_row_index").cast("string")))
+    w = Window.partitionBy(*POINT_KEYS).orderBy(by, "CpG_beg", "input_row_index")
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
 
 

@@ -39,22 +39,35 @@ RANGES = {"beta_low_max": (0.05, 0.35), "beta_high_min": (0.60, 0.95), "int_min"
 
 
 def draw_trials(windows: list[str], n: int = 500, seed: int = 42, ranges: dict[str, tuple[float, float]] | None = None) -> list[StateCutoffs]:
-    """``n`` uniform draws; a draw whose low bound isn't below its high bound is left out, as the search rejects it."""
-    r, rng, out = RANGES | (ranges or {}), np.random.default_rng(seed), []
-    for _ in range(n):
-        low, high = rng.uniform(*r["beta_low_max"]), rng.uniform(*r["beta_high_min"])
-        cells = {w: WindowCutoffs(*(float(rng.uniform(*r[k])) for k in ("int_min", "std_max", "high_max", "low_max"))) for w in windows}
+    """``n`` uniform draws; the two beta bounds of a draw are drawn anew until the low one is below the high one."""
+    r, rng = RANGES | (ranges or {}), np.random.default_rng(seed)
+    lows, highs = r["beta_low_max"], r["beta_high_min"]
+    if lows[0] >= highs[1]:
+        raise ValueError("no low bound lies below a high bound")
+    out = []
+    while len(out) < n:
+        low, high = float(rng.uniform(*lows)), float(rng.uniform(*highs))
         if low < high:
-            out.append(StateCutoffs(cells, float(low), float(high)))
+            out.append(StateCutoffs({w: WindowCutoffs(*(float(rng.uniform(*r[k])) for k in ("int_min", "std_max", "high_max", "low_max"))) for w in windows}, low, high))
     return out
 
 
 @dataclass(frozen=True)
 class SearchResult:
+    """``history``: scores and cutoffs of every trial; ``summary``: those of the best one; ``labelled``: the rows with its labels."""
+
     best: StateCutoffs
     best_trial: int
     history: DataFrame
     contingency: DataFrame
+    summary: DataFrame
+    labelled: DataFrame
+
+
+def flat(cutoffs: StateCutoffs) -> dict[str, float]:
+    """Cutoffs as columns of one row."""
+    cells = {f"{w}_{k}": v for w, c in cutoffs.windows.items() for k, v in (("int_min", c.int_min), ("std_max", c.std_max), ("high_max", c.high_max), ("low_max", c.low))}
+    return {"beta_low_max": cutoffs.beta_low_max, "beta_high_min": cutoffs.beta_high_min} | cells
 
 
 def trial_contingency(labelled: DataFrame, truth: str, trials: list[StateCutoffs]) -> DataFrame:
@@ -82,19 +95,25 @@ def trial_contingency(labelled: DataFrame, truth: str, trials: list[StateCutoffs
     return rows.mapInPandas(count, "trial long, true long, pred long, n long").groupBy("trial", "true", "pred").agg(F.sum("n").alias("n"))
 
 
-def search_rules(labelled: DataFrame, truth: str, windows: list[str], n_iter: int = 500, seed: int = 42, ranges: dict | None = None) -> SearchResult:
-    """The draw with the best macro F1 against the labels in ``truth``; the first of equals wins."""
-    trials = draw_trials(windows, n_iter, seed, ranges)
+def search_rules(
+    labelled: DataFrame, truth: str, windows: list[str], n_iter: int = 500, seed: int = 42, ranges: dict | None = None, trials: list[StateCutoffs] | None = None, score: str = "f1_macro",
+) -> SearchResult:
+    """The draw (or the one of ``trials``) with the best ``score`` against the labels in ``truth``; the first of equals wins."""
+    trials = draw_trials(windows, n_iter, seed, ranges) if trials is None else trials
     if not trials:
-        raise ValueError("every draw was rejected")
+        raise ValueError("there are no trials")
     spark = labelled.sparkSession
     # at most n_iter * 16 rows, whatever the input's size
     counted = spark.createDataFrame(trial_contingency(labelled, truth, trials).toPandas(), "trial long, true long, pred long, n long")
-    history = agreement_of(counted, "true", "pred", ["trial"])
-    best = history.orderBy(F.desc("f1_macro"), "trial").first()
+    rows = [{"trial": k} | flat(t) for k, t in enumerate(trials)]
+    drawn = spark.createDataFrame([tuple(x.values()) for x in rows], "trial long, " + ", ".join(f"`{c}` double" for c in list(rows[0])[1:]))
+    history = agreement_of(counted, "true", "pred", ["trial"]).join(drawn, "trial")
+    best = history.orderBy(F.desc(score), "trial").first()
     if best is None:
         raise ValueError("no labelled rows")
-    return SearchResult(trials[best["trial"]], best["trial"], history, counted)
+    own = trials[best["trial"]]
+    summary = history.where(F.col("trial") == best["trial"]).select(*list(rows[0])[1:], *(c for c in history.columns if c not in rows[0]))
+    return SearchResult(own, best["trial"], history, counted, summary, label_by_rules(labelled, own, "rule_based_label"))
 
 
 def prevalence(labelled: DataFrame, column: str = "state") -> DataFrame:

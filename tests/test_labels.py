@@ -155,6 +155,49 @@ def test_viterbi_against_exhaustive_search(seed):
     assert np.allclose(pairs, want)
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 10, 50, 101])
+def test_blocks_give_what_one_step_after_another_gives(length):
+    rng = np.random.default_rng(length)
+    k = 4
+    t, e = rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(k), k)
+    obs = rng.integers(0, k, length)
+    told = e[:, obs].T
+    forward, scale = np.zeros((length, k)), np.zeros(length)
+    for i in range(length):
+        x = told[0] / k if not i else (forward[i - 1] @ t) * told[i]
+        scale[i] = x.sum()
+        forward[i] = x / scale[i]
+    back = np.ones((length, k))
+    for i in range(length - 2, -1, -1):
+        back[i] = t @ (told[i + 1] * back[i + 1]) / scale[i + 1]
+    for want, got in zip((forward, back, scale), hmm.forward_backward(told, t[None], np.zeros(max(0, length - 1), int)), strict=True):
+        assert np.allclose(want, got)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_ties_of_paths_go_as_one_step_after_another_decides(seed):
+    rng = np.random.default_rng(seed)
+    n = 4
+    step = np.full((n, n), -3)
+    np.fill_diagonal(step, 0)
+    told = np.full((200, n), -2)
+    told[np.arange(200), np.where(rng.random(200) < 0.4, rng.integers(0, n, 200), np.arange(200) // 23 % n)] = -1
+    score, back = told[0].copy(), np.zeros((200, n), int)
+    for t in range(1, 200):
+        reach = score[:, None] + step
+        back[t] = reach.argmax(axis=0)
+        score = reach.max(axis=0) + told[t]
+    path = [int(score.argmax())]
+    for t in range(199, 0, -1):
+        path.append(int(back[t, path[-1]]))
+    assert hmm._likeliest(told.astype(np.int64), step.astype(np.int64)[None], np.zeros(199, int)).tolist() == path[::-1]
+
+
+def test_impossible_steps_are_never_taken():
+    obs = np.array([0] * 50 + [1] * 60)
+    assert set(hmm.viterbi(obs, np.eye(2), np.array([[0.9, 0.1], [0.1, 0.9]])).tolist()) == {1}
+
+
 def decoded(spark, states, **options):
     rows = sequence(spark, states)
     codes = hmm.observation_codes(rows)
@@ -182,6 +225,25 @@ def test_encoding_and_parameters(spark):
     assert decoded(spark, ["LOW"]) == [0]
 
 
+class Reversed(hmm.Backend):
+    """A smoother of one's own: the codes turned round."""
+
+    def decode(self, obs, positions, n):
+        return np.where(np.isnan(obs), 0, n - 1 - obs).astype(int)
+
+
+def test_own_backend_and_encoding_by_scope(spark):
+    rows = [("a", "c", i, i + 2, 0.5, i, s) for i, s in enumerate(["HIGH", "PMD", None, "HIGH"])] + [("b", "c", i, i + 2, 0.5, 10 + i, "HIGH") for i in range(2)] + [("a", "d", 5, 7, 0.5, 20, "HIGH")]
+    table = spark.createDataFrame(rows, POINTS + ", state string")
+    found = {r.input_row_index: (r.obs, r.n) for r in hmm.encoded(table).collect()}
+    assert found == {0: (1, 2), 1: (0, 2), 2: (None, 2), 3: (1, 2), 10: (0, 1), 11: (0, 1), 20: (1, 2)}
+    assert {r.input_row_index: r.n for r in hmm.encoded(table, scope=("sample_id", "CpG_chrm")).collect()}[20] == 1
+    assert {r.input_row_index: r.hmm_state for r in hmm.smooth(table, Reversed()).collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 10: 0, 11: 0, 20: 0}
+    with pytest.raises(Exception, match="more states"):
+        hmm.smooth(table, Reversed(), supported=1).collect()
+    assert hmm.smooth(table.where("state IS NULL"), Reversed()).first().hmm_state is None
+
+
 def test_sticky_fit_raises_the_likelihood(spark):
     rng = np.random.default_rng(9)
     states = [STATES[3 if (i // 15) % 2 else 0] for i in range(300)]
@@ -218,7 +280,7 @@ def test_continuous_time_model(spark):
     assert np.allclose(post.sum(axis=1), 1) and (post.argmax(axis=1) == obs).mean() > 0.95
     rows = sequence(spark, ["LOW"] * 30 + ["HIGH"] + ["LOW"] * 30)
     for how in ("forward-backward", "viterbi"):
-        out = hmm.ContinuousModel(2, holding=10_000.0, noise=0.1, max_iter=1, decode=how).smooth(rows, codes={0: 0, 3: 1})
+        out = hmm.ContinuousModel(2, holding=10_000.0, noise=0.1, max_iter=1, decode_by=how).smooth(rows, codes={0: 0, 3: 1})
         assert {r.hmm_state for r in out.collect()} == {0}
     with pytest.raises(ValueError):
-        hmm.ContinuousModel(decode="other")
+        hmm.ContinuousModel(decode_by="other")
