@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cpgdomains.functions.states import stable_round, state_code, state_name
 from cpgdomains.operators import cluster, features, hmm, metrics, overlay, prepare, regions, rules
-from cpgdomains.schema import STATES, StateCutoffs
-from cpgdomains.sources import fixture
+from cpgdomains.schema import STATES, StateCutoffs, WindowCutoffs
+from cpgdomains.sources import fixture, sinks, tables
+from cpgdomains.sources.shared import names, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -159,6 +161,91 @@ def train_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prepare.training_summary(points, chroms, missing, 1000))
 
 
+# ---- scans: the fixture as files --------------------------------------------------------------------------------------
+
+
+def _file(spark: SparkSession, rows: DataFrame, name: str, header: list[str] | None) -> str:
+    """Rows in order as one tab-separated file in the shared folder."""
+    renamed = rows.toDF(*header) if header else rows
+    return sinks.write_file(renamed, f"{shared_folder(spark, 'scan')}/{name}.tsv", header=header is not None)
+
+
+def _counts_file(spark: SparkSession, sf_dir: str, header: list[str] | None) -> str:
+    return _file(spark, fixture.counts(spark, sf_dir).orderBy("input_row_index").select("CpG_chrm", "CpG_beg", "CpG_end", "meth", "coverage"), "counts", header)
+
+
+_SCANNED = f"SELECT * REPLACE (row_number() OVER (ORDER BY input_row_index) - 1 AS input_row_index) FROM ({COUNTS})"
+
+
+def _scan_counts(resolution: str, header: list[str] | None):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = tables.prepare_sample(spark, _counts_file(spark, sf_dir, header), "s9", resolution)
+        return rounded(found.points.withColumn("resolution", F.lit(found.resolution)))
+
+    return f
+
+
+_SCAN_SQL = f"""SELECT 's9' AS sample_id, CpG_chrm, CpG_beg, CpG_end, {r('CAST(meth AS DOUBLE) / coverage', 'beta')}, input_row_index, 'wgbs' AS resolution FROM ({_SCANNED}) WHERE coverage >= 10"""
+query(_SCAN_SQL, "scan_counts")(_scan_counts("wgbs", None))
+query(_SCAN_SQL, "scan_counts_header")(_scan_counts("wgbs", [" Chrom ", "POS", "stop", "methylated_reads", "Depth"]))
+query(_SCAN_SQL, "scan_auto")(_scan_counts("auto", None))
+
+
+@query(f"""SELECT input_row_index, {r('coverage', 'coverage')}, {r('CAST(meth AS DOUBLE) / coverage', 'beta')},
+       CASE WHEN coverage < 10 THEN 'low_coverage' ELSE 'low_coverage_like_beta' END AS removal_reason FROM ({_SCANNED}) WHERE coverage < 10 OR {_LIKE}""")
+def scan_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.prepare_sample(spark, _counts_file(spark, sf_dir, None), "s9", "wgbs", remove_low_coverage_like=True)
+    return rounded(found.removed.select("input_row_index", "coverage", "beta", "removal_reason"))
+
+
+def _betas_file(spark: SparkSession, sf_dir: str, header: list[str] | None) -> str:
+    rows = fixture.points(spark, sf_dir).orderBy("input_row_index").select("CpG_chrm", "CpG_beg", "CpG_end", F.round("beta", 4).alias("beta"), F.concat(F.lit("cg"), "input_row_index").alias("probe"))
+    return _file(spark, rows, "betas", header)
+
+
+_BETAS = f"SELECT * REPLACE (round(beta, 4) AS beta, row_number() OVER (ORDER BY input_row_index) - 1 AS input_row_index), 'cg' || input_row_index AS probe FROM ({POINTS})"
+_LOW = "beta IN (0e0, 25e-2, 33e-2, 5e-1, 66e-2, 67e-2, 75e-2, 1e0)"
+
+
+@query(f"""SELECT 's9' AS sample_id, CpG_chrm, CpG_beg, CpG_end, {r('beta', 'beta')}, input_row_index, '450k' AS resolution FROM ({_BETAS}) WHERE NOT ({_LOW})""")
+def scan_betas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.prepare_sample(spark, _betas_file(spark, sf_dir, ["chr", "start", "end", "methylation", "probe_id"]), "s9", "auto", remove_low_coverage_like=True)
+    return rounded(found.points.withColumn("resolution", F.lit(found.resolution)))
+
+
+@query(f"""SELECT input_row_index, probe, {r('beta', 'beta')} FROM ({_BETAS}) WHERE {_LOW}""")
+def scan_betas_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.prepare_sample(spark, _betas_file(spark, sf_dir, None), "s9", "450k", remove_low_coverage_like=True)
+    return rounded(found.removed.select("input_row_index", "probe", "beta"))
+
+
+@query(f"""SELECT CpG_chrm, CpG_beg, CpG_end, {r('CAST(meth AS DOUBLE) / coverage', 'beta')} FROM ({COUNTS})
+           WHERE NOT ((CAST(meth AS DOUBLE) / coverage) IN (0e0, 25e-2, 33e-2, 5e-1, 66e-2, 67e-2, 75e-2, 1e0))""")
+def named_by_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture.counts(spark, sf_dir).select("CpG_chrm", "CpG_beg", "CpG_end", "meth", "coverage").toDF("Chromosome", "position", "STOP", "methylated", "cov")
+    return rounded(tables.finalise(tables.normalise_columns(rows), True))
+
+
+@query(f"""SELECT count(*) AS n, count(*) FILTER (WHERE beta < 0 OR beta > 1) AS outside, {r('min(beta)', 'least')}, {r('max(beta)', 'most')} FROM ({POINTS})""")
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = fixture.points(spark, sf_dir)
+    prepare.validate(points)  # raises if any beta is outside
+    return rounded(points.agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("outside"), F.min("beta").alias("least"), F.max("beta").alias("most")))
+
+
+@query(f"""SELECT CpG_chrm, CpG_beg, CpG_end, {r('beta', 'beta')} FROM ({POINTS})""")
+def points_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark, 'points')}/points.tsv"
+    sinks.write_points(fixture.points(spark, sf_dir), path)
+    return rounded(sinks.read_points(spark, path, "s1").drop("sample_id", "input_row_index"))
+
+
+@query(f"""SELECT CpG_chrm, CpG_beg, input_row_index FROM (SELECT *, row_number() OVER (PARTITION BY CpG_chrm ORDER BY md5('42|' || CpG_beg || '|' || input_row_index), CpG_beg, input_row_index) AS k
+           FROM ({POINTS}) WHERE CpG_chrm IN ('chr1', 'chr3')) WHERE k <= 300""")
+def train_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.training_sample(fixture.points(spark, sf_dir), ["chr1", "chr3"], 300).select("CpG_chrm", "CpG_beg", "input_row_index")
+
+
 # ---- features ------------------------------------------------------------------------------------------------------
 
 
@@ -415,16 +502,211 @@ def state_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.avg("beta").alias("mean_beta")))
 
 
-# ---- fitted models: no SQL -----------------------------------------------------------------------------------------
+_ALL_SQL = f"""SELECT CpG_chrm, start, "end", avg_beta, probe_count, state, "end" - start AS length, n_segments, contains_intermediate, n_pmd_segments, n_intermediate_segments FROM (
+{" UNION ALL ".join(f"SELECT * FROM ({clean_sql(s)})" if s == "PMD" else f"SELECT *, CAST(NULL AS BOOLEAN) AS contains_intermediate, CAST(NULL AS BIGINT) AS n_pmd_segments, CAST(NULL AS BIGINT) AS n_intermediate_segments FROM ({clean_sql(s)})" for s in STATES)})"""
+
+
+# ---- files ---------------------------------------------------------------------------------------------------------
+
+
+def _raw_files(spark: SparkSession, sf_dir: str) -> str:
+    folder = shared_folder(spark, "raw")
+    sinks.write_raw(raw(spark, sf_dir), folder, "s1", ["chr3", "chr1", "chr2", "chr9"], longer_than=5000)
+    return folder
+
+
+def _clean_files(spark: SparkSession, sf_dir: str) -> str:
+    folder = shared_folder(spark, "clean")
+    sinks.write_clean(regions.clean_all(raw(spark, sf_dir), **CLEAN), folder, "s1", ["chr3", "chr1", "chr2", "chr9"])
+    return folder
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line number from 0, line of small text files; empty files have no rows."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value"))
+    rows = files.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "text"))
+    return rows.where("text <> ''")
+
+
+_BED_LINE = """CpG_chrm || chr(9) || start || chr(9) || "end" || chr(9) || state"""
+
+
+@query(f"""SELECT 'segments_' || CpG_chrm || '_s1_' || state || '.bed' AS file, row_number() OVER (PARTITION BY CpG_chrm, state ORDER BY start, "end") - 1 AS line, {_BED_LINE} AS text FROM ({ISLANDS})""")
+def file_raw_beds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, _raw_files(spark, sf_dir) + "/*.bed").withColumn("line", F.col("line").cast("long"))
+
+
+@query("""SELECT 'segments_' || c || '_s1_' || s || '.bed' AS file FROM (VALUES ('chr1'), ('chr2'), ('chr3'), ('chr9')) a(c), (VALUES ('LOW'), ('PMD'), ('INTERMEDIATE'), ('HIGH')) b(s)""")
+def file_names_by_chromosome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chromosomes without regions have their files too."""
+    return spark.createDataFrame([(x,) for x in names(spark, _raw_files(spark, sf_dir)) if x.endswith(".bed")], "file string")
+
+
+_IN_TURN = "CASE CpG_chrm WHEN 'chr3' THEN 0 WHEN 'chr1' THEN 1 ELSE 2 END"
+
+
+@query(f"""SELECT 'segments_raw_' || state || '.bed' AS file, row_number() OVER (PARTITION BY state ORDER BY {_IN_TURN}, start, "end") - 1 AS line, {_BED_LINE} AS text FROM ({ISLANDS}) WHERE "end" - start > 5000""")
+def file_raw_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, _raw_files(spark, sf_dir) + "/summary_files/*.bed").withColumn("line", F.col("line").cast("long"))
+
+
+@query(f"""SELECT 'segments_cleaned_' || CpG_chrm || '_s1_' || state || '.bed' AS file, row_number() OVER (PARTITION BY CpG_chrm, state ORDER BY start, "end") - 1 AS line, {_BED_LINE} AS text FROM ({_CLEAN_ALL})
+UNION ALL SELECT 'segments_cleaned_' || state || '.bed', row_number() OVER (PARTITION BY state ORDER BY CpG_chrm, start, "end") - 1, {_BED_LINE} FROM ({_CLEAN_ALL})""")
+def file_clean_beds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _clean_files(spark, sf_dir)
+    return _lines(spark, folder + "/clean_regions/*.bed").unionByName(_lines(spark, folder + "/summary_files/*.bed")).withColumn("line", F.col("line").cast("long"))
+
+
+_HEAD = "CpG_chrm start end avg_beta probe_count state length n_segments"
+
+
+@query(f"""SELECT 'metadata_cleaned_' || c || s || '.tsv' AS file, replace('{_HEAD}' || CASE s WHEN 'PMD' THEN ' contains_intermediate n_pmd_segments n_intermediate_segments' ELSE '' END, ' ', chr(9)) AS header
+FROM (VALUES (''), ('chr1_s1_'), ('chr2_s1_'), ('chr3_s1_'), ('chr9_s1_')) a(c), (VALUES ('LOW'), ('PMD'), ('INTERMEDIATE'), ('HIGH')) b(s)""")
+def file_metadata_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _clean_files(spark, sf_dir)
+    both = _lines(spark, folder + "/clean_regions/*.tsv").unionByName(_lines(spark, folder + "/summary_files/*.tsv"))
+    return both.where("line = 0").select("file", F.col("text").alias("header"))
+
+
+@query(f"""SELECT * REPLACE (CASE WHEN contains_intermediate THEN 'True' WHEN NOT contains_intermediate THEN 'False' ELSE '-' END AS contains_intermediate,
+       coalesce(n_pmd_segments, -1) AS n_pmd_segments, coalesce(n_intermediate_segments, -1) AS n_intermediate_segments) FROM ({_ALL_SQL})""")
+def file_metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genome-wide tables' rows, columns by the place that their header gives."""
+    rows = _lines(spark, _clean_files(spark, sf_dir) + "/summary_files/*.tsv").where("line > 0")
+    cell = F.split("text", "\t")
+    kinds = {"CpG_chrm": "string", "state": "string", "avg_beta": "double", "contains_intermediate": "string"}
+    found = rows.select(*(F.get(cell, i).cast(kinds.get(c, "long")).alias(c) for i, c in enumerate(sinks.PMD_METADATA)))
+    return rounded(found.fillna(-1, ["n_pmd_segments", "n_intermediate_segments"]).fillna("-", ["contains_intermediate"]))
 
 
 def _emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.emissions(fixture.points(spark, sf_dir), W40)
 
 
+# ---- trials, paths, samples of points -------------------------------------------------------------------------------
+
+TRIALS = [(0.25, 0.75, 0.5, 0.3, 0.3, 0.3), (0.1, 0.9, 0.6, 0.35, 0.4, 0.2), (0.29, 0.694, 0.56, 0.264, 0.246, 0.246), (0.2, 0.7, 0.4, 0.4, 0.4, 0.4), (0.05, 0.65, 0.8, 0.2, 0.1, 0.1)]
+_TRUTH = "CASE WHEN beta < 2e-1 THEN 'LOW' WHEN beta > 7e-1 THEN 'HIGH' ELSE 'PMD' END"
+_TRIALS = f"""
+t AS (SELECT * FROM (VALUES {", ".join(f"({k}, {', '.join(f'{v!r}e0' for v in x)})" for k, x in enumerate(TRIALS))}) t(trial, beta_low_max, beta_high_min, im, sm, hm, lm)),
+p AS (SELECT trial, {_TRUTH} AS t, CASE WHEN "40kb_int_pct" >= im AND "40kb_std" <= sm AND "40kb_high_pct" <= hm AND "40kb_low_pct" <= lm AND beta >= beta_low_max AND beta <= beta_high_min THEN 'PMD'
+             WHEN beta <= beta_low_max THEN 'LOW' WHEN beta >= beta_high_min THEN 'HIGH' ELSE 'INTERMEDIATE' END AS p FROM ({EMISSIONS}), t),
+c AS (SELECT trial, t, p, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY trial, t, p),
+l AS (SELECT trial, t AS label FROM c UNION SELECT trial, p FROM c),
+q AS (SELECT l.trial, label, coalesce(sum(n) FILTER (WHERE t = label), 0) AS nt, coalesce(sum(n) FILTER (WHERE p = label), 0) AS np, coalesce(sum(n) FILTER (WHERE t = label AND p = label), 0) AS tp FROM l JOIN c ON c.trial = l.trial GROUP BY l.trial, label),
+h AS (SELECT trial, avg(2 * tp / (nt + np)) AS f1_macro, sum(tp) / sum(nt) AS accuracy, avg(CASE WHEN nt > 0 THEN tp / nt ELSE 0 END) AS recall_macro FROM q GROUP BY trial)"""
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> rules.SearchResult:
+    rows = _emitted(spark, sf_dir).withColumn("truth", F.when(F.col("beta") < 0.2, "LOW").when(F.col("beta") > 0.7, "HIGH").otherwise("PMD"))
+    return rules.search_rules(rows, "truth", ["40kb"], trials=[StateCutoffs({"40kb": WindowCutoffs(*x[2:])}, *x[:2]) for x in TRIALS])
+
+
+@query(f"""WITH {_TRIALS} SELECT t.trial, beta_low_max, beta_high_min, im AS "40kb_int_min", sm AS "40kb_std_max", hm AS "40kb_high_max", lm AS "40kb_low_max", {r('f1_macro', 'f1_macro')}, {r('accuracy', 'accuracy')}, {r('recall_macro', 'recall_macro')} FROM h JOIN t ON t.trial = h.trial""")
+def rule_search_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _searched(spark, sf_dir).history
+    scores = ["f1_macro", "accuracy", "recall_macro"]
+    return found.select("trial", "beta_low_max", "beta_high_min", *(f"40kb_{k}" for k in ("int_min", "std_max", "high_max", "low_max")), *(stable_round(c).alias(c) for c in scores))
+
+
+@query(f"""WITH {_TRIALS}, b AS (SELECT trial FROM h ORDER BY f1_macro DESC, trial LIMIT 1) SELECT p AS rule_based_label, count(*) AS n FROM p JOIN b ON b.trial = p.trial GROUP BY p""")
+def rule_search_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the best trial."""
+    return _searched(spark, sf_dir).labelled.groupBy("rule_based_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_TRIALS} SELECT beta_low_max, beta_high_min, im AS "40kb_int_min", sm AS "40kb_std_max", hm AS "40kb_high_max", lm AS "40kb_low_max", {r('f1_macro', 'f1_macro')} FROM h JOIN t ON t.trial = h.trial ORDER BY h.f1_macro DESC, t.trial LIMIT 1""")
+def file_search_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best trial's cutoffs and score, from the file."""
+    path = sinks.write_search_summary(_searched(spark, sf_dir).summary, f"{shared_folder(spark, 'search')}/rule_based_optimization_summary.csv")
+    found = spark.read.csv(path, header=True)
+    wanted = ["beta_low_max", "beta_high_min", *(f"40kb_{k}" for k in ("int_min", "std_max", "high_max", "low_max")), "f1_macro"]
+    assert found.columns[:6] == wanted[:6], found.columns
+    return found.select(*(F.col(c).cast("double").alias(c) if c != "f1_macro" else stable_round(F.col(c).cast("double")).alias(c) for c in wanted))
+
+
+STAY, NOISE = 0.98, 0.3
+
+
+def _units(p: float) -> int:
+    return int(hmm._whole(np.array([p]))[0])
+
+
+def _best_of(state: int, n: int = 4) -> str:
+    reach = [f"s{i} + {_units(STAY if i == state else (1 - STAY) / (n - 1))}" for i in range(n)]
+    told = f"CASE WHEN o.obs = {state} THEN {_units(1 - NOISE)} ELSE {_units(NOISE / (n - 1))} END"
+    top = f"greatest({', '.join(reach)})"
+    back = "CASE " + " ".join(f"WHEN {x} = {top} THEN {i}" for i, x in enumerate(reach)) + " END"
+    return f"{top} + {told} AS s{state}, {back} AS b{state}"
+
+
+_OBS = f"""SELECT CpG_chrm, input_row_index, row_number() OVER (PARTITION BY CpG_chrm ORDER BY CpG_beg, input_row_index) AS t,
+       CASE state WHEN 'LOW' THEN 0 WHEN 'PMD' THEN 1 WHEN 'INTERMEDIATE' THEN 2 ELSE 3 END AS obs FROM ({RULES})"""
+_TOLD = ", ".join(f"CAST(CASE WHEN obs = {k} THEN {_units(1 - NOISE)} ELSE {_units(NOISE / 3)} END AS BIGINT) AS s{k}, 0 AS b{k}" for k in range(4))
+
+
+@query(f"""
+WITH RECURSIVE o AS MATERIALIZED ({_OBS}),
+f AS (SELECT CpG_chrm, t, {_TOLD} FROM o WHERE t = 1
+      UNION ALL SELECT f.CpG_chrm, o.t, {", ".join(_best_of(k) for k in range(4))} FROM f JOIN o ON o.CpG_chrm = f.CpG_chrm AND o.t = f.t + 1),
+g AS MATERIALIZED (SELECT * FROM f),
+z AS (SELECT CpG_chrm, max(t) AS t FROM g GROUP BY CpG_chrm),
+w AS (SELECT g.CpG_chrm, g.t, CASE greatest(s0, s1, s2, s3) WHEN s0 THEN 0 WHEN s1 THEN 1 WHEN s2 THEN 2 ELSE 3 END AS k FROM g JOIN z ON z.CpG_chrm = g.CpG_chrm AND z.t = g.t
+      UNION ALL SELECT g.CpG_chrm, w.t - 1, CASE w.k WHEN 0 THEN b0 WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END FROM w JOIN g ON g.CpG_chrm = w.CpG_chrm AND g.t = w.t WHERE w.t > 1)
+SELECT w.CpG_chrm, o.input_row_index, w.k AS hmm_state FROM w JOIN o ON o.CpG_chrm = w.CpG_chrm AND o.t = w.t""")
+def sticky_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most likely path, by a smoother that changes its state now and then at this density."""
+    return hmm.smooth(labelled(spark, sf_dir), hmm.StickyModel(4, STAY, NOISE)).drop("sample_id")
+
+
+_FAIR = 500
+_LOWS = f"SELECT * FROM ({POINTS}) WHERE {_LOW}"
+_HIGHS = f"SELECT * FROM ({POINTS}) WHERE NOT ({_LOW})"
+_DRAWN = "row_number() OVER (ORDER BY md5('42|' || CpG_chrm || '|' || CpG_beg || '|' || input_row_index), input_row_index) AS k"
+
+
+@query(f"""
+WITH n AS (SELECT (SELECT count(*) FROM ({_HIGHS})) AS a, (SELECT count(*) FROM ({_LOWS})) AS b),
+q AS (SELECT a, b, least(greatest(round({_FAIR} * a / CAST(a + b AS DOUBLE)), {_FAIR} - b, 1), a, {_FAIR}) AS keep FROM n)
+SELECT CpG_chrm, CpG_beg, CpG_end, {r('beta', 'beta')}, input_row_index, 'retained' AS layer FROM (SELECT *, {_DRAWN} FROM ({_HIGHS})), q WHERE k <= CASE WHEN a + b <= {_FAIR} THEN a ELSE keep END
+UNION ALL SELECT CpG_chrm, CpG_beg, CpG_end, {r('beta', 'beta')}, input_row_index, 'removed' FROM (SELECT *, {_DRAWN} FROM ({_LOWS})), q WHERE k <= CASE WHEN a + b <= {_FAIR} THEN b ELSE {_FAIR} - keep END""")
+def downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, removed = prepare.split_removed(fixture.points(spark, sf_dir), None, prepare.LOW_COVERAGE_LIKE)
+    return rounded(overlay.downsample(kept, removed, _FAIR))
+
+
+_HEX = 0.05
+_H = f"{_HEX * 3**0.5!r}e0"
+_X = f"{_HEX!r}e0"
+
+
+@query(f"""
+SELECT state, {r('CASE WHEN first THEN ax ELSE bx END', 'centre_x')}, {r('CASE WHEN first THEN ay ELSE by_ END', 'centre_y')}, count(*) AS n FROM (
+  SELECT *, (beta - ax) * (beta - ax) + (y - ay) * (y - ay) <= (beta - bx) * (beta - bx) + (y - by_) * (y - by_) AS first FROM (
+    SELECT state, beta, y, floor(beta / {_X} + 5e-1) * {_X} AS ax, floor(y / {_H} + 5e-1) * {_H} AS ay,
+           floor((beta - {_HEX / 2!r}e0) / {_X} + 5e-1) * {_X} + {_HEX / 2!r}e0 AS bx, floor((y - {_HEX * 3**0.5 / 2!r}e0) / {_H} + 5e-1) * {_H} + {_HEX * 3**0.5 / 2!r}e0 AS by_
+    FROM (SELECT state, beta, "40kb_avg_meth" AS y FROM ({RULES}))))
+GROUP BY 1, 2, 3""")
+def hexbin_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rounded(metrics.hexagons(labelled(spark, sf_dir), "beta", "40kb_avg_meth", "state", _HEX))
+    return found.groupBy("state", "centre_x", "centre_y").agg(F.sum("n").alias("n"))
+
+
+@query(f"""
+WITH p AS (SELECT * FROM ({RULES}) WHERE CpG_chrm = 'chr2' AND CpG_beg BETWEEN 399000 AND 601000)
+SELECT CpG_chrm, CpG_beg, {r('beta', 'beta')}, 'retained' AS layer, state AS label, CAST(NULL AS VARCHAR) AS overlay,
+       CASE state WHEN 'LOW' THEN '#440154' WHEN 'PMD' THEN '#31688E' WHEN 'INTERMEDIATE' THEN '#35B779' ELSE '#FDE725' END AS colour FROM p""".replace("399000", "380000").replace("601000", "620000"))
+def plot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A zoomed scatter plot: the region and a tenth of it on both sides."""
+    return rounded(overlay.plot_table(labelled(spark, sf_dir).where("CpG_chrm = 'chr2'"), window=(400_000, 600_000)))
+
+
+# ---- fitted models: no SQL -----------------------------------------------------------------------------------------
+
+
 def _fitted(spark: SparkSession, sf_dir: str):
     rows = _emitted(spark, sf_dir)
-    return rows, cluster.fit(rows, features.select_features(rows), restarts=3)
+    return rows, cluster.fit(rows, features.select_features(rows))
 
 
 @query()
@@ -445,42 +727,41 @@ def pca_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.top_loadings(model.loadings(rows), 3).join(model.explained_variance(rows), "component")
 
 
-@query()
-def sticky_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled(spark, sf_dir)
-    codes = hmm.observation_codes(rows)
-    return hmm.StickyModel(len(codes)).predict(rows, codes=codes)
-
-
 @query()
 def ct_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = labelled(spark, sf_dir)
-    codes = hmm.observation_codes(rows)
-    return hmm.ContinuousModel(len(codes), holding=100_000.0, max_iter=5).smooth(rows, codes=codes)
+    return hmm.smooth(labelled(spark, sf_dir), hmm.ContinuousModel(4, holding=100_000.0))
 
 
 @query()
 def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _emitted(spark, sf_dir).withColumn("truth", F.when(F.col("beta") < 0.2, "LOW").when(F.col("beta") > 0.7, "HIGH").otherwise("PMD"))
-    return rules.search_rules(rows, "truth", ["40kb"], n_iter=100).history
+    return rules.search_rules(rows, "truth", ["40kb"]).history
 
 
 @query()
-def downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, removed = prepare.split_removed(fixture.points(spark, sf_dir), None, prepare.LOW_COVERAGE_LIKE)
-    return overlay.downsample(kept, removed, 500)
+def ranked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features in the order in which their histograms are drawn, with the cells of each by cluster state."""
+    rows, model = _fitted(spark, sf_dir)
+    ranked = cluster.ranked_features(model.loadings(rows))
+    return metrics.histograms(cluster.relabel(model.apply(rows), ["40kb"]), ranked, "state")
 
 
 @query()
-def hexbin_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.hexagons(labelled(spark, sf_dir), "beta", "40kb_avg_meth", "state", 0.05)
+def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit and run with all three windows: KMeans, sticky smoothing, regions, cleaning, and the files, whose cleaned BEDs are returned."""
+    from cpgdomains.plans.pipeline import Segmenter, Settings
+
+    run = Segmenter(Settings(min_region_length=2000, merge_gap=5000, merge_with_intermediate_gap=5000, stay=0.99, noise=0.2))
+    _, _, paths = run.fit_run(fixture.points(spark, sf_dir), out_dir=shared_folder(spark, "run"))
+    run.release()
+    return spark.read.csv(paths[4:], sep="\t", schema="chrom string, start long, end long, state string")
 
 
 @query()
-def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def full_pipeline_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and continuous-time smoothing of each chromosome, with files; the regions that pass the filter by length."""
     from cpgdomains.plans.pipeline import Segmenter, Settings
 
-    points = fixture.points(spark, sf_dir)
-    settings = Settings(windows=W40, assignment="definition", smoother="sticky", noise=0.2, stay=0.99, min_probes=3)
-    _, clean, _ = Segmenter(settings).run(points)
-    return clean
+    run = Segmenter(Settings(resolution="450k", windows=W40, assignment="definition", holding=100_000.0))
+    regions_found, _, _ = run.run(fixture.points(spark, sf_dir), out_dir=shared_folder(spark, "run"), min_probes=3)
+    return regions_found

@@ -1,19 +1,29 @@
 """Writers: tables, BED and metadata files with exact names.
 
-``write_*`` of whole tables are distributed. Files of one name each hold the regions of one sample and state; they are
-streamed partition by partition through Hadoop's file system, so that any store that Spark knows takes them.
+``write_*`` of whole tables are distributed. Files of one name each hold the regions of one sample and state; a run's regions are
+sorted once and streamed once through Hadoop's file system into all the files they belong to, so that any store that Spark knows
+takes them and the number of jobs doesn't follow the number of files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cpgdomains.schema import STATES
+from cpgdomains.sources.shared import Files
 
+#: Columns of the files, in order.
 BED = ["CpG_chrm", "start", "end", "state"]
-METADATA = ["CpG_chrm", "start", "end", "avg_beta", "probe_count", "state", "length", "contains_intermediate", "n_segments"]
-PMD_METADATA = [*METADATA, "n_pmd_segments", "n_intermediate_segments"]
+METADATA = ["CpG_chrm", "start", "end", "avg_beta", "probe_count", "state", "length", "n_segments"]
+PMD_METADATA = [*METADATA, "contains_intermediate", "n_pmd_segments", "n_intermediate_segments"]
+
+
+def metadata_columns(state: str) -> list[str]:
+    """A state's metadata columns: the same for every table of that state, empty ones too."""
+    return PMD_METADATA if state == "PMD" else METADATA
 
 
 def write_points(points: DataFrame, path: str) -> None:
@@ -26,28 +36,18 @@ def write_points_table(points: DataFrame, path: str) -> None:
     points.write.mode("overwrite").partitionBy("sample_id", "CpG_chrm").parquet(path)
 
 
-def write_file(df: DataFrame, path: str, header: bool = False) -> str:
-    """One tab-separated file of exactly this name, rows in the frame's order; null is empty, an empty frame an empty file."""
-    spark: SparkSession = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        def put(lines: list[str]) -> None:
-            out.write(("\n".join(lines) + "\n").encode())
-
-        if header:
-            put(["\t".join(df.columns)])
-        held: list[str] = []
-        for row in df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).toLocalIterator():
-            held.append("\t".join(row))
-            if len(held) == 10_000:
-                put(held)
-                held = []
-        if held:
-            put(held)
-    finally:
-        out.close()
+def _text(df: DataFrame) -> list[Column]:
+    """Every column as file text: null is empty, booleans are True and False."""
+    plain = lambda c, t: F.initcap(F.col(c).cast("string")) if t == "boolean" else F.col(c).cast("string")
+    return [F.coalesce(plain(c, t), F.lit("")).alias(c) for c, t in df.dtypes]
+
+
+def write_file(df: DataFrame, path: str, header: bool = False, sep: str = "\t") -> str:
+    """One separated file of exactly this name, rows in the frame's order; an empty frame an empty file."""
+    with Files(df.sparkSession) as files:
+        files.put(path, *([sep.join(df.columns)] if header else []))
+        for row in df.select(*_text(df)).toLocalIterator():
+            files.put(path, sep.join(row))
     return path
 
 
@@ -62,44 +62,88 @@ def write_bed(regions: DataFrame, path: str) -> str:
 
 def write_state_beds(regions: DataFrame, folder: str, stem: str, states: list[str] = STATES) -> list[str]:
     """One BED per state, in state order."""
-    return [write_bed(regions.where(F.col("state") == s), f"{folder}/{stem}_{s}.bed") for s in states]
+    paths = {s: f"{folder}/{stem}_{s}.bed" for s in states}
+    rows = in_order(regions.where(F.col("state").isin(states)))
+    _spread(rows, list(paths.values()), lambda r: [(paths[r["state"]], _line(r, BED))])
+    return list(paths.values())
 
 
-def write_chromosome_beds(regions: DataFrame, folder: str, sample: str) -> list[str]:
-    """segments_<chrom>_<sample>_<STATE>.bed of every chromosome that has regions."""
-    chroms = [r[0] for r in regions.select("CpG_chrm").distinct().orderBy("CpG_chrm").collect()]
-    return [p for c in chroms for p in write_state_beds(regions.where(F.col("CpG_chrm") == c), folder, f"segments_{c}_{sample}")]
+def _line(row: Row, columns: list[str]) -> str:
+    return "\t".join(row[c] for c in columns)
 
 
-def metadata(regions: DataFrame, state: str) -> DataFrame:
-    """A state's metadata columns: the same for every table of that state, empty ones too."""
-    return in_order(regions.where(F.col("state") == state)).select(*(PMD_METADATA if state == "PMD" else [c for c in METADATA if c != "contains_intermediate"]))
+def _spread(rows: DataFrame, paths: list[str], lines: Callable[[Row], Iterator[tuple[str, str]] | list[tuple[str, str]]], heads: dict[str, str] | None = None) -> None:
+    """Stream ordered rows once; ``lines`` says what each adds to which file. All ``paths`` are made, with their ``heads``."""
+    with Files(rows.sparkSession) as files:
+        for path in paths:
+            files.put(path, *([heads[path]] if heads and path in heads else []))
+        for row in rows.select(*_text(rows)).toLocalIterator():
+            for path, line in lines(row):
+                files.put(path, line)
+
+
+def _ordinal(column: str, values: list[str]) -> Column:
+    return F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column))
 
 
-def write_clean(clean: DataFrame, folder: str, sample: str, chrom: str) -> list[str]:
-    """Cleaned BED and metadata of each state of a chromosome below clean_regions/."""
-    out = []
-    for s in STATES:
-        rows = clean.where((F.col("state") == s) & (F.col("CpG_chrm") == chrom))
-        out.append(write_bed(rows, f"{folder}/clean_regions/segments_cleaned_{chrom}_{sample}_{s}.bed"))
-        write_file(metadata(rows, s), f"{folder}/clean_regions/metadata_cleaned_{chrom}_{sample}_{s}.tsv", header=True)
-    return out
+def write_raw(raw: DataFrame, folder: str, sample: str, chroms: list[str], longer_than: int | None = None) -> list[str]:
+    """Raw regions of one sample: segments_<chrom>_<sample>_<STATE>.bed of each of ``chroms``, also without regions, and
+    summary_files/segments_raw_<STATE>.bed, chromosomes in the order of ``chroms``; the summaries' paths.
 
+    ``longer_than``: only longer regions go into the summaries; the files by chromosome hold all.
+    """
+    own = {(c, s): f"{folder}/segments_{c}_{sample}_{s}.bed" for c in chroms for s in STATES}
+    whole = {s: f"{folder}/summary_files/segments_raw_{s}.bed" for s in STATES}
+    listed = raw.where(F.col("CpG_chrm").isin(chroms) & F.col("state").isin(STATES))
+    rows = listed.orderBy(_ordinal("state", STATES), _ordinal("CpG_chrm", chroms), "start", "end").select(*BED)
 
-def write_summary(raw: DataFrame, clean: DataFrame, folder: str, sample: str) -> list[str]:
-    """Genome-wide files below summary_files/; returns four raw then four cleaned BED paths, in state order."""
-    top = f"{folder}/summary_files"
-    out = write_state_beds(raw, top, f"segments_raw_{sample}") + write_state_beds(clean, top, f"segments_cleaned_{sample}")
-    for s in STATES:
-        write_file(metadata(clean, s), f"{top}/metadata_cleaned_{sample}_{s}.tsv", header=True)
-    return out
+    def lines(r: Row) -> Iterator[tuple[str, str]]:
+        line = _line(r, BED)
+        yield own[r["CpG_chrm"], r["state"]], line
+        if longer_than is None or int(r["end"]) - int(r["start"]) > longer_than:
+            yield whole[r["state"]], line
 
+    _spread(rows, [*own.values(), *whole.values()], lines)
+    return list(whole.values())
 
-def read_clean(spark: SparkSession, folder: str, sample: str, state: str) -> DataFrame:
-    """A summary's metadata table read back; an error if it isn't there."""
-    return spark.read.csv(f"{folder}/summary_files/metadata_cleaned_{sample}_{state}.tsv", sep="\t", header=True, inferSchema=True)
+
+def write_clean(clean: DataFrame, folder: str, sample: str, chroms: list[str]) -> list[str]:
+    """Cleaned regions of one sample: BED and metadata by chromosome and state below clean_regions/, and by state below
+    summary_files/, chromosomes in the order of their names; the summaries' BED paths."""
+    top = f"{folder}/clean_regions"
+    own = {(c, s): (f"{top}/segments_cleaned_{c}_{sample}_{s}.bed", f"{top}/metadata_cleaned_{c}_{sample}_{s}.tsv") for c in chroms for s in STATES}
+    whole = {s: (f"{folder}/summary_files/segments_cleaned_{s}.bed", f"{folder}/summary_files/metadata_cleaned_{s}.tsv") for s in STATES}
+    rows = clean.where(F.col("CpG_chrm").isin(chroms) & F.col("state").isin(STATES)).orderBy(_ordinal("state", STATES), "CpG_chrm", "start", "end").select(*PMD_METADATA)
+
+    def lines(r: Row) -> Iterator[tuple[str, str]]:
+        for bed, table in (own[r["CpG_chrm"], r["state"]], whole[r["state"]]):
+            yield bed, _line(r, BED)
+            yield table, _line(r, metadata_columns(r["state"]))
+
+    heads = {table: "\t".join(metadata_columns(s)) for (_, s), (_, table) in own.items()} | {table: "\t".join(metadata_columns(s)) for s, (_, table) in whole.items()}
+    _spread(rows, [p for both in (*own.values(), *whole.values()) for p in both], lines, heads)
+    return [bed for bed, _ in whole.values()]
+
+
+def read_clean(spark: SparkSession, folder: str, state: str, chrom: str | None = None, sample: str | None = None) -> DataFrame:
+    """A metadata table read back, of a summary or of one chromosome and sample; an error if it isn't there."""
+    path = f"{folder}/summary_files/metadata_cleaned_{state}.tsv" if chrom is None else f"{folder}/clean_regions/metadata_cleaned_{chrom}_{sample}_{state}.tsv"
+    kinds = {"CpG_chrm": "string", "state": "string", "avg_beta": "double", "contains_intermediate": "boolean"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'long')}" for c in metadata_columns(state))
+    return spark.read.csv(path, sep="\t", header=True, schema=schema, enforceSchema=False)
 
 
 def write_search_history(history: DataFrame, path: str) -> str:
-    """Scores of every trial of a rule search, best first."""
+    """Scores and cutoffs of every trial of a rule search, best first."""
     return write_file(history.orderBy(F.desc("f1_macro"), "trial"), path, header=True)
+
+
+def write_search_summary(best: DataFrame, path: str) -> str:
+    """Cutoffs and scores of the best trial, comma separated."""
+    return write_file(best, path, header=True, sep=",")
+
+
+def read_points(spark: SparkSession, path: str, sample_id: str) -> DataFrame:
+    """A prepared table read back, as ``write_points`` writes it, with a row number that is unique and ascends with file order."""
+    rows = spark.read.csv(path, sep="\t", header=True, schema="CpG_chrm string, CpG_beg long, CpG_end long, beta double", enforceSchema=False)
+    return rows.select(F.lit(sample_id).alias("sample_id"), "*", F.monotonically_increasing_id().alias("input_row_index"))

@@ -57,15 +57,14 @@ def _fields(spark: SparkSession, path: str) -> list[str]:
     return first[0][0].split("\t")
 
 
-def _looks_like_counts(spark: SparkSession, path: str, layout: str) -> bool:
-    """Without a header, five columns are counts if over nine in ten fifth values of the first thousand lines are numbers."""
-    rows = spark.read.text(path).limit(1000)
+def _looks_like_counts(spark: SparkSession, path: str) -> bool:
+    """Without a header, five columns are counts if over nine in ten fifth values of the whole file are numbers: one aggregate."""
     fifth = F.split("value", "\t")[4]
-    return (rows.agg(F.avg(fifth.try_cast("double").isNotNull().cast("double"))).first()[0] or 0) > 0.9
+    return (spark.read.text(path).agg(F.avg(fifth.try_cast("double").isNotNull().cast("double"))).first()[0] or 0) > 0.9
 
 
 def layout_of(spark: SparkSession, path: str, resolution: str) -> str:
-    """Which columns a file has, from its first line; microarray files have 4 or 5, count files 5 or more (4: betas)."""
+    """Which columns a file has, by its first line, or by all fifth values; microarray files have 4 or 5, count files 5 or more (4: betas)."""
     values = _fields(spark, path)
     n, named = len(values), header_layout(values)
     if n < 4:
@@ -76,14 +75,14 @@ def layout_of(spark: SparkSession, path: str, resolution: str) -> str:
     if kind == Resolution.AUTO:
         if named:
             return named
-        return "beta" if n == 4 else "counts" if _looks_like_counts(spark, path, "counts") else "probe"
+        return "beta" if n == 4 else "counts" if _looks_like_counts(spark, path) else "probe"
     if n > 5:
         raise ValueError(f"{path} has {n} columns; microarray files have 4 or 5")
     return "beta" if n == 4 else "probe"
 
 
 def read_table(spark: SparkSession, path: str, layout: str, sample_id: str) -> DataFrame:
-    """Typed rows with ``input_row_index``: unique and ascending in file order, data rows only.
+    """Typed rows with ``input_row_index``: unique and ascending in the order of a file, data rows only.
 
     Values that aren't numbers raise (ANSI casts).
     """
@@ -95,16 +94,27 @@ def read_table(spark: SparkSession, path: str, layout: str, sample_id: str) -> D
 
 
 def dense_index(df: DataFrame) -> DataFrame:
-    """``input_row_index`` as 0, 1, 2...: per-partition ranks plus offsets, one row per partition on the driver."""
+    """``input_row_index`` as 0, 1, 2... in file order, header lines not counted.
+
+    Numbers count up within a partition, so a row's place is its number less its partition's first one, plus the rows of the
+    partitions before: one row per partition on the driver, no shuffle. Only a header line, the first of a partition, leaves no gap.
+    """
     part = F.shiftright("input_row_index", 33)
-    sizes = sorted((r[0], r[1]) for r in df.groupBy(part.alias("p")).count().collect())
-    offsets, so_far = [], 0
-    for p, n in sizes:
-        offsets.append((p, so_far))
+    found = sorted(tuple(r) for r in df.groupBy(part.alias("p")).agg(F.count(F.lit(1)), F.min("input_row_index"), F.max("input_row_index")).collect())
+    if any(last - first + 1 != n for _, n, first, last in found):  # lines left out in between: rank instead
+        table, so_far = [], 0
+        for p, n, *_ in found:
+            table.append((p, so_far))
+            so_far += n
+        w = Window.partitionBy("p").orderBy("input_row_index")
+        before = df.sparkSession.createDataFrame(table, "p long, offset long")
+        return df.withColumn("p", part).join(before, "p").withColumn("input_row_index", F.row_number().over(w) - 1 + F.col("offset")).drop("p", "offset")
+    table, so_far = [], 0
+    for p, n, first, _ in found:
+        table.append((p, so_far - first))
         so_far += n
-    table = df.sparkSession.createDataFrame(offsets, "p long, offset long")
-    w = Window.partitionBy("p").orderBy("input_row_index")
-    return df.withColumn("p", part).join(table, "p").withColumn("input_row_index", F.row_number().over(w) - 1 + F.col("offset")).drop("p", "offset")
+    shift = df.sparkSession.createDataFrame(table, "p long, shift long")
+    return df.withColumn("p", part).join(F.broadcast(shift), "p").withColumn("input_row_index", F.col("input_row_index") + F.col("shift")).drop("p", "shift")
 
 
 def prepare_sample(
@@ -113,7 +123,7 @@ def prepare_sample(
 ) -> Prepared:
     """Read, filter and validate one sample. Kept points have the canonical columns; removed rows keep all, with a reason."""
     layout = layout_of(spark, path, resolution)
-    rows = read_table(spark, path, layout, sample_id)
+    rows = dense_index(read_table(spark, path, layout, sample_id))
     if layout == "counts":
         rows = with_beta(rows)
     values = (tuple(low_coverage_like) if low_coverage_like is not None else LOW_COVERAGE_LIKE) if remove_low_coverage_like else None

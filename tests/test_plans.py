@@ -2,8 +2,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cpgdomains.operators import rules
+from cpgdomains.operators import overlay, rules
 from cpgdomains.plans import config
 from cpgdomains.plans.pipeline import Segmenter, Settings
 from cpgdomains.schema import POINTS, StateCutoffs
@@ -27,10 +28,11 @@ def test_kmeans_run_writes_files_and_restores(spark, tmp_path):
     points = genome(spark)
     s = Segmenter(Settings(**BASE, n_states=3)).fit(points, search=20)
     assert s.settings.cutoffs is not None and {r.chrom for r in s.summary.collect()} == {"chr1", "chr2"}
-    raw, clean, paths = s.run(points, out_dir=str(tmp_path / "out"), sample="x")
+    raw, clean, paths = s.run(points, out_dir=str(tmp_path / "out"))
+    assert (tmp_path / "out/segments_chr2_s_INTERMEDIATE.bed").exists() and (tmp_path / "out/clean_regions/metadata_cleaned_chr1_s_LOW.tsv").exists()
     assert len(paths) == 8 and raw.count() > 6 and clean.count() > 0
     assert sum(r.probe_count for r in raw.collect()) <= 480
-    path = config.save(s, str(tmp_path / "model"), "wgbs")
+    path = config.save(spark, s, str(tmp_path / "model"), "wgbs")
     again = config.pretrained(spark, str(tmp_path / "model"), "wgbs")
     assert again.settings == s.settings and again.model.features == s.model.features
     assert sorted(again.regions(points).collect()) == sorted(raw.collect())
@@ -38,6 +40,60 @@ def test_kmeans_run_writes_files_and_restores(spark, tmp_path):
     assert config.resolve(path, "a/b").endswith("model/a/b") and config.resolve(path, "/a") == "/a"
     with pytest.raises(FileNotFoundError):
         config.pretrained(spark, str(tmp_path / "model"), "27k")
+    assert config.cutoffs_from_yaml(spark, path) == s.settings.cutoffs
+    assert config.load(spark, path, learned=False).model is None
+    (tmp_path / "model/wgbs_artifacts").rename(tmp_path / "elsewhere")
+    config.relocate(spark, path, "wgbs_artifacts", str(tmp_path / "elsewhere"))
+    assert config.load(spark, path).training.count() == 480
+    for source in ("kmeans", "rules", "segments"):
+        assert s.label_points(points, source).where("state IS NOT NULL").count() == 480
+    with pytest.raises(ValueError):
+        s.label_points(points, "other")
+    table = overlay.plot_table(s.label_points(points, "rules"), clean, points.limit(5), most=100)
+    assert table.count() == 100 and set(table.columns) == {"CpG_chrm", "CpG_beg", "beta", "layer", "label", "overlay", "colour"}
+    s.release()
+    assert not s._kept
+
+
+def test_several_samples_give_what_each_gives_alone(spark, tmp_path):
+    one = genome(spark)
+    other = one.where("CpG_beg < 90000").withColumns({"sample_id": F.lit("t"), "beta": F.lit(1.0) - F.col("beta")})
+    for smoother in ("sticky", "continuous-time"):
+        s = Segmenter(Settings(**BASE, assignment="definition", smoother=smoother, holding=20_000.0, ct_max_iter=3))
+        both, clean, paths = s.run(one.unionByName(other), out_dir=str(tmp_path / smoother))
+        assert len(paths) == 16 and (tmp_path / smoother / "t/segments_chr1_t_PMD.bed").exists()
+        alone = [s.run(x)[0] for x in (one, other)]
+        key = lambda r: (r.sample_id, r.CpG_chrm, r.start, r.end, r.state, r.probe_count)
+        assert sorted(map(key, both.collect())) == sorted(key(r) for x in alone for r in x.collect())
+    with pytest.raises(ValueError):
+        Segmenter(Settings(**BASE)).fit(one.unionByName(other))
+
+
+def test_files_of_the_continuous_run_come_before_the_length_filter(spark, tmp_path):
+    points = genome(spark, 120)
+    s = Segmenter(Settings(**(BASE | {"min_region_length": 30_000}), assignment="definition", smoother="continuous-time", holding=20_000.0, ct_max_iter=3))
+    raw, _, _ = s.run(points, out_dir=str(tmp_path))
+    beds = sum(len((tmp_path / f"segments_chr1_s_{x}.bed").read_text().splitlines()) for x in ("LOW", "PMD", "INTERMEDIATE", "HIGH"))
+    summary = sum(len((tmp_path / f"summary_files/segments_raw_{x}.bed").read_text().splitlines()) for x in ("LOW", "PMD", "INTERMEDIATE", "HIGH"))
+    assert beds > raw.where("CpG_chrm = 'chr1'").count() and summary == raw.count()
+    found = s.one_chromosome(points, "chr1", str(tmp_path / "one"))
+    assert all(r.end - r.start > 30_000 for r in found.collect())
+    assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "one").glob("segments_chr1_s_*.bed")) >= beds
+    with pytest.raises(ValueError):
+        s.one_chromosome(points.unionByName(points.withColumn("sample_id", F.lit("t"))), "chr1", str(tmp_path / "two"))
+
+
+def test_least_probes_follow_the_entry_point():
+    s = Segmenter(Settings())
+    assert (s._least(None, 5), s._least(None, 3), s._least(7, 3)) == (5, 3, 7)
+    assert Segmenter(Settings(min_probes=4))._least(None, 3) == 4
+
+
+def test_fit_and_run(spark, tmp_path):
+    s = Segmenter(Settings(**BASE, assignment="definition"))
+    _, _, paths = s.fit_run(genome(spark), out_dir=str(tmp_path), search=15)
+    lines = (tmp_path / "rule_based_optimization_summary.csv").read_text().splitlines()
+    assert len(lines) == 2 and lines[0].startswith("beta_low_max,beta_high_min,4kb_int_min") and "f1_macro" in lines[0] and len(paths) == 8
 
 
 def test_definition_with_continuous_time(spark):

@@ -18,8 +18,8 @@ def put(tmp_path, name, text):
     return str(path)
 
 
-COUNTS = "chr1\t10468\t10470\t14\t15\nchr1\t10470\t10472\t10\t10\nchr1\t10483\t10485\t2\t8\nchr2\t5\t7\t0\t0\nchr2\t9\t11\t5\t10\n"
-BETAS = "chr1\t15864\t15866\t0.0\tcg13869341\nchr1\t29406\t29408\t0.25\tcg12045430\nchr1\t29424\t29426\t0.31\tcg20826792\n"
+COUNTS = "chr1\t310\t312\t7\t12\nchr1\t340\t342\t11\t11\nchr1\t455\t457\t1\t4\nchr2\t6\t8\t0\t0\nchr2\t12\t14\t7\t14\n"
+BETAS = "chr1\t700\t702\t0.0\tp1\nchr1\t820\t822\t0.25\tp2\nchr1\t905\t907\t0.37\tp3\n"
 
 
 @pytest.mark.parametrize("header", ["", "chrom\tstart\tend\tmeth\tcoverage\n", " Chr \tPOS\tstop\tmethylated_reads\tTotal_Reads\n"])
@@ -28,16 +28,16 @@ BETAS = "chr1\t15864\t15866\t0.0\tcg13869341\nchr1\t29406\t29408\t0.25\tcg120454
 def test_counts(spark, tmp_path, header, name, resolution):
     p = tables.prepare_sample(spark, put(tmp_path, name, header + COUNTS), "s", resolution)
     kept, removed = p.points.collect(), p.removed.collect()
-    assert [(r.CpG_chrm, r.CpG_beg, r.CpG_end) for r in kept] == [("chr1", 10468, 10470), ("chr1", 10470, 10472), ("chr2", 9, 11)]
-    assert kept[0].beta == pytest.approx(14 / 15) and p.resolution == "wgbs"
-    assert [(r.CpG_beg, r.coverage, r.beta, r.removal_reason) for r in removed] == [(10483, 8.0, 0.25, "low_coverage"), (5, 0.0, None, "low_coverage")]
-    assert len({r.input_row_index for r in kept + removed}) == 5
+    assert [(r.CpG_chrm, r.CpG_beg, r.CpG_end) for r in kept] == [("chr1", 310, 312), ("chr1", 340, 342), ("chr2", 12, 14)]
+    assert kept[0].beta == pytest.approx(7 / 12) and p.resolution == "wgbs"
+    assert [(r.CpG_beg, r.coverage, r.beta, r.removal_reason) for r in removed] == [(455, 4.0, 0.25, "low_coverage"), (6, 0.0, None, "low_coverage")]
+    assert [r.input_row_index for r in kept] == [0, 1, 4] and [r.input_row_index for r in removed] == [2, 3]
 
 
 def test_coverage_limit_is_inclusive_and_beta_set(spark, tmp_path):
     path = put(tmp_path, "a.tsv", COUNTS)
     p = tables.prepare_sample(spark, path, "s", "wgbs", min_coverage=10, remove_low_coverage_like=True)
-    assert [r.CpG_beg for r in p.points.collect()] == [10468]  # 1.0 and 0.5 look like few reads
+    assert [r.CpG_beg for r in p.points.collect()] == [310]  # 1.0 and 0.5 look like few reads
     assert p.removed.groupBy("removal_reason").count().where("removal_reason = 'low_coverage_like_beta'").first()["count"] == 2
     own = tables.prepare_sample(spark, path, "s", "wgbs", remove_low_coverage_like=True, low_coverage_like=(0.5,), retain_removed=False)
     assert own.points.count() == 2 and own.removed.count() == 0
@@ -47,8 +47,8 @@ def test_coverage_limit_is_inclusive_and_beta_set(spark, tmp_path):
 @pytest.mark.parametrize("resolution", ["450k", "27k", "850k", "auto"])
 def test_betas_with_probes(spark, tmp_path, header, resolution):
     p = tables.prepare_sample(spark, put(tmp_path, "b.tsv", header + BETAS), "s", resolution, remove_low_coverage_like=True)
-    assert [r.beta for r in p.points.collect()] == [0.31] and p.points.columns == ["sample_id", "CpG_chrm", "CpG_beg", "CpG_end", "beta", "input_row_index"]
-    assert [r.probe for r in p.removed.collect()] == ["cg13869341", "cg12045430"]
+    assert [r.beta for r in p.points.collect()] == [0.37] and p.points.columns == ["sample_id", "CpG_chrm", "CpG_beg", "CpG_end", "beta", "input_row_index"]
+    assert [r.probe for r in p.removed.collect()] == ["p1", "p2"]
 
 
 def test_four_columns_and_wrong_files(spark, tmp_path):
@@ -130,22 +130,33 @@ def test_files(spark, tmp_path):
     raw = spark.createDataFrame([("s", "chr2", 5, 9, 0.5, 3, "HIGH"), ("s", "chr10", 1, 4, 0.25, 3, "PMD"), ("s", "chr10", 0, 4, 0.25, 3, "HIGH")], REGIONS)
     path = sinks.write_bed(raw, f"{tmp_path}/all.bed")
     assert open(path).read() == "chr10\t0\t4\tHIGH\nchr10\t1\t4\tPMD\nchr2\t5\t9\tHIGH\n"
-    names = sinks.write_chromosome_beds(raw, str(tmp_path / "my.bed.d"), "s1")
-    assert os.path.basename(names[0]) == "segments_chr10_s1_LOW.bed" and len(names) == 8 and open(names[0]).read() == ""
+    short = sinks.write_raw(raw, str(tmp_path / "my.bed.d"), "s1", ["chr2", "chr10", "chr7"], longer_than=3)
+    assert [os.path.basename(p) for p in short] == [f"segments_raw_{s}.bed" for s in ("LOW", "PMD", "INTERMEDIATE", "HIGH")]
+    top = tmp_path / "my.bed.d"
+    assert (top / "segments_chr7_s1_LOW.bed").read_text() == "" and (top / "segments_chr10_s1_PMD.bed").read_text() == "chr10\t1\t4\tPMD\n"
+    assert len(list(top.glob("segments_*.bed"))) == 12
+    assert (top / "summary_files/segments_raw_HIGH.bed").read_text() == "chr2\t5\t9\tHIGH\nchr10\t0\t4\tHIGH\n"
+    assert (top / "summary_files/segments_raw_PMD.bed").read_text() == ""
     from cpgdomains.operators.regions import clean_all
 
     clean = clean_all(raw, min_length=0, min_probes=0)
-    paths = sinks.write_summary(raw, clean, str(tmp_path), "s1")
-    assert [os.path.basename(p) for p in paths] == [f"segments_{k}_s1_{s}.bed" for k in ("raw", "cleaned") for s in ("LOW", "PMD", "INTERMEDIATE", "HIGH")]
-    head = open(f"{tmp_path}/summary_files/metadata_cleaned_s1_PMD.tsv").read().splitlines()
-    assert len(head[0].split("\t")) == 11 and len(head) == 2
-    assert len(open(f"{tmp_path}/summary_files/metadata_cleaned_s1_LOW.tsv").read().split("\t")) == 8
-    assert sinks.read_clean(spark, str(tmp_path), "s1", "PMD").first().n_pmd_segments == 1
-    sinks.write_clean(clean, str(tmp_path), "s1", "chr2")
-    assert open(f"{tmp_path}/clean_regions/segments_cleaned_chr2_s1_HIGH.bed").read() == "chr2\t5\t9\tHIGH\n"
+    paths = sinks.write_clean(clean, str(tmp_path), "s1", ["chr2", "chr10"])
+    assert [os.path.basename(p) for p in paths] == [f"segments_cleaned_{s}.bed" for s in ("LOW", "PMD", "INTERMEDIATE", "HIGH")]
+    head = (tmp_path / "summary_files/metadata_cleaned_PMD.tsv").read_text().splitlines()
+    assert head == ["CpG_chrm\tstart\tend\tavg_beta\tprobe_count\tstate\tlength\tn_segments\tcontains_intermediate\tn_pmd_segments\tn_intermediate_segments", "chr10\t1\t4\t0.25\t3\tPMD\t3\t1\tFalse\t1\t0"]
+    assert len((tmp_path / "summary_files/metadata_cleaned_LOW.tsv").read_text().split("\t")) == 8
+    assert sinks.read_clean(spark, str(tmp_path), "PMD").first().n_pmd_segments == 1
+    assert sinks.read_clean(spark, str(tmp_path), "PMD", "chr10", "s1").first().contains_intermediate is False
+    assert sinks.read_clean(spark, str(tmp_path), "LOW", "chr2", "s1").count() == 0
+    assert (tmp_path / "clean_regions/segments_cleaned_chr2_s1_HIGH.bed").read_text() == "chr2\t5\t9\tHIGH\n"
+    assert (tmp_path / "summary_files/segments_cleaned_HIGH.bed").read_text() == "chr10\t0\t4\tHIGH\nchr2\t5\t9\tHIGH\n"
+    states = sinks.write_state_beds(raw, str(tmp_path), "all")
+    assert [open(p).read().count("\n") for p in states] == [0, 1, 0, 2]
     history = spark.createDataFrame([(0, 0.5), (1, 0.75)], "trial long, f1_macro double")
     assert open(sinks.write_search_history(history, f"{tmp_path}/h.tsv")).read() == "trial\tf1_macro\n1\t0.75\n0\t0.5\n"
     sinks.write_points(points(spark, [("c", 1, 0.5)]), f"{tmp_path}/points")
     assert spark.read.csv(f"{tmp_path}/points", sep="\t", header=True).first().beta == "0.5"
+    again = sinks.read_points(spark, f"{tmp_path}/points", "s")
+    assert again.columns == ["sample_id", "CpG_chrm", "CpG_beg", "CpG_end", "beta", "input_row_index"] and again.first().beta == 0.5
     sinks.write_points_table(points(spark, [("c", 1, 0.5), ("d", 1, 0.5)]), f"{tmp_path}/table")
     assert spark.read.parquet(f"{tmp_path}/table").where("CpG_chrm = 'd'").count() == 1
