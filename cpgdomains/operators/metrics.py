@@ -81,9 +81,13 @@ def davies_bouldin(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return worst.agg(F.avg("worst").alias("davies_bouldin"))
 
 
-def silhouette(df: DataFrame, features: list[str], label: str, most: int = 5000, seed: int = 42) -> float | None:
-    """Mean Euclidean silhouette over at most ``most`` rows in hash order (a sampling operator); None if it isn't defined."""
-    rows = df.select(label, *features).orderBy(F.xxhash64(F.lit(seed), *features), *features).limit(most).toPandas()
+def silhouette(df: DataFrame, features: list[str], label: str, most: int = 5000, seed: int = 42, keys: list[str] | None = None) -> float | None:
+    """Mean Euclidean silhouette over at most ``most`` rows (a sampling operator); None if it isn't defined.
+
+    Rows are drawn in order of a hash of the columns ``keys``, or of the features.
+    """
+    by = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in keys or features)))
+    rows = df.select(label, *features, by.alias("by")).orderBy("by", *features).limit(most).toPandas()
     x, labels = rows[features].to_numpy(float), rows[label].to_numpy()
     kinds = np.unique(labels)
     if len(x) < 2 or len(kinds) < 2 or len(kinds) >= len(x):

@@ -105,6 +105,19 @@ def plot_table(
     return both.withColumn("colour", state_colour("overlay" if regions is not None else "label", colours))
 
 
+def embedding_table(scored: DataFrame, components: int = 2, label: str = "state", region: tuple[str, int, int] | None = None, most: int | None = None, colours: dict[str, str] | None = None) -> DataFrame:
+    """Principal-component scores of points as a plot table: PC1 on, label, colour, and whether a point lies in a highlighted region.
+
+    ``scored``: what a fitted model's ``apply`` gives. ``most``: points drawn at most, in order of a hash of the place.
+    """
+    inside = overlaps(*region) if region else F.lit(False)
+    rows = scored.select("CpG_chrm", "CpG_beg", "input_row_index", *(F.get("scores", i).alias(f"PC{i + 1}") for i in range(components)), state_name(label).alias("label"), state_colour(label, colours).alias("colour"), inside.alias("highlighted"))
+    if most is None:
+        return rows
+    by = F.md5(F.concat_ws("|", "CpG_chrm", F.col("CpG_beg").cast("string"), F.col("input_row_index").cast("string")))
+    return rows.orderBy(by, "input_row_index").limit(most)
+
+
 def first_appearance(points: DataFrame) -> DataFrame:
     """Chromosomes with their rank by first input row."""
     firsts = points.groupBy("CpG_chrm").agg(F.min("input_row_index").alias("first_row"))

@@ -583,6 +583,66 @@ def _emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.emissions(fixture.points(spark, sf_dir), W40)
 
 
+@query(clean_sql("PMD"))
+def clean_overlay_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned PMDs as the overlay loader reads them back."""
+    return rounded(sinks.read_clean(spark, _clean_files(spark, sf_dir), "PMD"))
+
+
+@query(f"""SELECT CpG_chrm, CpG_beg, meth, coverage, {r('CAST(meth AS DOUBLE) / coverage', 'beta')}, coverage >= 10 AS kept FROM ({COUNTS})""")
+def stream_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same filters on files as they arrive, here all at once."""
+    from cpgdomains.streaming import prepare as streaming
+
+    top = shared_folder(spark, "stream")
+    fixture.counts(spark, sf_dir).select("sample_id", "CpG_chrm", "CpG_beg", "CpG_end", "meth", "coverage").write.csv(f"{top}/in", sep="\t")
+    streaming.write_split(streaming.read_counts(spark, f"{top}/in"), f"{top}/kept", f"{top}/removed", f"{top}/check").awaitTermination()
+    both = [spark.read.parquet(f"{top}/{k}").select("CpG_chrm", "CpG_beg", F.col("meth").cast("long").alias("meth"), F.col("coverage").cast("long").alias("coverage"), "beta", F.lit(k == "kept").alias("kept")) for k in ("kept", "removed")]
+    return rounded(both[0].unionByName(both[1]))
+
+
+@query(f"""SELECT {KEYS}, state FROM ({RULES})""")
+def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule labels by a segmenter that was saved and restored, and by the cutoffs of its file."""
+    from cpgdomains.plans import config
+    from cpgdomains.plans.pipeline import Segmenter, Settings
+
+    own = Segmenter(Settings(windows=W40, assignment="definition", cutoffs=StateCutoffs.default(["40kb"])))
+    path = config.save(spark, own, shared_folder(spark, "bundle"), "wgbs")
+    again = config.load(spark, path)
+    assert again.settings == own.settings and config.cutoffs_from_yaml(spark, path) == own.settings.cutoffs
+    return again.label_points(fixture.points(spark, sf_dir), "rules").select("CpG_chrm", "CpG_beg", "input_row_index", "state")
+
+
+@query("""SELECT * FROM (VALUES (0, 'beta'), (1, '40kb_avg_meth'), (2, '40kb_std'), (3, '40kb_high_pct'), (4, '40kb_int_pct'), (5, '40kb_low_pct')) t(place, feature)""")
+def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is fitted on: all but the counts, of the windows asked for."""
+    rows = features.emissions(fixture.points(spark, sf_dir), [(500, "500bp"), *W40])
+    return spark.createDataFrame(list(enumerate(features.select_features(rows, ["40kb"]))), "place int, feature string")
+
+
+@query(f"""{_RAW_SQL} FROM ({ISLANDS}) WHERE state = 'PMD'""")
+def state_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(regions.of_state(raw(spark, sf_dir), 1).select(*_RAW))
+
+
+@query(f"""SELECT {KEYS}, CASE WHEN CpG_chrm = 'chr2' AND CpG_beg >= 400000 AND CpG_beg < 600000 THEN 'PMD' ELSE 'NONE' END AS overlay FROM ({POINTS})""")
+def overlay_one_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = overlay.one_region(spark, "s1", "chr2", 400_000, 600_000, "1")
+    return overlay.annotate(fixture.points(spark, sf_dir), one).select("CpG_chrm", "CpG_beg", "input_row_index", "overlay")
+
+
+@query(f"""
+WITH d AS (SELECT cluster AS c, beta AS x, "40kb_avg_meth" AS y, row_number() OVER (ORDER BY md5('42|' || input_row_index), beta, "40kb_avg_meth") AS k FROM ({_SCORED})),
+s AS (SELECT * FROM d WHERE k <= 2000), z AS (SELECT c, count(*) AS n FROM s GROUP BY c),
+p AS (SELECT a.k, a.c, b.c AS o, sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS t FROM s a, s b GROUP BY a.k, a.c, b.c),
+m AS (SELECT p.k, any_value(p.c) AS c, max(CASE WHEN p.c = o THEN t / greatest(n - 1, 1) END) AS a, min(CASE WHEN p.c <> o THEN t / n END) AS b, max(CASE WHEN p.c = o THEN n END) AS own FROM p JOIN z ON z.c = p.o GROUP BY p.k)
+SELECT {r('avg(CASE WHEN own = 1 THEN 0 ELSE (b - a) / greatest(a, b) END)', 'silhouette')} FROM m""")
+def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.silhouette(clustered(spark, sf_dir), ["beta", "40kb_avg_meth"], "cluster", 2000, keys=["input_row_index"])
+    return rounded(spark.createDataFrame([(found,)], "silhouette double"))
+
+
 # ---- trials, paths, samples of points -------------------------------------------------------------------------------
 
 TRIALS = [(0.25, 0.75, 0.5, 0.3, 0.3, 0.3), (0.1, 0.9, 0.6, 0.35, 0.4, 0.2), (0.29, 0.694, 0.56, 0.264, 0.246, 0.246), (0.2, 0.7, 0.4, 0.4, 0.4, 0.4), (0.05, 0.65, 0.8, 0.2, 0.1, 0.1)]
@@ -746,6 +806,13 @@ def ranked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histograms(cluster.relabel(model.apply(rows), ["40kb"]), ranked, "state")
 
 
+@query()
+def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all points on two components, with states and a highlighted region."""
+    rows, model = _fitted(spark, sf_dir)
+    return overlay.embedding_table(cluster.relabel(model.apply(rows), ["40kb"]), 2, region=("chr2", 400_000, 600_000))
+
+
 @query()
 def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit and run with all three windows: KMeans, sticky smoothing, regions, cleaning, and the files, whose cleaned BEDs are returned."""
