@@ -43,9 +43,22 @@ def _joined() -> list:
     return [F.min("start").alias("start"), F.max("end").alias("end"), weighted.alias("avg_beta"), *(F.sum(c).alias(c) for c in ("probe_count", "n_segments", "n_state", "n_intermediate"))]
 
 
-def _counted(regions: DataFrame, state: str) -> DataFrame:
-    is_it = lambda s: (F.col("state") == s).cast("long")
-    return regions.withColumns({"n_segments": F.lit(1).cast("long"), "n_state": is_it(state), "n_intermediate": is_it("INTERMEDIATE")})
+def _tracks(regions: DataFrame, states: list[str], with_intermediate: bool, gap: int) -> DataFrame:
+    """Regions of each of the states, INTERMEDIATE ones absorbed if asked, in one plan: every region goes to the tracks of all states
+    that it may lengthen or interrupt, and all tracks of a chromosome are cut into blocks at once."""
+    if gap < 0:
+        raise ValueError("gap must not be negative")
+    state, middle = F.col("state"), F.lit("INTERMEDIATE")
+    joins = [s for s in states if with_intermediate and s != "INTERMEDIATE"]
+    alone = F.when(state.isin([s for s in states if s not in joins]), F.array(state)).otherwise(F.array().cast("array<string>"))
+    rows = regions.withColumn("track", F.explode(F.concat(F.array(*[F.lit(s) for s in joins]).cast("array<string>"), alone)))
+    rows = rows.withColumns({"n_segments": F.lit(1).cast("long"), "n_state": (state == F.col("track")).cast("long"), "n_intermediate": (state == middle).cast("long"), "inside": state.isin(F.col("track"), middle)})
+    w = Window.partitionBy(*POINT_KEYS, "track").orderBy("start", "end", "state")
+    before = F.lag("state").over(w)
+    apart = before.isNull() | ~before.isin(F.col("track"), middle) | ~F.col("inside") | (F.col("start") - F.lag("end").over(w) > gap) | ~F.col("track").isin(joins)
+    blocks = rows.withColumn("b", apart.cast("int")).withColumn("block", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("inside")
+    out = blocks.groupBy(*POINT_KEYS, "track", "block").agg(*_joined())
+    return out.where("n_state > 0").drop("block").withColumnRenamed("track", "state")
 
 
 def absorb_intermediate(regions: DataFrame, state: str, gap: int = 100_000) -> DataFrame:
@@ -53,19 +66,7 @@ def absorb_intermediate(regions: DataFrame, state: str, gap: int = 100_000) -> D
 
     A run without a row of ``state`` gives nothing. The gap is measured from the row before.
     """
-    if gap < 0:
-        raise ValueError("gap must not be negative")
-    inside = F.col("state").isin(state, "INTERMEDIATE")
-
-    def breaks(w):
-        before = F.lag("state").over(w)
-        return before.isNull() | ~before.isin(state, "INTERMEDIATE") | ~inside | (F.col("start") - F.lag("end").over(w) > gap)
-
-    rows = _counted(regions, state).withColumn("inside", inside)
-    w = Window.partitionBy(*POINT_KEYS).orderBy("start", "end", "state")
-    marked = rows.withColumn("b", breaks(w).cast("int")).withColumn("block", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("inside")
-    out = marked.groupBy(*POINT_KEYS, "block").agg(*_joined())
-    return out.where("n_state > 0").drop("block").withColumn("state", F.lit(state))
+    return _tracks(regions, [state], True, gap)
 
 
 def merge_within_gap(regions: DataFrame, gap: int = 100_000) -> DataFrame:
@@ -78,31 +79,28 @@ def merge_within_gap(regions: DataFrame, gap: int = 100_000) -> DataFrame:
     return marked.groupBy(*POINT_KEYS, "state", "block").agg(*_joined()).drop("block")
 
 
-def clean_regions(
-    regions: DataFrame, state: str, merge_gap: int = 100_000, with_intermediate: bool = True, intermediate_gap: int = 100_000, min_length: int = 5000, min_probes: int = 6
-) -> DataFrame:
-    """Cleaned regions of one state: INTERMEDIATE absorbed (not for that state itself), near ones merged, short or sparse ones dropped.
-
-    Tracks of different states may overlap, as one INTERMEDIATE run can join two neighbours. The three columns that only
-    PMD has are null for other states.
-    """
-    rows = absorb_intermediate(regions, state, intermediate_gap) if with_intermediate and state != "INTERMEDIATE" else _counted(regions.where(F.col("state") == state), state)
-    merged = merge_within_gap(rows.withColumn("state", F.lit(state)), merge_gap).withColumn("length", F.col("end") - F.col("start"))
+def _clean(regions: DataFrame, states: list[str], merge_gap: int = 100_000, with_intermediate: bool = True, intermediate_gap: int = 100_000, min_length: int = 5000, min_probes: int = 6) -> DataFrame:
+    merged = merge_within_gap(_tracks(regions, states, with_intermediate, intermediate_gap), merge_gap).withColumn("length", F.col("end") - F.col("start"))
     kept = merged.where((F.col("length") >= min_length) & (F.col("probe_count") >= min_probes))
-    pmd = lambda c: F.when(F.lit(state == "PMD"), c)
+    pmd = lambda c: F.when(F.col("state") == "PMD", c)
     return kept.select(
-        *POINT_KEYS, "start", "end", "avg_beta", "probe_count", "state", "length", (F.col("n_intermediate") > 0).alias("contains_intermediate") if state == "PMD" else F.lit(None).cast("boolean").alias("contains_intermediate"),
+        *POINT_KEYS, "start", "end", "avg_beta", "probe_count", "state", "length", pmd(F.col("n_intermediate") > 0).alias("contains_intermediate"),
         "n_segments", pmd(F.col("n_state")).alias("n_pmd_segments"), pmd(F.col("n_intermediate")).alias("n_intermediate_segments"),
     )
 
 
+def clean_regions(regions: DataFrame, state: str, **options) -> DataFrame:
+    """Cleaned regions of one state: INTERMEDIATE absorbed (not for that state itself), near ones merged, short or sparse ones dropped.
+
+    Options: merge_gap, with_intermediate, intermediate_gap, min_length, min_probes. Tracks of different states may overlap, as one
+    INTERMEDIATE run can join two neighbours. The three columns that only PMD has are null for other states.
+    """
+    return _clean(regions, [state], **options)
+
+
 def clean_all(regions: DataFrame, **options) -> DataFrame:
-    """All four cleaned tracks."""
-    out = None
-    for s in STATES:
-        part = clean_regions(regions, s, **options)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All four cleaned tracks, in one plan that reads the regions once."""
+    return _clean(regions, STATES, **options)
 
 
 def longer_than(regions: DataFrame, length: int) -> DataFrame:
