@@ -65,7 +65,17 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns))
 
 
-@query()
+_WINDOW = ", ".join(f"lead(w, {k}) OVER p" for k in range(1, 13))
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+w AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS i FROM d),
+s AS (SELECT doc_id, w, i, CASE WHEN lead(i, 12) OVER p IS NOT NULL THEN concat_ws(' ', w, {_WINDOW}) END AS win FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, w, i, win IS NOT NULL AND min(doc_id) OVER (PARTITION BY win) < doc_id AS again FROM s),
+g AS (SELECT doc_id, w, i, max(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) = 1 AS gone FROM r),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id""")
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
