@@ -647,26 +647,45 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRIALS = [(0.25, 0.75, 0.5, 0.3, 0.3, 0.3), (0.1, 0.9, 0.6, 0.35, 0.4, 0.2), (0.29, 0.694, 0.56, 0.264, 0.246, 0.246), (0.2, 0.7, 0.4, 0.4, 0.4, 0.4), (0.05, 0.65, 0.8, 0.2, 0.1, 0.1)]
 _TRUTH = "CASE WHEN beta < 2e-1 THEN 'LOW' WHEN beta > 7e-1 THEN 'HIGH' ELSE 'PMD' END"
-_TRIALS = f"""
-t AS (SELECT * FROM (VALUES {", ".join(f"({k}, {', '.join(f'{v!r}e0' for v in x)})" for k, x in enumerate(TRIALS))}) t(trial, beta_low_max, beta_high_min, im, sm, hm, lm)),
-p AS (SELECT trial, {_TRUTH} AS t, CASE WHEN "40kb_int_pct" >= im AND "40kb_std" <= sm AND "40kb_high_pct" <= hm AND "40kb_low_pct" <= lm AND beta >= beta_low_max AND beta <= beta_high_min THEN 'PMD'
-             WHEN beta <= beta_low_max THEN 'LOW' WHEN beta >= beta_high_min THEN 'HIGH' ELSE 'INTERMEDIATE' END AS p FROM ({EMISSIONS}), t),
+
+
+def trials_sql(trials: list[tuple[float, ...]]) -> str:
+    values = ", ".join(f"({k}, {', '.join(f'{v!r}e0' for v in x)})" for k, x in enumerate(trials))
+    return f"""
+t AS (SELECT * FROM (VALUES {values}) t(trial, beta_low_max, beta_high_min, im, sm, hm, lm)),
+e AS MATERIALIZED (SELECT beta, "40kb_int_pct" AS i, "40kb_std" AS s, "40kb_high_pct" AS hi, "40kb_low_pct" AS lo, {_TRUTH} AS t FROM ({EMISSIONS})),
+p AS (SELECT trial, t, CASE WHEN i >= im AND s <= sm AND hi <= hm AND lo <= lm AND beta >= beta_low_max AND beta <= beta_high_min THEN 'PMD'
+             WHEN beta <= beta_low_max THEN 'LOW' WHEN beta >= beta_high_min THEN 'HIGH' ELSE 'INTERMEDIATE' END AS p FROM e, t),
 c AS (SELECT trial, t, p, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY trial, t, p),
 l AS (SELECT trial, t AS label FROM c UNION SELECT trial, p FROM c),
 q AS (SELECT l.trial, label, coalesce(sum(n) FILTER (WHERE t = label), 0) AS nt, coalesce(sum(n) FILTER (WHERE p = label), 0) AS np, coalesce(sum(n) FILTER (WHERE t = label AND p = label), 0) AS tp FROM l JOIN c ON c.trial = l.trial GROUP BY l.trial, label),
 h AS (SELECT trial, avg(2 * tp / (nt + np)) AS f1_macro, sum(tp) / sum(nt) AS accuracy, avg(CASE WHEN nt > 0 THEN tp / nt ELSE 0 END) AS recall_macro FROM q GROUP BY trial)"""
 
 
+_TRIALS = trials_sql(TRIALS)
+_HISTORY = f"""SELECT t.trial, beta_low_max, beta_high_min, im AS "40kb_int_min", sm AS "40kb_std_max", hm AS "40kb_high_max", lm AS "40kb_low_max", {r('f1_macro', 'f1_macro')}, {r('accuracy', 'accuracy')}, {r('recall_macro', 'recall_macro')} FROM h JOIN t ON t.trial = h.trial"""
+
+
 def _searched(spark: SparkSession, sf_dir: str) -> rules.SearchResult:
     rows = _emitted(spark, sf_dir).withColumn("truth", F.when(F.col("beta") < 0.2, "LOW").when(F.col("beta") > 0.7, "HIGH").otherwise("PMD"))
     return rules.search_rules(rows, "truth", ["40kb"], trials=[StateCutoffs({"40kb": WindowCutoffs(*x[2:])}, *x[:2]) for x in TRIALS])
 
 
-@query(f"""WITH {_TRIALS} SELECT t.trial, beta_low_max, beta_high_min, im AS "40kb_int_min", sm AS "40kb_std_max", hm AS "40kb_high_max", lm AS "40kb_low_max", {r('f1_macro', 'f1_macro')}, {r('accuracy', 'accuracy')}, {r('recall_macro', 'recall_macro')} FROM h JOIN t ON t.trial = h.trial""")
+def _scores(history: DataFrame) -> DataFrame:
+    cutoffs = ["beta_low_max", "beta_high_min", *(f"40kb_{k}" for k in ("int_min", "std_max", "high_max", "low_max"))]
+    return history.select("trial", *cutoffs, *(stable_round(c).alias(c) for c in ("f1_macro", "accuracy", "recall_macro")))
+
+
+@query(f"WITH {_TRIALS} {_HISTORY}")
 def rule_search_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _searched(spark, sf_dir).history
-    scores = ["f1_macro", "accuracy", "recall_macro"]
-    return found.select("trial", "beta_low_max", "beta_high_min", *(f"40kb_{k}" for k in ("int_min", "std_max", "high_max", "low_max")), *(stable_round(c).alias(c) for c in scores))
+    return _scores(_searched(spark, sf_dir).history)
+
+
+@query(f"WITH {trials_sql([tuple(rules.flat(t).values()) for t in rules.draw_trials(['40kb'])])} {_HISTORY}")
+def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 500 draws of the default search."""
+    rows = _emitted(spark, sf_dir).withColumn("truth", F.when(F.col("beta") < 0.2, "LOW").when(F.col("beta") > 0.7, "HIGH").otherwise("PMD"))
+    return _scores(rules.search_rules(rows, "truth", ["40kb"]).history)
 
 
 @query(f"""WITH {_TRIALS}, b AS (SELECT trial FROM h ORDER BY f1_macro DESC, trial LIMIT 1) SELECT p AS rule_based_label, count(*) AS n FROM p JOIN b ON b.trial = p.trial GROUP BY p""")
@@ -792,12 +811,6 @@ def ct_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.smooth(labelled(spark, sf_dir), hmm.ContinuousModel(4, holding=100_000.0))
 
 
-@query()
-def rule_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _emitted(spark, sf_dir).withColumn("truth", F.when(F.col("beta") < 0.2, "LOW").when(F.col("beta") > 0.7, "HIGH").otherwise("PMD"))
-    return rules.search_rules(rows, "truth", ["40kb"]).history
-
-
 @query()
 def ranked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features in the order in which their histograms are drawn, with the cells of each by cluster state."""
