@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,14 +64,25 @@ def named(columns: list[str]) -> list[Column]:
 
 
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows with a number of their own, kept in the shared folder, and that column's name, which ``docs`` doesn't have.
+    """The rows with a number of their own, and that column's name, which ``docs`` doesn't have.
 
-    It tells rows apart that share a doc_id or have none; as it is written once, every reader sees the same numbers.
+    It tells rows apart that share a doc_id or have none. In a Parquet file it is the row's place in the file, and the file's place
+    among all, the same for every reader however the files are split. Other rows are written to the shared folder with numbers.
     """
-    key = "row_number"
-    while key.lower() in {c.lower() for c in docs.columns}:
-        key += "_"
-    return materialise(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+    taken = {c.lower() for c in docs.columns}
+    key, file = (next(n for i in range(len(taken) + 1) if (n := base + "_" * i) not in taken) for base in ("row_number", "row_file"))
+    try:
+        if "_metadata" in taken:
+            raise AnalysisException("the files' column is hidden")
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(key))
+    except AnalysisException:
+        return materialise(docs.withColumn(key, F.monotonically_increasing_id()), name), key
+    files = sorted(r[0] for r in placed.select(file).distinct().collect())  # a row per file
+    if len(files) < 2:
+        return placed.drop(file), key
+    base = docs.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], [file, "row_base"])
+    small = F.broadcast(base) if len(files) < 1 << 16 else base  # some hundred bytes a file
+    return placed.join(small, file).select(*named(docs.columns), (F.col(key) + F.col("row_base")).alias(key)), key
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
