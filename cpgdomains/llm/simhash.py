@@ -32,7 +32,7 @@ SEED, TOP_BITS = 42, 20
 #: Fingerprints that a task joins at once, about 200 bytes each, and those of a leaf while the top can grow.
 TOGETHER, LEAF = 1 << 18, 1 << 14
 #: Fingerprints on either side of a group whose pairs are checked together.
-CHUNK = 256
+CHUNK = 512
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
