@@ -151,24 +151,25 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, calibration
     return Model(good, bad, *calibrate(np.array([r[1:] for r in sample]), np.array([r[0] for r in sample], dtype=np.float64)))
 
 
-def _scored(model: Model, threshold: float):
+def _scored(model: Model, threshold: float, text: str, keep: bool):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Measure(model.good, model.bad)
         for batch in batches:
-            features = np.array([measure(t) for t in batch["text_"].to_pylist()]).reshape(-1, 3)
+            features = np.array([measure(t or b"") for t in batch[text].cast(pa.binary()).to_pylist()]).reshape(-1, 3)
             score = model.scores(features)
-            names = [n for n in batch.schema.names if n != "text_"]
+            names = [n for n in batch.schema.names if keep or n != text]
             yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=[*names, "score", "predicted"])
 
     return f
 
 
-def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each row (none may be called score, predicted or text_; a struct can hold such), score (0 to 1, higher: label 1 likelier) and predicted (1 from ``threshold`` on).
+def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns ``keep`` of each row (none may be called score or predicted), score (0 to 1, higher: label 1 likelier) of the
+    column ``text`` and predicted (1 from ``threshold`` on).
 
     Null text counts as empty, which has a score too. Every row is scored, also with equal or null ids. Empty table: no rows.
     """
-    kept = named(list(keep))
-    rows = docs.select(*kept, text_bytes().alias("text_"))
-    schema = StructType([*docs.select(*kept).schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return rows.mapInArrow(_scored(model, threshold), schema)
+    kept = docs.select(*named(list(keep)))
+    rows = docs.select(*named([*keep, *([text] if text not in keep else [])]))
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return rows.mapInArrow(_scored(model, threshold, text, text in keep), schema)
