@@ -2,13 +2,14 @@
 
 Documents are dealt to ranges of doc_id (one shuffle of the texts, used three times); a range numbers its windows' hashes.
 
-1. Each range sends the leading ``FILTER`` bits of every distinct hash once, sorted and delta-packed, to the bucket of their
-   leading bits: a window that a third of all documents hold is one entry per range. A bucket tells each range which of them
-   other ranges have too.
-2. Of those windows each range sends the whole hash with another hash of the window's words themselves, together 128 bits, to
-   the buckets, which tell all ranges but the first what an earlier one has. So a chance agreement of hashes removes nothing.
+1. Each range sends some leading bits of every distinct hash once, sorted and delta-packed, to the bucket of their own leading
+   bits: a window that a third of all documents hold is one entry per range. There are about ``SPARE`` more of these bits than it takes to
+   number all windows, so few windows share them by chance. A bucket tells each range which of them other ranges have too.
+2. Of those windows each range sends the whole hash of ``BITS`` bits with another of 64 bits over the window's words themselves to
+   the buckets, which tell all ranges but the first what an earlier one has. So a chance agreement of 112 bits is needed to remove
+   a word: one of 10 million corpora of 100 TB would see one.
 3. A range removes windows that a smaller range has, and those that a smaller document of its own has, told apart by the same
-   128 bits; covered words merge into maximal intervals. As ranges follow doc_id, no ids travel.
+   112 bits; covered words merge into maximal intervals. As ranges follow doc_id, no ids travel.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ _BASE, _WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Bytes hashed at once; a longer document is hashed in parts that end at white space.
 _CHUNK = 1 << 20
 _WHITE = re.compile(rb"[\x20\t-\r]")
-#: Bits of a window's hash, and those of them by which ranges first look for windows in common.
-BITS, FILTER = 64, 48
+#: Bits of a window's hash; and how many more than it takes to number all windows ranges first look for common ones by.
+BITS, SPARE = 48, 6
 _powers_of: dict[int, np.ndarray] = {}
 
 
@@ -155,7 +156,7 @@ class Windows:
             h, at = window_hashes(words, counts, size)
             ends = np.cumsum(counts)
             doc = np.searchsorted(ends, at, side="right")
-            found.append((h & _U((1 << 64) - (1 << (64 - bits))), (doc + i).astype(np.int32), (at - (ends - counts)[doc]).astype(np.int32)))
+            found.append((h >> _U(64 - bits) if bits else h & _U(0), (doc + i).astype(np.int32), (at - (ends - counts)[doc]).astype(np.int32)))
             n_words.append(counts)
         join = lambda k, t: np.concatenate([x[k] for x in found]) if found else np.zeros(0, t)
         return cls(join(0, np.uint64), join(1, np.int32), join(2, np.int32), np.concatenate(n_words) if n_words else np.zeros(0, np.int64), data, offsets, size)
@@ -183,13 +184,13 @@ def _edges(buckets: int, bits: int) -> np.ndarray:
     return (np.arange(1, buckets, dtype=object) * 2**bits // buckets).astype(np.uint64)
 
 
-def _send(size: int, bits: int, buckets: int):
-    """Every distinct window's leading bits, by bucket."""
+def _send(size: int, bits: int, few: int, buckets: int):
+    """Every distinct window's first ``few`` bits, by bucket."""
 
     def f(key, rows):
         group = key[0].as_py()
-        some = distinct(Windows.of(rows["text"], size, bits).hash >> _U(64 - FILTER))
-        parts = np.split(some, np.searchsorted(some, _edges(buckets, FILTER)))
+        some = distinct(Windows.of(rows["text"], size, bits).hash >> _U(bits - few))
+        parts = np.split(some, np.searchsorted(some, _edges(buckets, few)))
         full = [b for b, p in enumerate(parts) if len(p)]
         out = pa.table({"bucket": pa.array(full, pa.int32()), "g": pa.array([group] * len(full), pa.int32()), "hashes": pa.array([pack(parts[b]) for b in full], pa.binary())})
         del some, parts
@@ -223,7 +224,7 @@ def _shared(ranks: np.ndarray):
     return f
 
 
-def _confirm(size: int, bits: int, buckets: int):
+def _confirm(size: int, bits: int, few: int, buckets: int):
     """The windows that other ranges may have: both hashes of each distinct one, by bucket of the first."""
 
     def f(key, rows, found):
@@ -234,13 +235,13 @@ def _confirm(size: int, bits: int, buckets: int):
         if lists and len(rows):
             shared = np.sort(np.concatenate(lists))
             w = Windows.of(rows["text"], size, bits)
-            which = np.flatnonzero(held(shared, w.hash >> _U(64 - FILTER)))
+            which = np.flatnonzero(held(shared, w.hash >> _U(bits - few)))
             h, x = w.hash[which], w.second(which)
             order = np.lexsort((x, h))
             h, x = h[order], x[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1])]) if len(h) else np.zeros(0, bool)
             h, x = h[new], x[new]
-            cuts = np.searchsorted(h, _edges(buckets, 64))
+            cuts = np.searchsorted(h, _edges(buckets, bits))
             parts = list(zip(np.split(h, cuts), np.split(x, cuts), strict=True))
             full = [b for b, (p, _) in enumerate(parts) if len(p)]
         group = key[0].as_py()
@@ -378,12 +379,13 @@ def substring_dedup(docs: DataFrame, size: int = 13, group_bytes: int = 12 << 20
     """
     tie = F.xxhash64("text", F.spark_partition_id())  # equal rows too are dealt apart
     ranges = range_groups(docs, group_bytes, tie)
+    few = min(bits, (ranges.bytes // 6).bit_length() + SPARE)
     buckets = max(shuffle_partitions(docs.sparkSession), -(-(ranges.bytes // 6 * 8) // bucket_bytes))
     carried = [F.struct(*named(list(carry))).alias("carried")] if carry else []
     dealt = docs.select(id_or_first().alias("id"), text_bytes().alias("text"), F.col("text").isNull().alias("missing"), ranges.group.alias("g"), *carried)
-    sent = dealt.groupBy("g").applyInArrow(_send(size, bits, buckets), "bucket int, g int, hashes binary")
+    sent = dealt.groupBy("g").applyInArrow(_send(size, bits, few, buckets), "bucket int, g int, hashes binary")
     shared = sent.groupBy("bucket").applyInArrow(_shared(ranges.ranks), "g int, shared binary")
-    sure = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_confirm(size, bits, buckets), "bucket int, g int, hashes binary, second binary")
+    sure = dealt.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_confirm(size, bits, few, buckets), "bucket int, g int, hashes binary, second binary")
     found = sure.groupBy("bucket").applyInArrow(_repeated(ranges.ranks), "g int, hashes binary, second binary")
     schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, spans array<long>, missing boolean")
     schema = StructType([*schema.fields, *(dealt.schema["carried"] for _ in carried)])
