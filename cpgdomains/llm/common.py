@@ -210,3 +210,27 @@ def slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         held += n
     if at < len(lengths):
         yield at, len(lengths)
+
+
+#: Powers of a base that a worker keeps.
+POWERS = (1 << 20) + 1
+_powers_of: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers modulo 2 ** 64."""
+    known = _powers_of.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, POWERS), base, dtype=np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= POWERS:
+            _powers_of[base] = known
+    return known[:n]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Every bit of the result hangs on all bits of ``x``."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import NO_ID, id_or_first, named, range_groups, raw, release, shuffle_partitions, slices, text_bytes
+from .common import NO_ID, id_or_first, mixed, named, powers, range_groups, raw, release, shuffle_partitions, slices, text_bytes
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -40,19 +40,6 @@ _CHUNK = 1 << 20
 _WHITE = re.compile(rb"[\x20\t-\r]")
 #: Bits of a window's hash; and how many more than it takes to number all windows ranges first look for common ones by.
 BITS, SPARE = 48, 6
-_powers_of: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """The first ``n`` powers; a worker keeps those of one chunk."""
-    known = _powers_of.get(base)
-    if known is None or len(known) < n:
-        known = np.full(max(n, _CHUNK + 1), base, dtype=np.uint64)
-        known[0] = 1
-        known = np.multiply.accumulate(known)
-        if n <= _CHUNK + 1:
-            _powers_of[base] = known
-    return known[:n]
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -61,12 +48,6 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each document) of documents lying end to end in ``data``."""
     n_docs = len(offsets) - 1
@@ -83,9 +64,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     end[:-1] &= ~word[1:] | cut[1:-1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
-    back = _powers(pow(_BASE, -1, 2**64), len(data))
-    hashes = _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _U(_WINDOW_BASE))
+    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
+    back = powers(pow(_BASE, -1, 2**64), len(data))
+    hashes = mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _U(_WINDOW_BASE))
     return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
@@ -95,8 +76,8 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * _powers(_WINDOW_BASE, len(words)), out=sums[1:])
-    hashes = _mix((sums[size:] - sums[:-size]) * _powers(pow(_WINDOW_BASE, -1, 2**64), n))
+    np.cumsum(words * powers(_WINDOW_BASE, len(words)), out=sums[1:])
+    hashes = mixed((sums[size:] - sums[:-size]) * powers(pow(_WINDOW_BASE, -1, 2**64), n))
     left = np.repeat(np.cumsum(counts), counts) - np.arange(len(words))  # words to the document's end
     at = np.flatnonzero(left[:n] >= size)
     return hashes[at], at
