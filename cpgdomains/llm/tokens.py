@@ -3,7 +3,7 @@
 A text is cut before single spaces between two characters that aren't white space, and between a letter and a common
 punctuation mark. At such a place the pre-tokenisers of both kinds of file always begin a new pre-token and never look
 back, so encoding chunk by chunk gives the ids of the whole text. Arrow cuts a batch and numbers its distinct chunks; those
-not met before are encoded together. The table of chunks lives as long as the worker and is bounded.
+not met before are encoded together. The table of chunks, found by hashes and compared by bytes, lives as long as the worker and is bounded.
 
 Tokens that a file adds to its vocabulary, such as an end-of-text mark, are found in a text as the library finds them by default:
 their strings become their ids. A text that holds such a string is encoded whole.
@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from .common import release, slices
+from .common import mixed, powers, raw, release, slices
 
 _WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A space beside white space or an end, or the cut mark: such texts are cut by the slower rule.
@@ -33,6 +33,8 @@ _LETTER = r"[A-Za-zÀ-ÖØ-öø-ÿ]$"
 #: Chunks that a worker remembers at most, and bytes of text cut at once.
 REMEMBERED, AT_ONCE = 1_000_000, 4 << 20
 _loaded: dict[str, "ChunkEncoder"] = {}
+_BYTE = np.random.default_rng(7_041).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xC6A4A7935BD1E995
 
 
 def cut(texts: pa.Array) -> pa.ListArray:
@@ -49,6 +51,20 @@ def cut(texts: pa.Array) -> pa.ListArray:
     return out
 
 
+def hashes(texts: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings."""
+    data, offsets = raw(texts.cast(pa.binary()))
+    out = np.zeros(len(texts), dtype=np.uint64)
+    for i, j in slices(np.diff(offsets), 1 << 20):
+        at = offsets[i : j + 1] - offsets[i]
+        own = data[offsets[i] : offsets[j]]
+        sums = np.zeros(len(own) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[own] * powers(_BASE, len(own)), out=sums[1:])
+        back = powers(pow(_BASE, -1, 2**64), len(own) + 1)
+        out[i:j] = mixed((sums[at[1:]] - sums[at[:-1]]) * back[at[:-1]] + np.diff(at).astype(np.uint64))
+    return out
+
+
 class ChunkEncoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,6 +80,7 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         self.known = pa.array([], pa.string())
+        self.sorted, self.which = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and whose they are
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 15, dtype=np.int64)  # ends[k] to ends[k + 1]: where chunk k's ids lie
         self.n = 0
@@ -94,11 +111,13 @@ class ChunkEncoder:
         pairs = np.stack([a[:n], b[:n]], axis=1).ravel()
         return np.concatenate([pairs, a[n:], np.flatnonzero(free & ~letter)])
 
-    def learn(self, new: pa.Array) -> np.ndarray:
-        """Encodes chunks and returns the numbers they get."""
+    def learn(self, new: pa.Array, h: np.ndarray) -> np.ndarray:
+        """Encodes chunks with hashes ``h`` and returns the numbers they get."""
         numbers, first = np.zeros(len(new), dtype=np.int64), self.n
         together = self._together(new) if self.widths is not None else np.zeros(0, np.int64)
-        for joined, which in ((True, together), (False, np.setdiff1d(np.arange(len(new)), together))):
+        alone = np.ones(len(new), dtype=bool)
+        alone[together] = False
+        for joined, which in ((True, together), (False, np.flatnonzero(alone))):
             numbers[which] = self.n + np.arange(len(which))
             part = new.take(pa.array(which))
             self.known = pa.concat_arrays([self.known, part])
@@ -111,17 +130,27 @@ class ChunkEncoder:
                 self.ends[self.n + 1 : self.n + len(counts) + 1] = at + np.cumsum(counts)
                 self.n += len(counts)
         assert self.n == first + len(new) == len(self.known)
+        by = np.argsort(h)
+        at = np.searchsorted(self.sorted, h[by])
+        self.sorted, self.which = np.insert(self.sorted, at, h[by]), np.insert(self.which, at, numbers[by])
         return numbers
 
     def numbers(self, distinct: pa.Array) -> np.ndarray:
         """Each distinct chunk's number; unknown ones are learned."""
         if self.n > REMEMBERED:
             self.forget()
-        found = pc.index_in(distinct, value_set=self.known)
-        out = pc.fill_null(found, 0).to_numpy().astype(np.int64)
-        if found.null_count:
-            missing = pc.is_null(found)
-            out[missing.to_numpy(zero_copy_only=False)] = self.learn(distinct.filter(missing))
+        h = hashes(distinct)
+        by = np.argsort(h)
+        place = np.zeros(len(h), dtype=np.int64)
+        place[by] = np.searchsorted(self.sorted, h[by])
+        inside = np.minimum(place, max(0, len(self.sorted) - 1))
+        hit = self.sorted[inside] == h if len(self.sorted) else np.zeros(len(h), dtype=bool)
+        out = np.zeros(len(h), dtype=np.int64)
+        out[hit] = self.which[inside[hit]]
+        # a chunk whose hash another one has is learned again each time
+        hit[hit] = pc.equal(self.known.take(pa.array(out[hit])), distinct.filter(pa.array(hit))).to_numpy(zero_copy_only=False)
+        if not hit.all():
+            out[~hit] = self.learn(distinct.filter(pa.array(~hit)), h[~hit])
         return out
 
     def encode(self, texts: pa.Array | pa.ChunkedArray, end: int | None = None) -> Iterator[np.ndarray]:
