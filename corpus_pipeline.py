@@ -53,11 +53,12 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest doc_id (null: the smallest) stays, of equal ids one.
 
-    Fingerprints link at up to ten differing bits where five-word shingles have a similarity of 0.8 or more; texts of one fingerprint
-    are one group, so of empty texts and null ones a single row stays. Empty table: no rows.
+    Texts link where their five-word shingles have a similarity of 0.8 or more, however many bits of their fingerprints differ: most are
+    found by fingerprints, all others by an exact search. Texts of one fingerprint are one group, so of empty texts and null ones a
+    single row stays. Empty table: no rows.
     """
     rows, key = numbered(docs, "near")
-    gone = simhash_dedup(rows, similar=0.8, row=key).where(~F.col("first")).select(key)
+    gone = simhash_dedup(rows, similar=0.8, row=key, beyond=True).where(~F.col("first")).select(key)
     return rows.join(gone, key, "left_anti").select(*named(docs.columns))
 
 

@@ -10,7 +10,8 @@ alternating large and small stars, on disk between rounds.
 
 Where links must pass a check of the texts, spanning links of the unchecked pairs only give the first components. The trie is
 then joined again, and every pair whose ends these leave apart is checked, in groups of at most two times ``CHUNK``
-fingerprints; within a group a pair is passed over only if links that have passed join its ends already.
+fingerprints; within a group a pair is passed over only if links that have passed join its ends already. What the trie's orders
+don't find, an exact search of the texts' shingle sets adds (``similar.links_between``), for all texts that these links leave apart.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, id_or_first, materialise, numbered, release, shuffle_partitions, text_bytes
+from .similar import least_forest, links_between, shingle_set
 
 _U = np.uint64
 #: Seed of the shingle hashes, and levels of the trie's top at most: 12 bytes a leaf go to every task.
@@ -169,35 +171,6 @@ def trie_join(values: np.ndarray, home: tuple[int, int], budgets: list[int], mos
         work.append((bit + 1, *(np.concatenate(x) for x in zip(*parts, strict=True))))
 
 
-def least_forest(links: np.ndarray, n: int) -> np.ndarray:
-    """Which of the (2, m) links, in ascending order of weight, make up a least spanning forest of n nodes: Boruvka's rounds.
-
-    Each tree takes its first link that leaves it; as the order has no ties, these close no circle.
-    """
-    m = links.shape[1]
-    label, chosen, alive = np.arange(n), np.zeros(m, dtype=bool), np.arange(m)
-    while True:
-        a, b = label[links[0, alive]], label[links[1, alive]]
-        apart = a != b
-        alive, a, b = alive[apart], a[apart], b[apart]
-        if not len(alive):
-            return np.flatnonzero(chosen)
-        first = np.full(n, m)
-        np.minimum.at(first, a, alive)
-        np.minimum.at(first, b, alive)
-        roots = np.flatnonzero(first < m)
-        took = first[roots]
-        chosen[took] = True
-        x, y = label[links[0, took]], label[links[1, took]]
-        up = np.arange(n)
-        up[roots] = np.where(x == roots, y, x)
-        top = roots[(up[up[roots]] == roots) & (roots < up[roots])]  # two trees that took the same link
-        up[top] = top
-        while not (up[up] == up).all():
-            up = up[up]
-        label = up[label]
-
-
 def _deal(order: list[int], starts: np.ndarray):
     """A batch's fingerprints and their labels by leaf: at most a row per fingerprint."""
 
@@ -371,14 +344,6 @@ def _shingles(size: int):
     return f
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's ``size``-word shingles, A-Z in lower case."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, dtype="<u8")
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))], dtype="<u8"))
-
-
 def _alike(least: float):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -464,31 +429,34 @@ def near_copies(docs: DataFrame, classes: DataFrame, order: list[int], leaf: int
 
 def simhash_dedup(
     docs: DataFrame, size: int = 3, budget: int = 2, leaf: int | None = None, similar: float | None = None, words: int = 5, reach: int = 10, turns: int = 4,
-    exact: bool = False, row: str | None = None,
+    exact: bool = False, row: str | None = None, beyond: bool = False,
 ) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), and, if a column
     ``row`` is named, that column and ``first``, true for one row of each component.
 
     Fingerprints link at ``budget`` or fewer differing bits. With ``similar``, those at up to ``reach`` bits link instead, if the
-    texts' exact Jaccard similarity on ``words``-word shingles is at least that; they are sought in ``turns`` orders of the bits,
-    with two errors allowed in the trie's top and more below, so that a pair missed in one order is found in another; one of two
-    bits or fewer is found in each. ``exact`` allows all errors everywhere: every pair within ``reach`` bits is found, in one order,
-    at a cost that grows much faster than the input. Texts of one fingerprint are one class, unchecked, and its first row (by
-    doc_id, then ``row``) stands for it.
+    texts' exact Jaccard similarity on ``words``-word shingles is at least that, and with ``beyond`` those of that similarity at any
+    number of bits. They are sought in ``turns`` orders of the bits, with two errors allowed in the trie's top and more below;
+    whatever these miss is found by an exact search of shingle sets, so that no link is left out. ``exact`` allows all errors
+    everywhere: the trie alone then finds every pair within ``reach`` bits, in one order, at a cost that grows much faster than
+    the input. Texts of one fingerprint are one class, unchecked; in the trie its first row (by doc_id, then ``row``) stands for
+    it, in the exact search each of its texts is compared. ``row`` differs between all rows.
     Null or empty text: fingerprint zero, linked like any other. Texts may be of any length; a class, however large, travels as
     one fingerprint. A null doc_id counts as the smallest and is returned as null, so its component's id may be null. Repeated
     rows share a class. Empty table: no rows. Other columns are not read.
     """
     if similar is not None and row is None:
         docs, row = numbered(docs.select("doc_id", "text"), "near")
-        return simhash_dedup(docs, size, budget, leaf, similar, words, reach, turns, exact, row).drop(row, "first")
+        return simhash_dedup(docs, size, budget, leaf, similar, words, reach, turns, exact, row, beyond).drop(row, "first")
     rows = materialise(fingerprints(docs, size, row), "fingerprints")
     classes = materialise(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("first")), "classes")
     order = bit_order(classes)
     if similar is None:
         links = trie_links(classes, order, schedule(budget), leaf)
     else:
-        links = near_copies(_rows(docs, row), classes, order, leaf, similar, words, reach, 1 if exact else turns, None if exact else 2)
+        links = materialise(near_copies(_rows(docs, row), classes, order, leaf, similar, words, reach, 1 if exact else turns, None if exact else 2), "links")
+        labels = components(links).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+        links = links.unionByName(links_between(_rows(docs, row), rows, labels, similar, words, None if beyond else reach))
     found = components(links)
     labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("head"))
