@@ -31,6 +31,8 @@ TOKENS, HELD = 1 << 19, 1 << 18
 #: Texts of a run and the shingles they have together, about (a longer text is a run of its own); places up to which a shingle's pairs are counted singly.
 #: Texts up to which what is known of them goes to every task, 16 bytes each, instead of whole texts through a shuffle.
 RUN, RUN_TOKENS, FEW, SENT = 512, 1 << 19, 16, 1 << 18
+#: First shingles of a piece in which pairs are counted, about, and pairs that a worker counts at once.
+FIRSTS, MOST_PAIRS = 1 << 21, 1 << 23
 
 _COLUMNS = ("hashes", "rows", "labels", "sizes", "times")
 _DEALT = "piece int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
@@ -241,8 +243,8 @@ def _firsts(pieces: int, least: float):
     return f
 
 
-def _pairs(least: float):
-    """(u, v, need, n): pairs of differing labels that share n first shingles here, and how many they must share in all pieces."""
+def _pairs(pieces: int, least: float):
+    """(u, v): pairs of differing labels that share enough first shingles here; of those a pair needs, some piece has its part or more."""
 
     def f(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches))
@@ -252,14 +254,18 @@ def _pairs(least: float):
         known, first, member = np.unique(ids, return_index=True, return_inverse=True)
         n_of = sizes[first]
         rest = n_of - np.array([spare(n, least) + 1 for n in n_of.tolist()], np.int64)
-        held: list[np.ndarray] = []
-        size = 0
+        pairs, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
-        def flush() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            more, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            both, back = np.unique(np.concatenate([pairs, more]), return_inverse=True)
+            return both, np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+
+        def batch(whole: bool) -> pa.RecordBatch:
             i, j = pairs // len(known), pairs % len(known)
             need = np.ceil(least / (1 + least) * (n_of[i] + n_of[j]) - 1e-6).astype(np.int64) - np.maximum(rest[i], rest[j])
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (known[i], known[j], need, n)], names=["u", "v", "need", "n"])
+            keep = whole | (counts * pieces >= need)
+            return pa.RecordBatch.from_arrays([pa.array(known[x[keep]], pa.int64()) for x in (i, j)], names=["u", "v"])
 
         for start in range(0, len(hashes), HELD):
             at, d = np.arange(start, min(start + HELD, len(hashes))), 0
@@ -272,10 +278,13 @@ def _pairs(least: float):
                 held.append(member[some] * len(known) + member[some + d])
                 size += len(some)
                 if size > 4 * HELD:
-                    yield flush()
+                    pairs, counts = fold()
                     held, size = [], 0
-        if size:
-            yield flush()
+                    if len(pairs) > MOST_PAIRS:  # counts would be cut: all of these go on
+                        yield batch(True)
+                        pairs, counts = pairs[:0], counts[:0]
+        pairs, counts = fold()
+        yield batch(False)
         release()
 
     return f
@@ -347,9 +356,9 @@ def links_between(rows: DataFrame, fps: DataFrame, labels: DataFrame, least: flo
     known = materialise(known.join(left, "row"), "left")
     n = pieces(tokens_of(known))
     rare = known.select("row", "label", "n", "shingles").mapInArrow(_all_shingles(n), _DEALT).groupBy("piece").applyInArrow(_rarity(n), _DEALT)
-    firsts = rare.groupBy("piece").applyInArrow(_firsts(n, least), _DEALT)
-    pairs = firsts.groupBy("piece").applyInArrow(_pairs(least), "u long, v long, need long, n long")
-    pairs = materialise(pairs.groupBy("u", "v", "need").agg(F.sum("n").alias("n")).where("n >= need").select("u", "v"), "pairs")
+    few = max(1, -(-int((1 - least) * tokens_of(known)) // FIRSTS))
+    firsts = rare.groupBy("piece").applyInArrow(_firsts(few, least), _DEALT)
+    pairs = materialise(firsts.groupBy("piece").applyInArrow(_pairs(few, least), "u long, v long").distinct(), "pairs")
     # runs of the texts that are left, alike ones (by their least shingle) together
     place = F.pmod(F.xxhash64("least"), F.lit(-(-known.count() // RUN) or 1))
     near = Window.partitionBy("place").orderBy("least", "row")
