@@ -11,7 +11,9 @@ Nothing here is sampled or capped: each step drops only what can't be in such a
    ``spare(n) + 1`` taken. Two partners share so many of these that what follows can add up to the similarity.
 4. Pairs that do make up groups of two runs of texts, within which all intersections are counted.
 
-Steps 1 and 2 count by 32 bits of the hashes and a piece, which can only keep more; the others use all 64.
+Steps 1 and 2 count by 32 bits of the hashes and a piece, which can only keep more; the others use all 64. What a piece finds goes
+to a fixed number of homes of texts, a row to each, so rows follow pieces. They hold a count per text that has shared shingles there:
+with more pieces more of them, but never more than there are shared shingles.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ TOKENS, HELD = 1 << 19, 1 << 18
 #: Texts of a run and the shingles they have together, about (a longer text is a run of its own); places up to which a shingle's pairs are counted singly.
 #: Texts up to which what is known of them goes to every task, 16 bytes each, instead of whole texts through a shuffle.
 RUN, RUN_TOKENS, FEW, SENT = 512, 1 << 19, 16, 1 << 18
+#: Homes in which what the pieces find of each text is added up, and texts of one at most, about, 16 bytes each: beyond 64 million texts there are more homes.
+HOMES, HOME = 64, 1 << 20
 #: First shingles of a piece in which pairs are counted, about, and pairs that a worker counts at once.
 FIRSTS, MOST_PAIRS = 1 << 21, 1 << 23
 
@@ -114,7 +118,7 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(sets, pieces: int, least: float):
-    """Deals the shingles of each (row, label or None, set) that ``sets(batch)`` yields, and what each text may lack."""
+    """Deals the shingles of each (row, label or None, size, set) that ``sets(batch)`` yields, and how many of these each text must share."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int | None, int, np.ndarray]] = []
@@ -123,9 +127,9 @@ def _counted(sets, pieces: int, least: float):
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 rows, labels, sizes, tokens = zip(*held, strict=True)
-                spares = np.array([spare(n, least) for n in sizes], "<u4")
                 ids, each = np.array(rows, "<i8"), [len(t) for t in tokens]
-                yield _deal(np.full(len(ids), -1 - turn % pieces, np.int32), hashes=spares, rows=ids)
+                needs = np.array([max(0, k - spare(n, least)) for n, k in zip(sizes, each, strict=True)], "<u4")
+                yield _deal(np.full(len(ids), -1 - turn % pieces, np.int32), rows=ids, times=needs)
                 if sum(each):
                     all_of = np.concatenate(tokens)
                     with_labels = None if labels[0] is None else np.repeat(np.array(labels, "<i8"), each)
@@ -160,27 +164,44 @@ def _known_sets(batch: pa.RecordBatch):
         yield row.as_py(), label.as_py(), len(found), found
 
 
-def _lone(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """(row, n): shingles that no other label has, or, below zero, how many of these the text may have."""
-    ids, hashes = _column(rows, "rows"), _column(rows, "hashes", "<u4")
-    if key[0].as_py() < 0:
-        return pa.table({"row": pa.array(ids, pa.int64()), "n": pa.array(-hashes.astype(np.int64), pa.int64())})
-    labels = _column(rows, "labels")
-    by = np.argsort(hashes, kind="stable")
-    hashes, ids = hashes[by], ids[by]
-    labels = labels[by] if len(labels) else ids
-    starts, times = _runs(hashes)
-    one = np.minimum.reduceat(labels, starts) == np.maximum.reduceat(labels, starts)
-    found, n = np.unique(ids[np.repeat(one, times)], return_counts=True)
-    del hashes, ids, labels, by
+def _shared(homes: int):
+    """To the homes of the texts: how many shingles of each some other label has too, or, below zero, how many of them it must share."""
+
+    def f(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        ids = _column(rows, "rows")
+        if key[0].as_py() < 0:
+            n = -_column(rows, "times", "<u4").astype("<i4")
+        else:
+            hashes, labels = _column(rows, "hashes", "<u4"), _column(rows, "labels")
+            by = np.argsort(hashes, kind="stable")
+            hashes, ids = hashes[by], ids[by]
+            labels = labels[by] if len(labels) else ids
+            starts, times = _runs(hashes)
+            several = np.minimum.reduceat(labels, starts) != np.maximum.reduceat(labels, starts)
+            ids, n = np.unique(ids[np.repeat(several, times)], return_counts=True)
+            del hashes, labels, by
+        dealt = _deal((ids % homes).astype(np.int32), rows=ids, times=n.astype("<i4"))
+        release()
+        return pa.Table.from_batches([dealt])
+
+    return f
+
+
+def _enough(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row) of a home's texts that share as many shingles as they must; what the pieces found is added up batch by batch."""
+    known, left = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        ids, n = _column(rows, "rows"), _column(rows, "times", "<i4")
+        known, back = np.unique(np.concatenate([known, ids]), return_inverse=True)
+        left = np.bincount(back, weights=np.concatenate([left, n]), minlength=len(known)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(known[left >= 0], pa.int64())], names=["row"])
     release()
-    return pa.table({"row": pa.array(found, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
-def _within(dealt: DataFrame) -> DataFrame:
+def _within(dealt: DataFrame, homes: int) -> DataFrame:
     """(row) of the texts whose lone shingles don't exceed what they may lack."""
-    counted = dealt.groupBy("piece").applyInArrow(_lone, "row long, n long")
-    return counted.groupBy("row").agg(F.sum("n").alias("n")).where("n <= 0").select("row")
+    return dealt.groupBy("piece").applyInArrow(_shared(homes), _DEALT).groupBy("piece").applyInArrow(_enough, "row long")
 
 
 def _sets(words: int):
@@ -341,18 +362,20 @@ def links_between(rows: DataFrame, fps: DataFrame, labels: DataFrame, least: flo
     text is compared, not one for each fingerprint. ``reach``: only links of at most that many differing bits.
     """
     spark = rows.sparkSession
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    size, texts = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    homes = lambda n: max(HOMES, -(-n // HOME))
     pieces = lambda tokens: max(shuffle_partitions(spark), -(-tokens // TOKENS))
     n = pieces(size // 12)  # about six bytes a word, half of the shingles
-    shared = materialise(_within(rows.select("row", "text").mapInArrow(_counted(_half_sets(words), n, least), _DEALT)), "shared")
+    shared = materialise(_within(rows.select("row", "text").mapInArrow(_counted(_half_sets(words), n, least), _DEALT), homes(texts)), "shared")
     some = materialise(shared.join(fps.select("row", "fp"), "row"), "shared")
-    sets = materialise(rows.select("row", "text").join(F.broadcast(some) if some.count() <= SENT else some, "row").select("row", "fp", "text").mapInArrow(_sets(words), "row long, fp long, least long, digest binary, n long, shingles binary"), "sets")
+    texts = some.count()
+    sets = materialise(rows.select("row", "text").join(F.broadcast(some) if texts <= SENT else some, "row").select("row", "fp", "text").mapInArrow(_sets(words), "row long, fp long, least long, digest binary, n long, shingles binary"), "sets")
     own = sets.groupBy("fp", "digest").agg(F.min("row").alias("row"))
     own = materialise(own.join(labels, "fp", "left").select("row", F.coalesce("label", "fp").alias("label")), "own")
     known = sets.drop("digest").join(own, "row")
     tokens_of = lambda df: df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n = pieces(tokens_of(sets))
-    left = materialise(_within(known.select("row", "label", "shingles").mapInArrow(_counted(_known_sets, n, least), _DEALT)), "left")
+    left = materialise(_within(known.select("row", "label", "shingles").mapInArrow(_counted(_known_sets, n, least), _DEALT), homes(texts)), "left")
     known = materialise(known.join(left, "row"), "left")
     n = pieces(tokens_of(known))
     rare = known.select("row", "label", "n", "shingles").mapInArrow(_all_shingles(n), _DEALT).groupBy("piece").applyInArrow(_rarity(n), _DEALT)

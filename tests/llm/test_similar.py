@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pytest
+from pyspark.sql import GroupedData
 
 import corpus_pipeline
 from cpgdomains.llm import similar
@@ -105,6 +106,58 @@ def test_pairs_hold_all_alike_ones(monkeypatch, held):
     assert 50 < alike
 
 
+def grouped(batches):
+    table = pa.Table.from_batches(batches)
+    return [((pa.scalar(k),), table.filter(pa.compute.equal(table["piece"], k))) for k in table["piece"].unique().to_pylist()]
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_texts_with_too_many_lone_shingles_go(monkeypatch, labelled):
+    """Over five pieces, three homes and many portions, those stay that a direct count keeps."""
+    monkeypatch.setattr(similar, "HELD", 100)
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 2**63, 40, dtype=np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate([base[k % 6][rng.random(40) > 0.3], rng.integers(0, 2**63, int(rng.integers(0, 50)), dtype=np.uint64)])) for k in range(90)]
+    sets += [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (0, 1, 3, 30)]
+    rows, labels = np.arange(len(sets)) * 7 - 50, rng.integers(0, 60, len(sets)).tolist()
+    taken = [x if labelled else x[x & np.uint64(1) == 0] for x in sets]
+    have = {}
+    for k, x in enumerate(taken):
+        for h in x.tolist():
+            have.setdefault(h, set()).add(labels[k] if labelled else k)
+    wanted = {int(rows[k]) for k, x in enumerate(taken) if len(sets[k]) and sum(len(have[h]) == 1 for h in x.tolist()) <= similar.spare(len(sets[k]), 0.8)}
+    yielded = lambda _: [(int(r), labels[k] if labelled else None, len(sets[k]), taken[k]) for k, r in enumerate(rows)]
+    dealt = grouped(similar._counted(yielded, 5, 0.8)(iter([None])))
+    assert len(dealt) > 5
+    made = pa.concat_tables([similar._shared(3)(*g) for g in dealt])
+    assert made.num_rows <= 3 * len(dealt)
+    found = [r for key, part in grouped(made.to_batches()) for b in similar._enough(key, iter(part.to_batches(max_chunksize=2))) for r in b["row"].to_pylist()]
+    assert sorted(found) == sorted(wanted) and 10 < len(wanted) < len(sets) - 10
+
+
+def test_rows_made_dont_follow_texts_times_pieces(spark, monkeypatch):
+    monkeypatch.setattr(similar, "TOKENS", 256)
+    monkeypatch.setattr(similar, "HOMES", 4, raising=False)
+    made, plain = [], GroupedData.applyInArrow
+
+    def counted(self, func, schema):
+        out = plain(self, func, schema)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", counted)
+    rng = np.random.default_rng(9)
+    texts = near_texts(rng, 6) + [" ".join(f"u{rng.integers(10**9)}" for _ in range(100)) for _ in range(400)]
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "row long, text binary")
+    none = spark.createDataFrame([], "fp long, label long")
+    links = similar.links_between(rows, rows.selectExpr("row", "row AS fp"), none, 0.8, 5).collect()
+    forest = Forest(len(texts))
+    for u, v in links:
+        forest.join(u, v)
+    assert {i for i in range(len(texts)) if forest.root(i) != i} == gone_of(texts, similarities(texts) >= 0.8) != set()
+    assert max(made) < 2 * len(texts)  # some 80 pieces, in half of which each text has shingles
+
+
 def test_spare_shingles_bound_what_a_partner_lacks():
     for n in range(1, 400):
         least = next(k for k in range(n + 1) if k >= 0.8 * n)
