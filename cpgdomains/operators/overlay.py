@@ -60,13 +60,19 @@ def quotas(retained: int, removed: int, most: int) -> tuple[int, int]:
     return kept, most - kept
 
 
-def downsample(points: DataFrame, removed: DataFrame | None, most: int = 120_000, seed: int = 42) -> DataFrame:
-    """At most ``most`` points of both streams, column ``layer`` telling them apart: a sampling operator, in order of a hash of the place."""
-    def pick(df: DataFrame, layer: str, n: int) -> DataFrame:
+def downsample(points: DataFrame, removed: DataFrame | None, most: int | None = 120_000, seed: int = 42) -> DataFrame:
+    """At most ``most`` points of both streams, column ``layer`` telling them apart: a sampling operator, in order of a hash of the place.
+
+    None draws all points.
+    """
+    def pick(df: DataFrame, layer: str, n: int | None) -> DataFrame:
+        rows = df.select("CpG_chrm", "CpG_beg", "CpG_end", "beta", "input_row_index").withColumn("layer", F.lit(layer))
+        if n is None:
+            return rows
         by = F.md5(F.concat_ws("|", F.lit(str(seed)), "CpG_chrm", F.col("CpG_beg").cast("string"), F.col("input_row_index").cast("string")))
-        return df.select("CpG_chrm", "CpG_beg", "CpG_end", "beta", "input_row_index").withColumn("layer", F.lit(layer)).orderBy(by, "input_row_index").limit(n)
+        return rows.orderBy(by, "input_row_index").limit(n)
 
-    a, b = quotas(points.count(), removed.count() if removed is not None else 0, most)
+    a, b = (None, None) if most is None else quotas(points.count(), removed.count() if removed is not None else 0, most)
     out = pick(points, "retained", a)
     return out if removed is None else out.unionByName(pick(removed, "removed", b))
 
@@ -83,12 +89,12 @@ def plot_points(points: DataFrame, label: str = "state", colours: dict[str, str]
 
 
 def plot_table(
-    points: DataFrame, regions: DataFrame | None = None, removed: DataFrame | None = None, most: int = 120_000, window: tuple[int, int] | None = None, label: str = "state", colours: dict[str, str] | None = None,
+    points: DataFrame, regions: DataFrame | None = None, removed: DataFrame | None = None, most: int | None = 120_000, window: tuple[int, int] | None = None, label: str = "state", colours: dict[str, str] | None = None,
 ) -> DataFrame:
     """A whole scatter plot as a table: CpG_chrm, CpG_beg, beta, layer, label, overlay, colour.
 
-    ``window``: a region that the plot shows with its flanks. At most ``most`` points in both layers, drawn before labels are
-    looked up; removed points have no label. With ``regions`` the colour is that of the region a point lies in, else of its label.
+    ``window``: a region that the plot shows with its flanks. At most ``most`` points in both layers (None: all), drawn before labels
+    are looked up; removed points have no label. With ``regions`` the colour is that of the region a point lies in, else of its label.
     """
     here = F.lit(True)
     if window:

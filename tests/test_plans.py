@@ -133,3 +133,17 @@ def test_stream_splits_as_a_batch_does(spark, tmp_path):
     q = streaming.coverage_by_chromosome(streaming.read_counts(spark, str(src))).writeStream.format("memory").queryName("cov").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert math.isclose(spark.table("cov").first().mean_coverage, 34 / 3)
+
+
+def test_a_plot_without_a_limit_shows_all_points(spark):
+    points = genome(spark, 120)
+    assert overlay.plot_table(points, removed=points.limit(7), most=None).count() == points.count() + 7
+    assert overlay.downsample(points, None, None).count() == points.count() > overlay.downsample(points, None, 50).count() == 50
+
+
+def test_the_zoomed_plot_query_has_more_points_than_a_sampled_plot(spark, monkeypatch, tmp_path):
+    import __spark_entry__ as entry
+
+    at = F.expr("timestampadd(SECOND, cast(400000 + id % 200000 AS int), timestamp_ntz'2024-01-01 00:00:00')")
+    spark.range(120_500).select(F.col("id").alias("event_id"), at.alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit(5.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    assert entry.queries()["plot_points"](spark, str(tmp_path)).count() == 120_500
