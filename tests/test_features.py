@@ -82,3 +82,30 @@ def test_feature_choice(spark):
 @settings(max_examples=5, deadline=None)
 def test_names(size):
     assert f.feature_names([(size, "q")], counts=False) == [f"q_{s}" for s in f.SUFFIXES[:-1]]
+
+
+def test_rows_of_windows_follow_places_not_points(spark):
+    rows = [("c", int(p), float(b)) for p, b in zip(np.repeat(np.arange(0, 400, 10), 50), np.random.default_rng(4).random(2000), strict=True)]
+    table = points(spark, rows)
+    places = f._places(table, 0.2, 0.7, 0.7)
+    assert places.count() == 40 and f._edge(places, WINDOW).count() == f._range(places, WINDOW).count() == 40
+    for plan in ("range", "edge", "auto"):
+        found = f.emissions(table, WINDOW, plan=plan).collect()
+        assert len(found) == 2000
+        same(found, brute(rows, 100))
+    same(f.emissions(table, WINDOW, at=table.where("CpG_beg = 50")).collect(), brute(rows, 100))
+    assert f.emissions(table, WINDOW, at=table.where("CpG_beg = 50")).count() == 50
+
+
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=70), st.data())
+@settings(max_examples=60, deadline=None)
+def test_sums_of_ranges(values, data):
+    first = np.array(data.draw(st.lists(st.integers(0, len(values) - 1), min_size=1, max_size=9)))
+    end = np.array([data.draw(st.integers(int(i) + 1, len(values))) for i in first])
+    (found,) = f.range_sums([np.array(values, float)], first, end)
+    assert found.tolist() == [sum(values[i:j]) for i, j in zip(first, end, strict=True)]
+
+
+def test_sums_of_ranges_keep_digits_after_large_values():
+    values = np.array([1e16] * 50 + [0.1] * 3)
+    assert f.range_sums([values], np.array([51, 50]), np.array([52, 53]))[0] == pytest.approx([0.1, 0.3], rel=1e-12)
