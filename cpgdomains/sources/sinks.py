@@ -55,6 +55,13 @@ def in_order(regions: DataFrame) -> DataFrame:
     return regions.orderBy("CpG_chrm", "start", "end", "state")
 
 
+def write_table(df: DataFrame, folder: str, order: list[str], header: bool = False, sep: str = "\t") -> str:
+    """A separated table of any size as a folder of files that executors write: in order of ``order`` from file to file, by name, and within each."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).drop(*order)
+    rows.select(*_text(rows)).write.csv(folder, sep=sep, header=header, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return folder
+
+
 def write_bed(regions: DataFrame, path: str) -> str:
     """chrom, start, end, state without a header."""
     return write_file(in_order(regions).select(*BED), path)

@@ -51,6 +51,7 @@ class Prepared:
 
 
 def _fields(spark: SparkSession, path: str) -> list[str]:
+    """The first line's values, of several files that of any."""
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ValueError(f"{path} is empty")
@@ -82,39 +83,38 @@ def layout_of(spark: SparkSession, path: str, resolution: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, layout: str, sample_id: str) -> DataFrame:
-    """Typed rows with ``input_row_index``: unique and ascending in the order of a file, data rows only.
+    """Typed rows with ``input_row_index``: unique and ascending in the order of a file, data rows only. A folder's files follow each
+    other by name; ``_file`` and ``_start`` say which piece of which file a row is of.
 
     Values that aren't numbers raise (ANSI casts).
     """
     names = LAYOUTS[layout]
     raw = spark.read.csv(path, sep="\t", schema=", ".join(f"_c{i} string" for i in range(len(names))), enforceSchema=True)
-    rows = raw.withColumn("input_row_index", F.monotonically_increasing_id()).where(~F.coalesce(is_header(layout), F.lit(False)))
+    piece = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = raw.select("*", *piece, F.monotonically_increasing_id().alias("input_row_index")).where(~F.coalesce(is_header(layout), F.lit(False)))
     typed = [F.trim(f"_c{i}").cast(_TYPES.get(n, "double")).alias(n) for i, n in enumerate(names)]
-    return rows.select(F.lit(sample_id).alias("sample_id"), *typed, "input_row_index")
+    return rows.select(F.lit(sample_id).alias("sample_id"), *typed, "input_row_index", *_PIECE)
+
+
+_PIECE = ("_file", "_start")
 
 
 def dense_index(df: DataFrame) -> DataFrame:
-    """``input_row_index`` as 0, 1, 2... in file order, header lines not counted.
+    """``input_row_index`` as 0, 1, 2... in order of files' names and of the lines in each, header lines not counted.
 
-    Numbers count up within a partition, so a row's place is its number less its partition's first one, plus the rows of the
-    partitions before: one row per partition on the driver, no shuffle. Only a header line, the first of a partition, leaves no gap.
+    Numbers count up within a piece of a file, whichever partitions hold the pieces, so a row's place is its number less its piece's
+    first one, plus the rows of the pieces before: one row per piece on the driver, no shuffle. Only a header line, the first of
+    a piece, leaves no gap.
     """
-    part = F.shiftright("input_row_index", 33)
-    found = sorted(tuple(r) for r in df.groupBy(part.alias("p")).agg(F.count(F.lit(1)), F.min("input_row_index"), F.max("input_row_index")).collect())
-    if any(last - first + 1 != n for _, n, first, last in found):  # lines left out in between: rank instead
-        table, so_far = [], 0
-        for p, n, *_ in found:
-            table.append((p, so_far))
-            so_far += n
-        w = Window.partitionBy("p").orderBy("input_row_index")
-        before = df.sparkSession.createDataFrame(table, "p long, offset long")
-        return df.withColumn("p", part).join(before, "p").withColumn("input_row_index", F.row_number().over(w) - 1 + F.col("offset")).drop("p", "offset")
+    found = sorted(tuple(r) for r in df.groupBy(*_PIECE).agg(F.count(F.lit(1)), F.min("input_row_index"), F.max("input_row_index")).collect())
+    gaps = any(last - first + 1 != n for *_, n, first, last in found)  # lines left out in between: rank instead
     table, so_far = [], 0
-    for p, n, first, _ in found:
-        table.append((p, so_far - first))
+    for file, start, n, first, _ in found:
+        table.append((file, start, so_far - (0 if gaps else first)))
         so_far += n
-    shift = df.sparkSession.createDataFrame(table, "p long, shift long")
-    return df.withColumn("p", part).join(F.broadcast(shift), "p").withColumn("input_row_index", F.col("input_row_index") + F.col("shift")).drop("p", "shift")
+    shift = df.sparkSession.createDataFrame(table, "_file string, _start long, shift long")
+    number = F.row_number().over(Window.partitionBy(*_PIECE).orderBy("input_row_index")) - 1 if gaps else F.col("input_row_index")
+    return df.withColumn("input_row_index", number).join(F.broadcast(shift), list(_PIECE)).withColumn("input_row_index", F.col("input_row_index") + F.col("shift")).drop("shift", *_PIECE)
 
 
 def prepare_sample(

@@ -160,3 +160,33 @@ def test_files(spark, tmp_path):
     assert again.columns == ["sample_id", "CpG_chrm", "CpG_beg", "CpG_end", "beta", "input_row_index"] and again.first().beta == 0.5
     sinks.write_points_table(points(spark, [("c", 1, 0.5), ("d", 1, 0.5)]), f"{tmp_path}/table")
     assert spark.read.parquet(f"{tmp_path}/table").where("CpG_chrm = 'd'").count() == 1
+
+
+def test_rows_of_a_folder_are_numbered_by_file_names(spark, tmp_path):
+    for k, times in enumerate((1, 9, 4)):
+        put(tmp_path, f"part-{k}.tsv", "chr\tstart\tend\tbeta\tcpg\n" + "".join(f"chr1\t{100 * k + i}\t{100 * k + i + 2}\t0.1\tp\n" for i in range(times)))
+    rows = tables.prepare_sample(spark, str(tmp_path), "s", "auto").points.orderBy("input_row_index").collect()
+    assert [r.CpG_beg for r in rows] == [0, *range(100, 109), *range(200, 204)] and [r.input_row_index for r in rows] == list(range(14))
+
+
+def test_tables_are_written_by_executors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "Files", None)  # what streams rows through the driver
+    monkeypatch.setattr("pyspark.sql.DataFrame.toLocalIterator", None)
+    rows = spark.range(1000).repartition(7).select((-F.col("id")).alias("at"), F.lit(" x y").alias(" Name "), F.when(F.col("id") > 0, F.col("id") / 8).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = sinks.write_table(rows, str(tmp_path / "t"), ["at"], header=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(x for x in os.listdir(folder) if x.startswith("part-"))
+    texts = [(tmp_path / "t" / x).read_text().splitlines() for x in files]
+    assert len(files) > 1 and {t[0] for t in texts} == {" Name \tv"}
+    assert [x for t in texts for x in t[1:]] == [f" x y\t{i / 8}" for i in range(999, 0, -1)] + [" x y\t"]
+
+
+@pytest.mark.parametrize("name", ["scan_counts_header", "scan_betas_removed"])
+def test_scans_send_no_rows_through_the_driver(spark, name, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(sinks, "Files", None)
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
