@@ -284,3 +284,18 @@ def test_continuous_time_model(spark):
         assert {r.hmm_state for r in out.collect()} == {0}
     with pytest.raises(ValueError):
         hmm.ContinuousModel(decode_by="other")
+
+
+def test_paths_by_blocks_are_those_of_whole_sequences(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [("s", c, int(p), i, [0, 1, 2, 3, None][k]) for i, (c, p, k) in enumerate(zip(rng.choice(["chr1", "chr2", "chr3"], 3000, p=[0.7, 0.29, 0.01]), rng.integers(0, 300, 3000), rng.integers(0, 5, 3000), strict=True))]
+    rows += [("t", "chr1", 5, 0, 2), ("t", "chr2", 5, 1, 0), ("u", "chr1", 1, 2, None)]
+    table = spark.createDataFrame(rows, "sample_id string, CpG_chrm string, CpG_beg long, input_row_index long, state int")
+    encoded = hmm.encoded(table).repartition(3)
+    monkeypatch.setattr(hmm, "ROWS", 7)
+    blocks = hmm._in_blocks(encoded)
+    assert blocks.count() > 3000 / 7 and blocks.agg(F.max(F.length("rows"))).first()[0] == 7 * 8
+    for stay, noise in ((0.9, 0.3), (0.5, 0.75), (1.0, 0.2)):  # ties at every step where noise says nothing
+        model = hmm.StickyModel(4, stay, noise)
+        key = lambda r: (r.sample_id, r.CpG_chrm, r.input_row_index, r.hmm_state if r.hmm_state is not None else -1)
+        assert sorted(map(key, model.paths(encoded).collect())) == sorted(map(key, hmm.Backend.paths(model, encoded).collect()))
