@@ -299,3 +299,19 @@ def test_paths_by_blocks_are_those_of_whole_sequences(spark, monkeypatch):
         model = hmm.StickyModel(4, stay, noise)
         key = lambda r: (r.sample_id, r.CpG_chrm, r.input_row_index, r.hmm_state if r.hmm_state is not None else -1)
         assert sorted(map(key, model.paths(encoded).collect())) == sorted(map(key, hmm.Backend.paths(model, encoded).collect()))
+
+
+def test_equal_rows_are_weights_of_one(spark, monkeypatch):
+    sizes, kmeans = [], cluster.KMeans
+
+    class Counted(kmeans):
+        def _fit(self, dataset):
+            sizes.append((dataset.count(), dataset.agg(F.sum("weight")).first()[0]))
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(cluster, "KMeans", Counted)
+    rows = spark.range(900).select((F.col("id") % 3 / 2).alias("a"), (F.col("id") % 9 / 100 + F.col("id") % 3).alias("b"))
+    for space in ("pca", "raw"):
+        model = cluster.fit(rows, ["a", "b"], 3, space, restarts=2)
+        assert model.cost == pytest.approx(model.apply(rows).agg(F.sum(F.pow(F.array_min("distances"), 2))).first()[0], rel=1e-6)
+    assert sizes == [(9, 900.0)] * 4
