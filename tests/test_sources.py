@@ -190,3 +190,14 @@ def test_scans_send_no_rows_through_the_driver(spark, name, monkeypatch):
 
     monkeypatch.setattr(sinks, "Files", None)
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_training_samples_rank_only_what_they_need(spark):
+    rows = spark.range(4000).select(F.lit("s").alias("sample_id"), F.concat(F.lit("chr"), (F.col("id") % 2).cast("string")).alias("CpG_chrm"), F.col("id").alias("CpG_beg"), F.lit(0.5).alias("beta"), F.col("id").alias("input_row_index"))
+    found = prepare.training_sample(rows, ["chr0", "chr1"], 30)
+    by = F.md5(F.concat_ws("|", F.lit("42"), F.col("CpG_beg").cast("string"), F.col("input_row_index").cast("string")))
+    wanted = [r.CpG_beg for c in ("chr0", "chr1") for r in rows.where(F.col("CpG_chrm") == c).orderBy(by).limit(30).collect()]
+    assert sorted(r.CpG_beg for r in found.collect()) == sorted(wanted) and found.columns == rows.columns
+    assert prepare.training_sample(rows, ["chr0"], 5000).count() == 2000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_last" in plan and plan.index("_rank") < plan.index("_last")  # ranked after the cut
